@@ -26,9 +26,15 @@ def year_number(c: Column) -> Column:
 
 
 def first_year(c: Column) -> Column:
-    """First run of four digits in the text as INT; NULL if there is none."""
-    found = F.regexp_extract(c.cast("string"), r"(\d{4})", 1)
-    return F.nullif(found, F.lit("")).cast("int")
+    """First run of four digits in the text as INT; NULL if there is none.
+
+    Most texts start with the year. Four characters that make a number of at least
+    1000 can only be four digits, so those rows skip the regular expression.
+    """
+    text = c.cast("string")
+    head = F.substring(text, 1, 4).try_cast("int")
+    found = F.nullif(F.regexp_extract(text, r"(\d{4})", 1), F.lit("")).cast("int")
+    return F.when(head >= 1000, head).otherwise(found)
 
 
 def fixed(c: Column, digits: int) -> Column:
@@ -77,6 +83,18 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(px, py), F.stddev_samp(px) * F.stddev_samp(py))
 
 
+def stable_mean(c: Column) -> Column:
+    """Aggregate: the mean, the same whatever order the rows come in.
+
+    Sums exactly at eight decimals. For means that are shown as text, where the last
+    bit of a floating sum would decide a rounding tie. Values too large for that
+    fall back to the floating mean.
+    """
+    exact = c.try_cast("decimal(38,8)")
+    mean = F.try_divide(F.try_sum(exact).cast("double"), F.count(c).cast("double"))
+    return F.coalesce(F.when(F.count(exact) == F.count(c), mean), F.avg(c))
+
+
 def l2_normalized(v: Column) -> Column:
     """Unit-length ARRAY<FLOAT>; a zero vector stays all zeros."""
     squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))

@@ -29,24 +29,45 @@ MEASURES = ["production", "yield", "annual_rainfall"]
 FACTS = list(clean.FACT_COLUMNS)
 
 
-def plain(df: DataFrame, digits: int = 4) -> DataFrame:
+# Stored values and their extremes are the same bits in any engine and stay as they
+# are; only computed decimals are rounded.
+STORED = {
+    f"{prefix}{name}" for prefix in ("", "min_", "max_")
+    for name in (*MEASURES, "rainfall", "area", "Production", "Yield", "Rainfall")
+}
+
+
+def plain(df: DataFrame, digits: int, stored: set[str]) -> DataFrame:
     def shown(f: T.StructField):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             return c.cast("bigint").alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            return F.round(c.cast("double"), digits).alias(f.name)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in stored:
+            # Off exact ties, where the last bit of a sum would decide.
+            return F.round(c.cast("double") + F.lit(3 * 10.0 ** -(digits + 3)), digits).alias(f.name)
         return c
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def query(digits: int = 4):
+def query(digits: int = 4, stored: set[str] = STORED):
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = lambda spark, sf_dir: plain(fn(spark, sf_dir), digits)
+        QUERIES[fn.__name__] = lambda spark, sf_dir: plain(fn(spark, sf_dir), digits, stored)
         return fn
     return register
 
 
+def _documents(spark, sf):
+    return b.documents(b.facts(spark, sf))
+
+
+def _questions(spark, sf):
+    return b.questions(b.facts(spark, sf))
+
+
+def _hits(spark, sf):
+    return b.hits(b.facts(spark, sf))
+
+
 # --------------------------------------------------------- cleaning and facts
 
 @query()
@@ -306,7 +327,7 @@ def corr_pair(spark, sf):
     return eda.corr_pair(b.facts(spark, sf), "annual_rainfall", "yield")
 
 
-@query(6)
+@query(6, stored=set())
 def corr_matrix(spark, sf):
     return eda.corr_matrix(b.facts(spark, sf), MEASURES)
 
@@ -367,17 +388,17 @@ def fact_sentences(spark, sf):
 
 @query()
 def build_documents(spark, sf):
-    return corpus.flatten_metadata(b.documents(spark, sf))
+    return corpus.flatten_metadata(_documents(spark, sf))
 
 
 @query()
 def document_json(spark, sf):
-    return corpus.flatten_metadata(corpus.parse_document_json(corpus.document_json(b.documents(spark, sf))))
+    return corpus.flatten_metadata(corpus.parse_document_json(corpus.document_json(_documents(spark, sf))))
 
 
 @query()
 def corpus_sample(spark, sf):
-    return corpus.corpus_sample(b.documents(spark, sf)).select("id", "text")
+    return corpus.corpus_sample(_documents(spark, sf)).select("id", "text")
 
 
 # --------------------------------------------------------------- file sources
@@ -411,14 +432,14 @@ def raw_csv(spark, sf):
 @query()
 def corpus_json(spark, sf):
     path = scratch_path(spark, "corpus")
-    writers.write_corpus(b.documents(spark, sf), path)
+    writers.write_corpus(_documents(spark, sf), path)
     return corpus.flatten_metadata(readers.read_corpus(spark, path))
 
 
 @query()
 def corpus_sample_csv(spark, sf):
     path = scratch_path(spark, "sample")
-    writers.write_corpus_sample(b.documents(spark, sf), path)
+    writers.write_corpus_sample(_documents(spark, sf), path)
     return spark.read.option("header", True).option("escape", '"').csv(path).select("id", "text", "state", "crop")
 
 
@@ -437,7 +458,7 @@ def _label_questions(spark, sf):
     )
 
 
-@query(6)
+@query()
 def l2_normalize(spark, sf):
     doubled = _embeddings(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: x * 2))
     unit = vectors.normalize_vectors(doubled)
@@ -475,13 +496,20 @@ def attach_documents(spark, sf):
     return vectors.attach_documents(hits, docs, "vec_id")
 
 
+def _stored_vectors(spark, sf, dim=vectors.EMBEDDING_DIM):
+    """Facts, documents and vectors, each stage stored for the next: (facts, vectors, encoder)."""
+    base = b.stored_facts(spark, sf)
+    docs = b.documents(base)
+    encoder = vectors.HashingEncoder.fit(docs, dim=dim)
+    path = scratch_path(spark, "vectors")
+    writers.write_vectors(vectors.embed(docs, "text", encoder), path)
+    return base, readers.read_vectors(spark, path), encoder
+
+
 @query()
 def vectors_parquet(spark, sf):
     """Documents with their vectors written as one table and read back; counted per state."""
-    docs = b.documents(spark, sf)
-    path = scratch_path(spark, "vectors")
-    writers.write_vectors(vectors.embed(docs, "text", vectors.HashingEncoder.fit(docs, dim=64)), path)
-    stored = readers.read_vectors(spark, path)
+    _, stored, _ = _stored_vectors(spark, sf, dim=64)
     return stored.groupBy("metadata.state").agg(
         F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("width"),
         F.count_if(F.abs(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x) - 1) < 1e-5).alias("n_unit"),
@@ -497,50 +525,42 @@ def embed_documents(spark, sf):
     return coded.select("doc_id", F.size("embedding").alias("width"), F.round(norm, 4).alias("norm"))
 
 
-def _text_questions(spark, sf):
-    return b.questions(spark, sf).withColumn("top_k", F.lit(5))
-
-
 @query(6)
 def retrieve(spark, sf):
-    docs = b.documents(spark, sf)
-    encoder = vectors.HashingEncoder.fit(docs)
-    return vectors.retrieve(_text_questions(spark, sf), vectors.embed(docs, "text", encoder), encoder).select(
+    base, stored, encoder = _stored_vectors(spark, sf)
+    return vectors.retrieve(b.questions(base), stored, encoder, 5).select(
         "question_id", "rank", "id", "text", "similarity_score"
     )
 
 
 @query(6)
 def answer_batch(spark, sf):
-    docs = b.documents(spark, sf)
-    encoder = vectors.HashingEncoder.fit(docs)
+    base, stored, encoder = _stored_vectors(spark, sf)
     states, crops = b.term_vocabularies(spark, sf)
-    return an.answer_batch(
-        _text_questions(spark, sf), vectors.embed(docs, "text", encoder), encoder,
-        include_sources=False, states=states, crops=crops,
-    )
+    asked = b.questions(base).withColumn("top_k", F.lit(None).cast("int"))
+    return an.answer_batch(asked, stored, encoder, include_sources=False, states=states, crops=crops)
 
 
 # ----------------------------------------------------------------- data points
 
 @query()
 def question_hits(spark, sf):
-    return b.hits(spark, sf).select("question_id", "rank", "id", "similarity_score")
+    return _hits(spark, sf).select("question_id", "rank", "id", "similarity_score")
 
 
 @query()
 def flatten_hits(spark, sf):
-    return dp.data_points(b.hits(spark, sf))
+    return dp.data_points(_hits(spark, sf))
 
 
 @query()
 def route_questions(spark, sf):
-    return qs.route_questions(b.questions(spark, sf)).select("question_id", "query", "route")
+    return qs.route_questions(_questions(spark, sf)).select("question_id", "query", "route")
 
 
 @query()
 def wants_chart(spark, sf):
-    return b.questions(spark, sf).select("question_id", qs.wants_chart(F.col("query")).cast("int").alias("chart"))
+    return _questions(spark, sf).select("question_id", qs.wants_chart(F.col("query")).cast("int").alias("chart"))
 
 
 @query()
@@ -590,7 +610,7 @@ def extreme_min(spark, sf):
 
 @query(6)
 def question_corr(spark, sf):
-    return dp.question_corr(dp.data_points(b.hits(spark, sf)))
+    return dp.question_corr(dp.data_points(_hits(spark, sf)))
 
 
 @query()
@@ -605,12 +625,13 @@ def summary_stats(spark, sf):
 
 @query()
 def context_text(spark, sf):
-    return an.context_text(b.hits(spark, sf))
+    return an.context_text(_hits(spark, sf))
 
 
 @query()
 def prompt_text(spark, sf):
-    return an.prompt_text(b.questions(spark, sf), an.context_text(b.hits(spark, sf)))
+    base = b.stored_facts(spark, sf)
+    return an.prompt_text(b.questions(base), an.context_text(b.hits(base)))
 
 
 @query()
@@ -635,7 +656,7 @@ def answer_extreme(spark, sf):
 
 @query()
 def answer_relationship(spark, sf):
-    return an.answer_relationship(dp.data_points(b.hits(spark, sf)))
+    return an.answer_relationship(dp.data_points(_hits(spark, sf)))
 
 
 @query()
@@ -645,33 +666,35 @@ def answer_summary(spark, sf):
 
 @query(6)
 def answer_sources(spark, sf):
-    packed = an.answer_sources(b.hits(spark, sf)).select("question_id", F.posexplode("sources").alias("pos", "s"))
+    packed = an.answer_sources(_hits(spark, sf)).select("question_id", F.posexplode("sources").alias("pos", "s"))
     return packed.select("question_id", (F.col("pos") + 1).alias("rank"), "s.text", "s.metadata.state", "s.similarity_score")
 
 
 @query()
 def answer_hits(spark, sf):
     """Every question routed, filtered, aggregated and answered."""
+    base = b.stored_facts(spark, sf)
     states, crops = b.term_vocabularies(spark, sf)
     return an.answer_hits(
-        b.questions(spark, sf), as_table(b.hits(spark, sf), "hits"), include_sources=False,
+        as_table(b.questions(base), "questions"), as_table(b.hits(base), "hits"), include_sources=False,
         states=states, crops=crops,
     )
 
 
 @query()
 def chart_points(spark, sf):
-    return an.chart_points(b.hits(spark, sf))
+    return an.chart_points(_hits(spark, sf))
 
 
 @query()
 def chart_series(spark, sf):
-    return an.chart_series(b.questions(spark, sf), b.hits(spark, sf))
+    base = b.stored_facts(spark, sf)
+    return an.chart_series(b.questions(base), b.hits(base))
 
 
 @query()
 def unanswered(spark, sf):
-    asked = as_table(b.questions(spark, sf), "questions")
+    asked = as_table(_questions(spark, sf), "questions")
     answered = qs.route_questions(asked).where("route = 'summary'")
     return an.unanswered(asked, answered)
 
