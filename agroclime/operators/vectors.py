@@ -79,10 +79,13 @@ def model_encoder(open_model: Callable[[], Callable[[list[str]], np.ndarray]], b
                 values = series.fillna("").tolist()
                 rows: list[np.ndarray] = []
                 for start in range(0, len(values), batch):
-                    rows.extend(np.asarray(model(values[start:start + batch]), dtype=np.float32))
+                    coded = np.asarray(model(values[start:start + batch]), dtype=np.float64)
+                    norms = np.linalg.norm(coded, axis=1, keepdims=True)
+                    unit = np.divide(coded, norms, out=np.zeros_like(coded), where=norms > 0)
+                    rows.extend(unit.astype(np.float32))
                 yield pd.Series(rows, dtype=object)
 
-        return df.withColumn(out, l2_normalized(run(F.col(text_col))))
+        return df.withColumn(out, run(F.col(text_col)))
 
     return encode
 
