@@ -118,22 +118,28 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(F.inline(lines))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], points=QUARTILES) -> DataFrame:
-    """Exact, linearly interpolated quantiles of several columns: (column_name, p25, ...).
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value, n, part), stored: how often each value occurs.
 
-    The built-in exact ``percentile`` gathers all distinct values in one task.
-    Here equal values are first counted (so a hot value is one row), the value
-    counts are range-partitioned and written once, per-partition totals give every
-    partition its starting rank, and only the partitions that hold a wanted rank
-    are ranked inside. No step holds more than one range partition.
+    Counting equal values first makes a hot value one row. The counts are then
+    range-partitioned by value and written once; ``part`` numbers the ranges in
+    value order, and the folder per range lets readers skip the others.
     """
     values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     long = values.unpivot([], list(cols), "column_name", "value").where("value is not null")
     counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
     ranged = counts.repartitionByRange("column_name", "value").withColumn("part", F.spark_partition_id())
-    stored = as_table(ranged, "value-counts", partition_by=["part"])
+    return as_table(ranged, "value-counts", partition_by=["part"])
+
 
-    # One row per (column, partition): a table as long as the number of partitions.
+def quantiles_of_counts(stored: DataFrame, points=QUARTILES) -> DataFrame:
+    """Exact, linearly interpolated quantiles per column of ``value_counts``.
+
+    The built-in exact ``percentile`` gathers all distinct values in one task.
+    Here per-range totals give every range its starting rank, and only the ranges
+    that hold a wanted rank are ranked inside, so no task holds more than one range.
+    """
+    # One row per (column, range).
     totals = stored.groupBy("column_name", "part").agg(F.sum("n").alias("part_n"))
     before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = totals.select(
@@ -154,8 +160,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], points=QUARTILES) -> Dat
     running = Window.partitionBy("column_name", "part", "point").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    # At most two partitions per column and point are left in ``wanted``, whatever the
-    # data size; the broadcast also prunes the other partitions' files from the read.
+    # At most two ranges per column and point are left in ``wanted``, whatever the
+    # data size; the broadcast also prunes the other ranges' folders from the read.
     ranked = stored.join(F.broadcast(wanted), ["column_name", "part"]).select(
         "column_name", "point", "position", "value",
         (F.col("first_rank") + F.sum("n").over(running) - 1).alias("to_rank"), "n",
@@ -172,14 +178,64 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], points=QUARTILES) -> Dat
     ])
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], points=QUARTILES) -> DataFrame:
+    """(column_name, p25, p50, p75) by default."""
+    return quantiles_of_counts(value_counts(df, cols), points)
+
+
+def _moments_of_counts(stored: DataFrame) -> DataFrame:
+    """count, mean, std (n-1), min and max per column of ``value_counts``.
+
+    The deviations are taken from the mean, as in a two-pass variance; the means are
+    one row per column.
+    """
+    means = stored.groupBy("column_name").agg(
+        F.sum("n").alias("count"),
+        F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    off = F.col("value") - F.col("mean")
+    spread = stored.join(F.broadcast(means.select("column_name", "mean")), "column_name").groupBy("column_name").agg(
+        F.sum(off * off * F.col("n")).alias("squares")
+    )
+    return means.join(spread, "column_name").select(
+        "column_name", "count", "mean",
+        F.sqrt(F.try_divide(F.col("squares"), F.col("count") - 1)).alias("std"), "min", "max",
+    )
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std (n-1), min, quartiles and max, one row per column."""
+    """count, mean, std (n-1), min, quartiles and max, one row per column.
+
+    The input is read once; everything follows from its stored value counts.
+    """
+    stored = value_counts(df, cols)
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    return (
+        names.join(_moments_of_counts(stored), "column_name", "left")
+        .join(quantiles_of_counts(stored), "column_name", "left")
+        .select(
+            "column_name", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min",
+            *[name for name, _ in QUARTILES], "max",
+        )
+    )
+
+
+def describe_approx(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """``describe`` in one pass without a sort; quartiles within 1/accuracy of their rank."""
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    one = df.agg(*[fn(c).alias(f"{c}|{name}") for c in cols for name, fn in stats.items()])
-    moments = one.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{c}|{name}`").alias(name) for name in stats])
+    shares = [p for _, p in QUARTILES]
+    one = df.agg(
+        *[fn(c).alias(f"{c}|{name}") for c in cols for name, fn in stats.items()],
+        *[F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(f"{c}|quartiles") for c in cols],
+    )
+    return one.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(c).alias("column_name"),
+            *[F.col(f"`{c}|{name}`").alias(name) for name in ("count", "mean", "std", "min")],
+            *[F.col(f"`{c}|quartiles`")[i].alias(name) for i, (name, _) in enumerate(QUARTILES)],
+            F.col(f"`{c}|max`").alias("max"),
+        )
         for c in cols
     ])))
-    return moments.join(exact_quantiles(df, cols), "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", *[name for name, _ in QUARTILES], "max"
-    )

@@ -21,6 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EMBEDDING_DIM = 384
 ENCODE_BATCH = 256
+# Fixed value: the index kind the manifest names.
+INDEX_TYPE = "IndexFlatIP"
 # Scores are compared at this precision: the last bits of a matrix product depend
 # on the shape of the batch, and equal documents must tie wherever they sit.
 SCORE_DIGITS = 10
@@ -103,7 +105,7 @@ def vector_manifest(vectors: DataFrame, model_name: str, col: str = "embedding")
     """Model name, width, number of vectors and index type, as one row."""
     return vectors.agg(
         F.max(F.size(col)).cast("int").alias("embedding_dim"), F.count("*").alias("num_vectors")
-    ).select(F.lit(model_name).alias("model_name"), "embedding_dim", "num_vectors", F.lit("IndexFlatIP").alias("index_type"))
+    ).select(F.lit(model_name).alias("model_name"), "embedding_dim", "num_vectors", F.lit(INDEX_TYPE).alias("index_type"))
 
 
 # ------------------------------------------------------------- exact top-k
@@ -225,15 +227,18 @@ def _score_against_all(question_table: pa.Table, vectors: DataFrame, schema: T.S
 
 
 def _score_in_blocks(
-    questions: DataFrame, n_questions: int, vectors: DataFrame, schema: T.StructType, block: int, lanes: int
+    questions: DataFrame, n_questions: int, vectors: DataFrame, schema: T.StructType, block: int, lanes: int | None
 ) -> DataFrame:
     """Question blocks meet vector blocks in a join; neither side is ever held whole.
 
     Vectors are packed into one row per Arrow batch. A vector block is sent to each
     question block, and a question block to each of ``lanes`` lanes. The lane is the
-    vectors' own partition number: even, and the same again if a task is re-run.
+    vectors' own partition number: even, and the same again if a task is re-run. By
+    default there are about four (block, lane) keys per shuffle partition.
     """
     n_blocks = -(-n_questions // block)
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = lanes or -(-4 * partitions // n_blocks)
     packed_questions = (
         questions.withColumn("__block", F.pmod(F.xxhash64("__qid"), F.lit(n_blocks)).cast("int"))
         .groupBy("__block")
@@ -258,18 +263,27 @@ def _score_in_blocks(
     names = schema.names
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One running best per question block of this task, so a question leaves the
+        # task with k rows however many vector blocks it met.
+        running: dict[int, tuple[pa.Array, _BestPerQuestion]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                qs = batch.column("__questions").slice(i, 1).flatten()
+                number = batch.column("__block")[i].as_py()
+                if number not in running:
+                    qs = batch.column("__questions").slice(i, 1).flatten()
+                    k = qs.field("top_k").to_numpy(zero_copy_only=False)
+                    running[number] = (qs.field("__qid"), _BestPerQuestion(_matrix(qs.field("__vec")), k))
                 vs = batch.column("__vectors").slice(i, 1).flatten()
-                best = _BestPerQuestion(_matrix(qs.field("__vec")), qs.field("top_k").to_numpy(zero_copy_only=False))
-                best.add(pa.table({f.name: vs.field(f.name) for f in vs.type}))
-                found = best.result(qs.field("__qid"))
-                if found is not None:
-                    yield from found.select(names).to_batches(max_chunksize=10_000)
+                running[number][1].add(pa.table({f.name: vs.field(f.name) for f in vs.type}))
+        for ids, best in running.values():
+            found = best.result(ids)
+            if found is not None:
+                yield from found.select(names).to_batches(max_chunksize=10_000)
 
-    pairs = packed_vectors.join(packed_questions, ["__block", "__lane"]).select("__questions", "__vectors")
-    return pairs.mapInArrow(score, schema)
+    # The hash side is the questions: a task holds the few blocks of its keys and
+    # streams the vectors past them, unsorted.
+    pairs = packed_vectors.join(packed_questions.hint("shuffle_hash"), ["__block", "__lane"])
+    return pairs.select("__block", "__questions", "__vectors").mapInArrow(score, schema)
 
 
 def similarity_topk(
@@ -312,8 +326,7 @@ def similarity_topk(
     elif first.num_rows <= max_questions and first.nbytes <= MAX_BROADCAST_BYTES:
         local = _score_against_all(first, stored, schema)
     else:
-        spread = lanes or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        local = _score_in_blocks(asked, asked.count(), stored, schema, block, spread)
+        local = _score_in_blocks(asked, asked.count(), stored, schema, block, lanes)
 
     order = Window.partitionBy("question_id").orderBy(
         F.desc("similarity_score"), "__id", *[c for c in payload if _orderable(vectors.schema[c].dataType)]

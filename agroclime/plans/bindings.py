@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agroclime.operators.clean import clean_rain, rename_rain
-from agroclime.operators.corpus import build_documents
+from agroclime.operators.clean import clean_rain, flag_documentable, kept, rename_rain
+from agroclime.operators.corpus import build_documents, document_id
 from agroclime.operators.datapoints import data_points, filter_by_question
 from agroclime.operators.facts import build_facts
 from agroclime.operators.questions import question_terms
@@ -231,20 +231,18 @@ def hits(facts_table: DataFrame) -> DataFrame:
     The score is exact in any engine, which an embedding's is not. Each task keeps
     its best rows per question before the shuffle.
     """
-    docs = documents(facts_table)
-
-    def meta(k: str) -> Column:
-        return F.col(f"metadata.{k}")
-
-    score = F.conv(F.substring("id", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    keyed = docs.select(
-        F.explode(F.array(*[question_id(question_key(f, meta)) for f in FAMILIES])).alias("question_id"),
-        "id", "text", "metadata", score.alias("similarity_score"),
-    )
-    order = Window.partitionBy("question_id").orderBy(
-        F.desc("similarity_score"), "id", "metadata.yield", "metadata.annual_rainfall"
+    ready = kept(flag_documentable(facts_table)).withColumn("id", document_id(
+        F.col("state"), F.col("district"), F.col("crop"), F.col("year_cleaned"), F.col("production")
+    )).withColumn("year", F.col("year_cleaned"))
+    keyed = ready.select(
+        "*",
+        F.explode(F.array(*[question_id(question_key(f, F.col)) for f in FAMILIES])).alias("question_id"),
+        (F.conv(F.substring("id", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)).alias("similarity_score"),
     )
-    return keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HITS_PER_QUESTION).select(
+    order = Window.partitionBy("question_id").orderBy(F.desc("similarity_score"), "id", "yield", "annual_rainfall")
+    best = keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HITS_PER_QUESTION)
+    # Sentences are written for the winners only.
+    return build_documents(best, CREATED_AT, ("question_id", "rank", "similarity_score")).select(
         "question_id", "rank", "id", "text", "metadata", "similarity_score"
     )
 
