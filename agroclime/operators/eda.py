@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agroclime.functions.numbers import pearson
+from agroclime.functions.numbers import nan_to_null, pearson
 from agroclime.sources.scratch import as_table
 
 QUARTILES = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
@@ -125,7 +125,7 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     range-partitioned by value and written once; ``part`` numbers the ranges in
     value order, and the folder per range lets readers skip the others.
     """
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    values = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
     long = values.unpivot([], list(cols), "column_name", "value").where("value is not null")
     counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
     ranged = counts.repartitionByRange("column_name", "value").withColumn("part", F.spark_partition_id())

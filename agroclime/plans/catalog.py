@@ -563,6 +563,15 @@ def wants_chart(spark, sf):
     return _questions(spark, sf).select("question_id", qs.wants_chart(F.col("query")).cast("int").alias("chart"))
 
 
+@query()
+def with_defaults(spark, sf):
+    """Parser questions where only the comparisons state a depth."""
+    asked = b.parser_questions(spark, sf).withColumns({
+        "top_k": F.when(F.col("query").startswith("Compare"), 3), "temperature": F.lit(None).cast("double"),
+    })
+    return qs.with_defaults(asked)
+
+
 @query()
 def filter_by_question(spark, sf):
     return b.points(spark, sf).drop("text")

@@ -302,6 +302,8 @@ UPTO_PARSED = with_(NAT, ORD, STATE_RAIN, PARSER_QUESTIONS, PARSED)
 put("classify_question", UPTO_PARSED + "select question_id, query, type from parsed")
 put("extract_entities", UPTO_PARSED + "select question_id, " + ", ".join(
     f"coalesce(array_to_string({c}, ','), '') as {c}" for c in ("states", "crops", "years", "numbers")) + " from parsed")
+put("with_defaults", UPTO_PARSED + "select question_id, query, cast(case when query like 'Compare%' then 3 else 5 end as bigint) as top_k, "
+    "cast(0.7 as double) as temperature from parsed")
 put("answer_parsed", UPTO_PARSED + f""", asked as (
   select question_id, type, list_distinct(states) as states, coalesce(cast(numbers[1] as bigint), 5) as n,
          (select max(year) from state_rain) as last_year from parsed),

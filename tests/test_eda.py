@@ -84,3 +84,17 @@ def test_corr_matrix_is_pairwise(spark):
     want = pdf[cols].corr()
     for r in eda.corr_matrix(df, cols).collect():
         assert np.allclose([r[c] for c in cols], want.loc[r.column_name])
+
+
+def test_describe_approx_is_close(spark):
+    df, pdf = random_facts(spark)
+    expected = pdf[["yield"]].describe()["yield"].to_numpy()
+    r = eda.describe_approx(df, ["yield"]).collect()[0]
+    got = [r["count"], r["mean"], r["std"], r["min"], r["p25"], r["p50"], r["p75"], r["max"]]
+    assert np.allclose(got, expected, atol=0.05)
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,)], "v double")
+    row = eda.describe(df, ["v"]).collect()[0]
+    assert (row["count"], row["mean"], row["max"]) == (2, 2.0, 3.0)
