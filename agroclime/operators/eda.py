@@ -149,28 +149,35 @@ def quantiles_of_counts(stored: DataFrame, points=QUARTILES) -> DataFrame:
         "part_n",
         F.sum("part_n").over(Window.partitionBy("column_name")).alias("total"),
     )
-    wanted = placed.select("*", F.inline(F.array(*[
-        F.struct(F.lit(name).alias("point"), (F.lit(p) * (F.col("total") - 1)).alias("position"))
-        for name, p in points
-    ])))
     lower, upper = F.floor("position"), F.ceil("position")
+    positions = F.array(*[
+        F.struct(F.lit(name).alias("point"), (F.lit(p) * (F.col("total") - 1)).alias("position")) for name, p in points
+    ])
+
+    def overlapping(first, last):
+        return lambda w: (F.floor(w["position"]) <= last) & (F.ceil(w["position"]) >= first)
+
     last_rank = F.col("first_rank") + F.col("part_n") - 1
-    wanted = wanted.where((lower <= last_rank) & (upper >= F.col("first_rank")))
+    wanted = placed.withColumn("points", F.filter(positions, overlapping(F.col("first_rank"), last_rank))).where(
+        F.size("points") > 0
+    )
 
-    running = Window.partitionBy("column_name", "part", "point").orderBy("value").rowsBetween(
+    running = Window.partitionBy("column_name", "part").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     # At most two ranges per column and point are left in ``wanted``, whatever the
     # data size; the broadcast also prunes the other ranges' folders from the read.
     ranked = stored.join(F.broadcast(wanted), ["column_name", "part"]).select(
-        "column_name", "point", "position", "value",
-        (F.col("first_rank") + F.sum("n").over(running) - 1).alias("to_rank"), "n",
+        "column_name", "points", "value", "n", (F.col("first_rank") + F.sum("n").over(running) - 1).alias("to_rank")
     ).withColumn("from_rank", F.col("to_rank") - F.col("n") + 1)
+    near = ranked.where(F.exists("points", overlapping(F.col("from_rank"), F.col("to_rank")))).select(
+        "column_name", "value", "from_rank", "to_rank", F.inline("points")
+    )
 
     def at(rank):
         return F.max(F.when((F.col("from_rank") <= rank) & (rank <= F.col("to_rank")), F.col("value")))
 
-    picked = ranked.groupBy("column_name", "point", "position").agg(at(lower).alias("lo"), at(upper).alias("hi"))
+    picked = near.groupBy("column_name", "point", "position").agg(at(lower).alias("lo"), at(upper).alias("hi"))
     share = F.col("position") - F.floor("position")
     return picked.groupBy("column_name").agg(*[
         F.max(F.when(F.col("point") == name, F.col("lo") + (F.col("hi") - F.col("lo")) * share)).alias(name)
