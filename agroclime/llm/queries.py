@@ -34,5 +34,115 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_i
 FROM sets s JOIN low l ON l.id = s.doc_id
 """
 
-QUERIES = {"op4_minhash_near_dedup": op4_minhash_near_dedup}
-ORACLE = {"op4_minhash_near_dedup": OP4_SQL}
+def op9_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back."""
+    from agroclime.llm.warc import archive, read_records
+
+    return read_records(archive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+top AS (SELECT html, max(page_id) AS last FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    1 + ((('0x' || hex[10 * (i // 8) + 1 : 10 * (i // 8) + 10])::BIGINT >> (35 - 5 * (i % 8))) & 31)]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN top USING (html)
+"""
+
+
+def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    from agroclime.llm.chat import chat_format
+
+    return chat_format(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+), c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn) AS turns FROM t GROUP BY conv_id),
+whole AS (SELECT turns, min(conv_id) AS conv_id FROM c GROUP BY turns),
+prefixes AS (SELECT DISTINCT turns[1:i] AS p FROM (SELECT turns, unnest(range(1, len(turns))) AS i FROM c))
+SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns,
+  list_aggregate(list_transform(turns, lambda x: '<|' || replace(x.r, '<|', '< |') || '|>' || chr(10) || replace(x.t, '<|', '< |') || '<|end|>' || chr(10)),
+                 'string_agg', '') AS rendered
+FROM whole ANTI JOIN prefixes ON whole.turns = prefixes.p
+"""
+
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the public rank file and decoded again."""
+    import public_tokenizers
+
+    from agroclime.llm.bpe import encode_documents
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return encode_documents(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def op8_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and its similarity."""
+    from agroclime.llm.decontaminate import contaminated
+
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    from agroclime.llm.pii import detect
+
+    found = detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def learnable(doc_id, parts: int, held: int):
+    """Whether crc32 of the id as text, modulo ``parts``, is another remainder than ``held``."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1)) != held
+
+
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a quarter of them is held out of training."""
+    from agroclime.llm.langid import fit, predict
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = fit(docs.filter(learnable(F.col("doc_id"), 4, 2)), "doc_id", "text", "lang")
+    return predict(docs, model).withColumn("held_out", ~learnable(F.col("doc_id"), 4, 2)).select("doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches")
+
+
+def op7_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a third of them is held out of training."""
+    from agroclime.llm.quality import score_documents
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_documents(docs, labels, lambda doc_id: learnable(doc_id, 3, 1))
+    return scored.withColumn("held_out", ~learnable(F.col("doc_id"), 3, 1)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte windows of earlier documents."""
+    from agroclime.llm.repeats import remove_repeats
+
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {
+    "op2_pii_boosted": op2_pii_boosted,
+    "op3_language_crf": op3_language_crf,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_repeated_windows": op5_repeated_windows,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_quality_pu": op7_quality_pu,
+    "op8_simhash_decontamination": op8_simhash_decontamination,
+    "op9_warc_chunks": op9_warc_chunks,
+    "op10_chat_snapshots": op10_chat_snapshots,
+}
+ORACLE = {
+    "op4_minhash_near_dedup": OP4_SQL,
+    "op9_warc_chunks": OP9_SQL,
+    "op10_chat_snapshots": OP10_SQL,
+}
