@@ -109,7 +109,7 @@ class Vocabulary:
 
     def encode_word(self, word: Column) -> Column:
         """Ids of one word (array<int>)."""
-        raw = F.decode(F.encode(word, F.lit("UTF-8")), F.lit("ISO-8859-1"))
+        raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
         def fold(w: Column) -> Column:
             tokens = F.split(w, "")

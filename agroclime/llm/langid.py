@@ -219,6 +219,25 @@ def label_words(model: Model, column: pa.Array) -> tuple[tv.Words, np.ndarray, n
     return words, marginals(emissions(model, d)[d.inverse], words.first, model.transitions), d.letters[d.inverse]
 
 
+def label_texts(model: Model | None, texts: pa.Array, unknown: str = "und") -> tuple[np.ndarray, ...]:
+    """Language, score, number of words and of switches of each text."""
+    has_letter = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+    n = len(texts)
+    langs, score, switches = np.full(n, unknown, object), np.zeros(n), np.zeros(n, np.int64)
+    words, gamma, letters = label_words(model, texts) if model is not None else (tv.words_of(texts), None, None)
+    counts = np.diff(words.first).astype(np.int64)
+    if gamma is not None and has_letter.any():
+        doc = np.repeat(np.arange(n), counts)
+        votes = np.stack([np.bincount(doc, gamma[:, y] * letters, n) for y in range(len(model.labels))], axis=1)
+        best, weight = votes.argmax(axis=1), votes.sum(axis=1)
+        ok = has_letter & (weight > 0)
+        langs[ok] = np.array(model.labels, object)[best[ok]]
+        score[ok] = np.clip(votes[ok, best[ok]] / weight[ok], 0, 1)
+        top, owner = gamma.argmax(axis=1)[letters], doc[letters]
+        switches = np.bincount(owner[1:][(top[1:] != top[:-1]) & (owner[1:] == owner[:-1])], minlength=n)
+    return langs, score, counts, switches.astype(np.int64)
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", unknown: str = "und") -> DataFrame:
     """``id_col, lang_pred, score, n_words, n_switches`` per document.
 
@@ -231,27 +250,20 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     names = [id_col, "lang_pred", "score", "n_words", "n_switches"]
 
     def run(batches):
-        model = sent.value
         for batch in tv.sub_batches(batches):
-            texts = batch.column(1)
-            has_letter = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
-            n = batch.num_rows
-            langs, score, switches = np.full(n, unknown, object), np.zeros(n), np.zeros(n, np.int64)
-            words = tv.words_of(texts)
-            counts = np.diff(words.first)
-            if model is not None and has_letter.any():
-                _, gamma, letters = label_words(model, texts)
-                doc = np.repeat(np.arange(n), counts)
-                votes = np.stack([np.bincount(doc, gamma[:, y] * letters, n) for y in range(len(model.labels))], axis=1)
-                weight = np.maximum(votes.sum(axis=1), 1e-300)
-                best = votes.argmax(axis=1)
-                share = votes[np.arange(n), best] / weight
-                ok = has_letter & (votes.sum(axis=1) > 0)
-                langs[ok] = np.array(model.labels, object)[best[ok]]
-                score[ok] = np.clip(share[ok], 0, 1)
-                top, owner = gamma.argmax(axis=1)[letters], doc[letters]
-                turn = (top[1:] != top[:-1]) & (owner[1:] == owner[:-1])
-                switches = np.bincount(owner[1:][turn], minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(counts.astype(np.int64)), pa.array(switches.astype(np.int64))], names=names)
+            langs, score, counts, switches = label_texts(sent.value, batch.column(1), unknown)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(counts), pa.array(switches)], names=names)
 
     return source.mapInArrow(run, f"`{id_col}` long, lang_pred string, score double, n_words long, n_switches long")
+
+
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", unknown: str = "und") -> DataFrame:
+    """The rows, all columns, whose text has a language; rows stay where they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in tv.sub_batches(batches, text_col):
+            langs = label_texts(sent.value, batch.column(batch.schema.get_field_index(text_col)), unknown)[0]
+            yield batch.filter(pa.array(langs != unknown))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,8 @@ missed with probability 2e-5, less above. Every candidate is confirmed on the tw
 
 No pairs within a group are enumerated: documents with equal sets become one class first, each table's bucket
 links its members to its smallest member, and only buckets still holding more than one component afterwards get
-their remaining cross-component pairs, each tested once.
+their remaining cross-component pairs. Of these, pairs that cannot be similar by how many shingles are each
+document's own are ruled out (exactly) before they are formed.
 """
 
 from __future__ import annotations
@@ -103,6 +104,27 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sh
     return joined.mapInArrow(run, "a long, b long, same boolean")
 
 
+def _possible(ids: DataFrame, sizes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(id, n, own) of the documents that can have a partner among ``ids``.
+
+    ``own`` counts shingles found in no other of these documents. Two sets share at most ``n - own`` of each, so one
+    whose own shingles exceed 100 - percent of it has no partner here, and pairs are bounded likewise.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+
+    def run(batches):
+        for batch in tv.sub_batches(batches):
+            h, begin = tv.distinct_per_text(*tv.shingle_hashes(tv.words_of(batch.column(1)), shingle))
+            of = np.repeat(np.arange(batch.num_rows), np.diff(begin))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(h.view(np.int64))], names=["id", "g"])
+
+    held = texts.select("id", "text").mapInArrow(run, "id long, g long")
+    single = held.groupBy("g").agg(F.count("*").alias("times"), F.min("id").alias("id")).filter("times = 1")
+    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    all_of = sizes.join(ids, "id").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    return stored(all_of.filter(f"100 * (n - own) >= {percent} * n"), "possible")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``id, n_shingles, component_id, kept``.
 
@@ -144,8 +166,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter("lo < hi").select("key")
     )
     rest = stored(labelled.join(mixed, "key"), "rest")
+    possible = _possible(rest.select("id").distinct(), sigs.select("id", F.col("n_shingles").alias("n")), docs, id_col, text_col, shingle, percent)
+    rest = stored(rest.join(possible, "id"), "rest")
+    fits = f"(100 + {percent}) * (x.n + y.n - x.own - y.own) >= {2 * percent} * (x.n + y.n) and (100 + {percent}) * least(x.n - x.own, y.n - y.own) >= {percent} * (x.n + y.n)"
     across = (
-        rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.component < y.component"))
+        rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.component < y.component and {fits}"))
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )

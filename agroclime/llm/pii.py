@@ -9,7 +9,6 @@ examples of fixed layouts (``training_examples``), so no labelled corpus is need
 from __future__ import annotations
 
 import functools
-import hashlib
 import random
 import re
 
@@ -256,5 +255,27 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reda
     return source.mapInArrow(run, longs + ", " + ", ".join(f"{n} string" for n in names[5:]))
 
 
-def span_digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows with all spans of the text replaced, and ``length_col`` (if given) set to the new length of changed texts."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            at = names.index(text_col)
+            columns = list(batch.columns)
+            texts = columns[at].to_pylist()
+            lengths = columns[names.index(length_col)].to_pylist() if length_col else []
+            for i, text in enumerate(texts):
+                if text:
+                    base = base_spans(text)
+                    spans = [*base, *added_spans(text, base)]
+                    if spans:
+                        texts[i] = redact(text, spans)
+                        if length_col:
+                            lengths[i] = len(texts[i])
+            columns[at] = pa.array(texts, columns[at].type)
+            if length_col:
+                columns[names.index(length_col)] = pa.array(lengths, columns[names.index(length_col)].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -130,7 +130,15 @@ def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth vector."""
+    from agroclime.llm.nndescent import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 100 == 0)
+
+
 QUERIES = {
+    "op1_nn_descent": op1_nn_descent,
     "op2_pii_boosted": op2_pii_boosted,
     "op3_language_crf": op3_language_crf,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,

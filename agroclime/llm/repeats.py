@@ -6,7 +6,7 @@ repeated windows. The digits, from most to least significant:
 1. the smallest hash among the window's ``anchor``-byte strings (equal windows have equal smallest hashes, and
    neighbouring windows share theirs, so a run of windows takes one row instead of one row each);
 2. the bytes of the whole run: where two runs are equal, all their windows are;
-3. the bytes of the single window, only for one run of each kind whose first digit also occurs in another kind.
+3. the bytes of the single window, only for each kind's smallest document, where the first digit also occurs in another kind.
 
 A pass deals its rows out by digit in packed arrays and sorts each part in memory; groups with one member end there.
 Copies inside one batch of documents are settled before anything is shuffled, so a passage in a third of all
@@ -79,7 +79,7 @@ def _groups(key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.n
 
 
 def _later(doc: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Rows (in sorted order) whose document is larger than the first of their group."""
+    """Rows (in sorted order) whose document is larger than the smallest of their group."""
     d = doc[order]
     return d > d[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(d) else np.zeros(0, bool)
 
@@ -88,8 +88,8 @@ def _deal(rows: dict[str, np.ndarray], settle: bool, parts: int):
     """Rows packed by digit: (part, data), the batch's own later copies as part -1."""
     order, new = _groups(rows["key"], rows["content"], rows["doc"])
     later = _later(rows["doc"], order, new)
-    # Of one (key, content) a batch sends its smallest document; others with that very document repeat nothing new.
-    send = order[new]
+    # Of one (key, content) a batch sends the places in its smallest document; all others are settled.
+    send = order[~later]
     kept = {n: a[send] for n, a in rows.items()}
     part = (tv.mix(kept["key"] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
     by = np.argsort(part, kind="stable")
@@ -111,7 +111,7 @@ def _joined(packs: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def _sort_parts(dealt: DataFrame, refine: bool) -> DataFrame:
-    """Marks: windows settled as repeats, and with ``refine`` one run per kind where a first digit has several kinds."""
+    """Marks: windows settled as repeats, and with ``refine`` the smallest document's runs of each kind where a first digit has several kinds."""
 
     def marks(rows, order, settled):
         n = len(order)
@@ -120,13 +120,13 @@ def _sort_parts(dealt: DataFrame, refine: bool) -> DataFrame:
     def close(packs):
         rows = _joined(packs)
         order, new = _groups(rows["key"], rows["content"], rows["doc"])
-        yield marks(rows, order[_later(rows["doc"], order, new)], True)
+        later = _later(rows["doc"], order, new)
+        yield marks(rows, order[later], True)
         if refine:
-            kinds = order[new]
-            key = rows["key"][kinds]
-            edge = np.flatnonzero(np.diff(key) != 0) + 1
-            size = np.diff(np.concatenate(([0], edge, [len(key)])))
-            yield marks(rows, kinds[np.repeat(size, size) > 1], False)
+            key = rows["key"][order]
+            at = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+            several = np.bincount(at, new)[at] > 1
+            yield marks(rows, order[several & ~later], False)
 
     def run(batches):
         part, packs = None, []
