@@ -1,10 +1,12 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of distinct words.
 
 A task packs its documents into blocks: one row with the block's distinct words and, per document, which words it
-is made of. The merges then run in the JVM on each distinct word of a block, against a literal rank map; decoding
-concatenates the literal byte pieces of the ids. A last step lays words back into documents. No shuffle is needed,
-so no frequent word is a hot key, and nothing that grows with the corpus is broadcast: the literal is the
-vocabulary.
+is made of. The merges run in the JVM on each distinct word of a block, against a literal rank map; decoding
+concatenates the literal byte pieces of the ids. A last step lays words back into documents, so words are never
+joined back to documents through a shuffle and no frequent word is a hot key.
+
+The corpus's most frequent words (``HEAD`` at most) are folded once instead of once per block and sent to the tasks.
+That table is a cache of bounded size: it changes no result.
 
 Bytes are kept as one character each (ISO-8859-1), so that string functions work on them.
 """
@@ -15,7 +17,7 @@ import base64
 import functools
 import hashlib
 import json
-import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from agroclime.llm.store import split_bytes
 
-BLOCK_BYTES = 8 << 20
-_BUCKETS = 16384
+BLOCK_BYTES = 24 << 20
+LAY_BYTES = 2 << 20
+HEAD = 250_000
+_BUCKETS = 16_384
 _LONG = 192  # bytes; from here on a round merges all places of the lowest pair at once
 
 
@@ -45,25 +49,64 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _murmur3(data: bytes) -> int:
+    """Spark's ``hash`` of a string of these UTF-8 bytes."""
+    mask, h = 0xFFFFFFFF, 42
+
+    def mixed(h, k):
+        k = k * 0xCC9E2D51 & mask
+        k = (k << 15 | k >> 17) & mask
+        h ^= k * 0x1B873593 & mask
+        h = (h << 13 | h >> 19) & mask
+        return (h * 5 + 0xE6546B64) & mask
+
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = mixed(h, int.from_bytes(data[i : i + 4], "little"))
+    for b in data[whole:]:
+        h = mixed(h, (b - 256 if b > 127 else b) & mask)
+    h ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
 class Vocabulary:
-    """Rank and piece literals of one rank file. The map is split by CRC so that a look-up scans a few entries."""
+    """Rank and piece literals of one rank file. The map is split by hash so that a look-up scans a few entries.
+
+    Each literal is bound once per expression (``_let``) and used through that variable: plans, and the tasks that
+    are made of them, then hold one copy of it.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             text = token.decode("latin-1")
-            buckets[zlib.crc32(text.encode()) % _BUCKETS][text] = rank
+            buckets[_murmur3(text.encode()) % _BUCKETS][text] = rank
             pieces[rank] = token.hex()
-        self._buckets = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,int>>")
-        self._pieces = F.transform(F.split(F.lit(",".join(pieces)), ","), F.unhex)
+        # from_json and split of a literal are computed once, by the optimizer
+        self.buckets = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,int>>")
+        self.pieces = F.split(F.lit(",".join(pieces)), ",")
+
+    def encode_words(self, words: Column) -> Column:
+        """Ids of every word of an array (array<array<int>>)."""
+        return _let(self.buckets, lambda b: F.transform(words, _Merges(b).encode_word))
+
+    def decode_words(self, codes: Column) -> Column:
+        """Bytes of every id list: the pieces concatenated (array<binary>)."""
+        return _let(self.pieces, lambda p: F.transform(codes, lambda ids: F.aggregate(ids, F.lit(b""), lambda got, i: F.concat(got, F.unhex(F.get(p, i))))))
 
-    def rank(self, token: Column) -> Column:
-        bucket = F.get(self._buckets, (F.crc32(token.cast("binary")) % F.lit(_BUCKETS)).cast("int"))
-        return F.try_element_at(bucket, token)
 
-    def piece(self, token_id: Column) -> Column:
-        return F.get(self._pieces, token_id)
+class _Merges:
+    """Merges of one word against the bound rank literal."""
+
+    def __init__(self, buckets: Column):
+        self._buckets = buckets
+
+    def rank(self, token: Column) -> Column:
+        return F.try_element_at(F.get(self._buckets, F.pmod(F.hash(token), F.lit(_BUCKETS))), token)
 
     def _pair_ranks(self, tokens: Column) -> Column:
         n = F.size(tokens)
@@ -119,17 +162,60 @@ class Vocabulary:
             wrapped = F.array_join(F.transform(tokens, lambda c: F.concat(F.lit("‹"), c, F.lit("›"))), "")
             long = F.aggregate(F.sequence(F.lit(1), n), wrapped, lambda s, _: self._merge_all(s))
             ended = F.transform(F.split(F.substring(F.ltrim(long, F.lit(".")), 2, 2147483647), "‹"), lambda t: F.rtrim(t, F.lit("›")))
-            return F.when(self.rank(w).isNotNull(), F.array(self.rank(w))).otherwise(F.transform(F.when(n < _LONG, short).otherwise(ended), self.rank))
+            return F.transform(F.when(n < _LONG, short).otherwise(ended), self.rank)
 
         return _let(raw, fold)
 
-    def decode_ids(self, ids: Column) -> Column:
-        """Bytes of an id list: the pieces concatenated."""
-        return F.aggregate(ids, F.lit(b""), lambda got, i: F.concat(got, self.piece(i)))
 
+@dataclass
+class Head:
+    """Codes and bytes of the most frequent words."""
+
+    words: pa.Array
+    codes: np.ndarray
+    code_ends: np.ndarray   # where each word's codes begin, and the end
+    raw: np.ndarray
+    raw_ends: np.ndarray
+
+
+def head_words(words: DataFrame, vocabulary: Vocabulary, size: int = HEAD) -> Head:
+    """The ``size`` most frequent words of a column ``words`` (array<string>) over all rows, folded once."""
+    counted = words.select(F.explode("words").alias("w")).groupBy("w").count().filter("count > 1")
+    top = counted.orderBy(F.desc("count"), "w").limit(size).select("w")
+    packed = top.repartition(16, "w").groupBy(F.spark_partition_id()).agg(F.collect_list("w").alias("words"))
+    codes = packed.select("words", vocabulary.encode_words(F.col("words")).alias("codes"))
+    table = codes.withColumn("pieces", vocabulary.decode_words(F.col("codes"))).toArrow().combine_chunks()
+    if not table.num_rows:
+        return Head(pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    flat = [pa.concat_arrays([c.flatten() for c in table.column(n).chunks]) for n in ("words", "codes", "pieces")]
+    sizes = [pc.list_value_length(flat[1]), pc.binary_length(flat[2])]
+    ends = [np.concatenate(([0], np.cumsum(n.to_numpy(zero_copy_only=False).astype(np.int64)))) for n in sizes]
+    return Head(flat[0], flat[1].flatten().to_numpy(zero_copy_only=False).astype("<u4"), ends[0], np.frombuffer(b"".join(flat[2].to_pylist()), np.uint8), ends[1])
+
+
+def _blocks(batches, head: pa.Array):
+    """One row per block of documents: ids, words per document, index of each word, distinct words that are not head words.
+
+    Indexes count the block's own words first, then the head's.
+    """
+    held, size = [], 0
+
+    def block():
+        ids = pa.concat_arrays([b for b, _, _ in held])
+        counts = np.concatenate([c for _, c, _ in held])
+        coded = pa.chunked_array([w for _, _, w in held]).combine_chunks().dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=head) if len(head) else pa.nulls(len(coded.dictionary), pa.int32())
+        own = known.is_null().to_numpy(zero_copy_only=False)
+        place = np.where(own, np.cumsum(own) - 1, own.sum() + known.fill_null(0).to_numpy(zero_copy_only=False)).astype("<i4")
+        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
+        return pa.RecordBatch.from_arrays(
+            [
+                one(ids, pa.int64()), one(pa.array(counts), pa.int32()),
+                pa.array([place[coded.indices.to_numpy(zero_copy_only=False)].tobytes()], pa.binary()), one(coded.dictionary.filter(pa.array(own)), pa.string()),
+            ],
+            names=["ids", "counts", "places", "words"],
+        )
 
-def _blocks(batches):
-    """One row per block of documents: ids, words per document, index of each word, distinct words."""
     for batch in batches:
         words = batch.column(1)
         ends = words.offsets.to_numpy().astype(np.int64)
@@ -137,15 +223,14 @@ def _blocks(batches):
         sizes = np.concatenate(([0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64))))
         ends = ends - ends[0]
         for a, b in split_bytes((sizes[ends[1:]] - sizes[ends[:-1]]).tolist(), BLOCK_BYTES):
-            coded = flat.slice(ends[a], ends[b] - ends[a]).dictionary_encode()
-            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    one(batch.column(0).slice(a, b - a), pa.int64()), one(pa.array(np.diff(ends[a : b + 1])), pa.int32()),
-                    pa.array([coded.indices.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()), one(coded.dictionary, pa.string()),
-                ],
-                names=["ids", "counts", "places", "words"],
-            )
+            n = sizes[ends[b]] - sizes[ends[a]]
+            if held and size + n > BLOCK_BYTES:
+                yield block()
+                held, size = [], 0
+            held.append((batch.column(0).slice(a, b - a), np.diff(ends[a : b + 1]), flat.slice(ends[a], ends[b] - ends[a])))
+            size += n
+    if held:
+        yield block()
 
 
 def _spread(values: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,28 +254,41 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, columns: li
     """
     vocabulary = Vocabulary(load_ranks(ranks_path))
     split = F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(jvm_pattern(pattern)), F.lit(0))
-    blocks = docs.select(F.col(id_col).cast("long").alias("id"), split.alias("words")).mapInArrow(_blocks, "ids array<long>, counts array<int>, places binary, words array<string>")
-    coded = blocks.select("ids", "counts", "places", F.transform("words", vocabulary.encode_word).alias("codes"))
-    coded = coded.withColumn("pieces", F.transform("codes", vocabulary.decode_ids))
+    words = docs.select(F.col(id_col).cast("long").alias("id"), split.alias("words"))
+    sent = docs.sparkSession.sparkContext.broadcast(head_words(words, vocabulary))
+    blocks = words.mapInArrow(lambda batches: _blocks(batches, sent.value.words), "ids array<long>, counts array<int>, places binary, words array<string>")
+    coded = blocks.select("ids", "counts", "places", vocabulary.encode_words(F.col("words")).alias("codes"))
+    coded = coded.withColumn("pieces", vocabulary.decode_words(F.col("codes")))
 
     def lay_out(batches):
+        head = sent.value
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, counts, codes, pieces = (batch.column(c)[r].values for c in (0, 1, 3, 4))
                 places = np.frombuffer(batch.column(2)[r].as_buffer(), "<i4")
                 ends = np.concatenate(([0], np.cumsum(counts.to_numpy(zero_copy_only=False))))
-                offsets = codes.offsets.to_numpy().astype(np.int64)
-                tokens, begin = _spread(codes.values.to_numpy(zero_copy_only=False).astype("<u4"), offsets, places)
+                all_codes = np.concatenate((codes.flatten().to_numpy(zero_copy_only=False).astype("<u4"), head.codes))
+                offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(codes).to_numpy(zero_copy_only=False).astype(np.int64))))
+                offsets = np.concatenate((offsets, offsets[-1] + head.code_ends[1:]))
                 lengths = np.concatenate(([0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64))))
-                raw, start = _spread(np.frombuffer(b"".join(pieces.to_pylist()), np.uint8), lengths, places)
-                begin, start = begin[ends], start[ends]
-                made = {
-                    "ids": lambda: pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(tokens.view(np.int32))),
-                    "decoded": lambda: pa.array([raw[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary()),
-                    "n_tokens": lambda: pa.array(np.diff(begin)),
-                    "ids_sha256": lambda: pa.array([hashlib.sha256(tokens[a:b]).hexdigest() for a, b in zip(begin[:-1], begin[1:], strict=True)]),
-                    "decoded_sha256": lambda: pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(start[:-1], start[1:], strict=True)]),
-                }
-                yield pa.RecordBatch.from_arrays([ids, *(made[c]() for c in columns)], names=[id_col, *columns])
+                all_raw = np.concatenate((np.frombuffer(b"".join(pieces.to_pylist()), np.uint8), head.raw))
+                lengths = np.concatenate((lengths, lengths[-1] + head.raw_ends[1:]))
+                reach = np.concatenate(([0], np.cumsum(np.diff(lengths)[places])))
+                for a, b in split_bytes(np.diff(reach[ends]).tolist(), LAY_BYTES):
+                    here, edge = places[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+                    tokens, begin = _spread(all_codes, offsets, here)
+                    raw, start = _spread(all_raw, lengths, here)
+                    yield _laid(ids.slice(a, b - a), tokens, begin[edge], raw, start[edge])
+
+    def _laid(ids, tokens, begin, raw, start):
+        pairs = lambda x: zip(x[:-1], x[1:], strict=True)
+        made = {
+            "ids": lambda: pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(tokens.view(np.int32))),
+            "decoded": lambda: pa.array([raw[a:b].tobytes() for a, b in pairs(start)], pa.binary()),
+            "n_tokens": lambda: pa.array(np.diff(begin)),
+            "ids_sha256": lambda: pa.array([hashlib.sha256(tokens[a:b]).hexdigest() for a, b in pairs(begin)]),
+            "decoded_sha256": lambda: pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in pairs(start)]),
+        }
+        return pa.RecordBatch.from_arrays([ids, *(made[c]() for c in columns)], names=[id_col, *columns])
 
     return coded.mapInArrow(lay_out, ", ".join([f"`{id_col}` long", *(f"{c} {_SPARK[c]}" for c in columns)]))

@@ -3,7 +3,7 @@
 Equal vectors are one node, so a vector that a third of all rows share is one node as well. The graph starts from
 blocks of vectors that lie together in random-hyperplane order and is improved by joins of neighbours of neighbours:
 every node meets, at each node it is linked with in either direction, that node's neighbours. These pairs number
-about nodes x neighbours**2 whatever the in-degrees, because two in-links of a hub are never paired with each other.
+about 1.5 x nodes x neighbours**2 whatever the in-degrees, because two in-links of a hub are never paired with each other.
 A query keeps a pool of its nearest nodes so far and expands unexpanded ones until none is left among the best.
 """
 
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from agroclime.llm.store import release, stored
 
-NEIGHBOURS, TABLES, BLOCK, ROUNDS = 14, 4, 96, 4
-POOL, EXPAND, HOPS = 48, 16, 12
+NEIGHBOURS, TABLES, BLOCK, ROUNDS = 28, 4, 96, 6
+POOL, EXPAND, HOPS = 160, 32, 24
+PART_NODES = 20_000  # nodes that one search task holds at a time
 _BITS = 48
 _EDGE = "id long, near long, d float"
 
@@ -86,65 +87,82 @@ def _first_links(nodes: DataFrame, dim: int, k: int) -> DataFrame:
     return coded.repartitionByRange("code", "id").sortWithinPartitions("code", "id").select("code", "id", "vec").mapInArrow(link, _EDGE)
 
 
-def _improve(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Better links found where neighbours meet: rows (centre, member) bring the member's vector and its worst link."""
+def _halves(nodes: DataFrame) -> DataFrame:
+    """(id, half): vectors in half precision as bytes, enough to rank candidates and a quarter of the doubles' size."""
+
+    def run(batches):
+        for batch in batches:
+            x = _matrix(batch.column(1), np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "half"])
+
+    return nodes.select("id", "vec").mapInArrow(run, "id long, half binary")
+
+
+def _improve(graph: DataFrame, halves: DataFrame, dim: int, k: int) -> DataFrame:
+    """Better links found where neighbours meet: rows (centre, lane, member) bring the member's vector and its worst link.
+
+    Lane 0 are the centre's neighbours, lane 1 nodes that have the centre as neighbour; lane 0 comes first, so lane 1
+    streams past it and a hub's many in-links are never held together.
+    """
     worst = graph.groupBy("id").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
-    member = nodes.join(worst, "id").select(F.col("id").alias("member"), F.col("vec").cast("array<float>").alias("vec"), F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("worst")).cast("float").alias("worst"))
+    member = halves.join(worst, "id").select(F.col("id").alias("member"), "half", F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("worst")).cast("float").alias("worst"))
     links = graph.select(F.col("id").alias("centre"), F.col("near").alias("member"), F.lit(0).alias("lane")).union(
         graph.select(F.col("near").alias("centre"), F.col("id").alias("member"), F.lit(1).alias("lane"))
     )
-    rows = links.join(member, "member").select("centre", "lane", "member", "vec", "worst")
+    rows = links.join(member, "member").select("centre", "lane", "member", "half", "worst")
 
     def meet(batches):
-        centre, own, other = None, [], []
-
-        def found(own, other):
-            ids = np.array([m for m, _, _ in own])
-            x, bound = np.stack([v for _, v, _ in own]), np.array([w for _, _, w in own], np.float32)
-            rest = own + other
-            for a in range(0, len(rest), 256):
-                part = rest[a : a + 256]
-                pid = np.array([m for m, _, _ in part])
-                d = _nearest(np.stack([v for _, v, _ in part]), x)
-                d[pid[:, None] == ids[None, :]] = np.inf
-                i, j = np.nonzero(d < np.array([w for _, _, w in part], np.float32)[:, None])
-                yield pid[i], ids[j], d[i, j]
-                i, j = np.nonzero(d < bound[None, :])
-                yield ids[j], pid[i], d[i, j]
-
-        def flush(done):
-            cols = [np.concatenate(c) for c in zip(*done, strict=True)]
-            return _edges(*cols)
-
+        centre, own = None, None
         done, size = [], 0
+
+        def better(a, b, both_ways):
+            ids, x, bound = a
+            d = _nearest(x, b[1])
+            d[ids[:, None] == b[0][None, :]] = np.inf
+            i, j = np.nonzero(d < bound[:, None])
+            out = [(ids[i], b[0][j], d[i, j])]
+            if both_ways:
+                i, j = np.nonzero(d < b[2][None, :])
+                out.append((b[0][j], ids[i], d[i, j]))
+            return out
+
         for batch in batches:
-            x = _matrix(batch.column(3), np.float32)
-            for i, (c, lane, m, w) in enumerate(zip(*(batch.column(n).to_pylist() for n in (0, 1, 2, 4)), strict=True)):
-                if c != centre or len(other) >= 4096:
-                    if own:
-                        for f in found(own, other):
-                            done.append(f)
-                            size += len(f[0])
-                    if c != centre:
-                        own = []
-                    centre, other = c, []
-                (other if lane else own).append((m, x[i], w))
-                if size > 100_000:
-                    yield flush(done)
-                    done, size = [], 0
-        if own:
-            done.extend(found(own, other))
-        if done:
-            yield flush(done)
+            if not batch.num_rows:
+                continue
+            centres, lanes, ids, worsts = (batch.column(n).to_numpy(zero_copy_only=False) for n in (0, 1, 2, 4))
+            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+            cuts = np.flatnonzero((np.diff(centres) != 0) | (np.diff(lanes) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                here = (ids[a:b], x[a:b], worsts[a:b])
+                if centres[a] != centre:
+                    centre, own = centres[a], None
+                found = []
+                if lanes[a] == 0:
+                    # a neighbour list cut by a batch border meets its first part as well
+                    if own is not None:
+                        found += better(here, own, True)
+                    found += better(here, here, False)
+                    own = here if own is None else tuple(np.concatenate(p) for p in zip(own, here, strict=True))
+                elif own is not None:
+                    for c in range(0, b - a, 512):
+                        found += better(tuple(p[c : c + 512] for p in here), own, True)
+                for f in found:
+                    done.append(f)
+                    size += len(f[0])
+            if size > 50_000:
+                yield _edges(*(np.concatenate(c) for c in zip(*done, strict=True)))
+                done, size = [], 0
+        if size:
+            yield _edges(*(np.concatenate(c) for c in zip(*done, strict=True)))
 
     return rows.repartition("centre").sortWithinPartitions("centre", "lane").mapInArrow(meet, _EDGE)
 
 
 def build_graph(nodes: DataFrame, dim: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
     """(id, near, d): each node's nearest ``k`` found after ``rounds`` of NN-descent."""
-    graph = stored(_top(_first_links(nodes, dim, k), k), "graph")
+    graph, halves = stored(_top(_first_links(nodes, dim, k), k), "graph"), stored(_halves(nodes), "halves")
     for _ in range(rounds):
-        graph = stored(_top(graph.unionByName(_improve(graph, nodes, k)), k), "graph")
+        graph = stored(_top(graph.unionByName(_improve(graph, halves, dim, k)), k), "graph")
         release(nodes.sparkSession)
     return graph
 
@@ -161,26 +179,40 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pool: int = P
     entry = F.explode(F.array(*map(F.lit, entries)).cast("array<long>"))
     first = started.union(queries.select("query", entry.alias("id"))).distinct()
 
-    def distance(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(nodes.select("id", F.col("vec").alias("v")), "id").join(queries.select("query", F.col("vec").alias("q")), "query").select("query", "id", "v", "q")
-
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    d = _matrix(batch.column(2), float) - _matrix(batch.column(3), float)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt((d * d).sum(axis=1)))], names=["query", "id", "d"])
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // PART_NODES))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")
+    placed = nodes.select(part, "id", "vec")
+
+    def measure(held: pa.Table, asked: pa.Table) -> pa.Table:
+        ids = held.column("id").to_numpy()
+        order = np.argsort(ids)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(ids) and asked.num_rows:
+            x = _matrix(held.column("vec").combine_chunks(), float)
+            for query, q, wanted in zip(asked.column("query").to_pylist(), _matrix(asked.column("q").combine_chunks(), float), asked.column("ids"), strict=True):
+                near = wanted.values.to_numpy(zero_copy_only=False)
+                d = x[order[np.searchsorted(ids, near, sorter=order)]] - q
+                out.append((np.full(len(near), query), near, np.sqrt((d * d).sum(axis=1))))
+        q, i, d = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"query": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "d": pa.array(d, pa.float64())})
 
-        return met.mapInArrow(run, "query long, id long, d double")
+    def distance(pairs: DataFrame) -> DataFrame:
+        # A query goes once to each part that holds some of its candidates; nodes' vectors are not copied per pair.
+        asked = pairs.select("query", "id", part).groupBy("query", "part").agg(F.collect_list("id").alias("ids"))
+        sent = asked.join(queries.select("query", F.col("vec").alias("q")), "query").select("part", "query", "q", "ids")
+        return placed.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(measure, "query long, id long, d double")
 
     best = Window.partitionBy("query").orderBy("d", "id")
     seen = stored(distance(first).withColumn("open", F.lit(True)).withColumn("r", F.row_number().over(best)), "pool")
     for _ in range(hops):
-        chosen = seen.filter(f"open and r <= {expand}").select("query", "id")
+        turn = F.row_number().over(Window.partitionBy("query").orderBy("r"))
+        chosen = stored(seen.filter(f"open and r <= {pool}").withColumn("turn", turn).filter(F.col("turn") <= expand).select("query", "id"), "chosen")
         if chosen.isEmpty():
             break
         near = chosen.join(links, "id").select("query", F.col("near").alias("id")).distinct()
         fresh = near.join(seen.select("query", "id"), ["query", "id"], "left_anti")
-        marked = seen.select("query", "id", "d", (F.col("open") & (F.col("r") > expand)).alias("open"))
+        marked = seen.join(chosen.withColumn("now", F.lit(True)), ["query", "id"], "left").select("query", "id", "d", (F.col("open") & F.col("now").isNull()).alias("open"))
         both = marked.unionByName(distance(fresh).withColumn("open", F.lit(True)))
         # All seen nodes stay known, so none is measured twice; only the pool's are ever expanded.
         seen = stored(both.withColumn("r", F.row_number().over(best)), "pool")
