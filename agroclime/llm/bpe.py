@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from agroclime.llm.store import split_bytes
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 LAY_BYTES = 2 << 20
-HEAD = 250_000
+HEAD = 600_000
 _BUCKETS = 16_384
 _LONG = 192  # bytes; from here on a round merges all places of the lowest pair at once
 
@@ -180,9 +180,15 @@ class Head:
 
 def head_words(words: DataFrame, vocabulary: Vocabulary, size: int = HEAD) -> Head:
     """The ``size`` most frequent words of a column ``words`` (array<string>) over all rows, folded once."""
-    counted = words.select(F.explode("words").alias("w")).groupBy("w").count().filter("count > 1")
-    top = counted.orderBy(F.desc("count"), "w").limit(size).select("w")
-    packed = top.repartition(16, "w").groupBy(F.spark_partition_id()).agg(F.collect_list("w").alias("words"))
+
+    def count(batches):
+        for batch in batches:
+            seen = batch.column(0).flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([seen.field(0), seen.field(1)], names=["w", "n"])
+
+    counted = words.select("words").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
+    top = counted.orderBy(F.desc("n"), "w").limit(size).select("w", F.pmod(F.hash("w"), F.lit(48)).alias("lane"))
+    packed = top.repartition(48, "lane").groupBy("lane").agg(F.collect_list("w").alias("words"))
     codes = packed.select("words", vocabulary.encode_words(F.col("words")).alias("codes"))
     table = codes.withColumn("pieces", vocabulary.decode_words(F.col("codes"))).toArrow().combine_chunks()
     if not table.num_rows:
