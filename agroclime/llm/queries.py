@@ -130,6 +130,26 @@ def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+OP5_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (
+  SELECT doc_id, s, substr(x, 2 * s + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS s FROM h WHERE n >= 50)
+), f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g),
+hits AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM w JOIN f USING (g) WHERE first < doc_id),
+islands AS (
+  SELECT doc_id, s, sum(CASE WHEN s <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM hits
+), runs AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM islands GROUP BY doc_id, k),
+spans AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, n, coalesce(gone, 0) AS gone, coalesce(len(a), 0) AS m, list_aggregate(list_transform(range(0, coalesce(len(a), 0) + 1),
+    lambda i: substr(x, 2 * coalesce(b[i], 0) + 1, 2 * (coalesce(a[i + 1], n) - coalesce(b[i], 0)))), 'string_agg', '') AS left_over
+  FROM h LEFT JOIN spans USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(m AS BIGINT) AS n_spans,
+  sha256(unhex(left_over)) AS kept_sha256 FROM kept
+"""
+
+
 def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every hundredth vector."""
     from agroclime.llm.nndescent import nearest
@@ -151,6 +171,7 @@ QUERIES = {
 }
 ORACLE = {
     "op4_minhash_near_dedup": OP4_SQL,
+    "op5_repeated_windows": OP5_SQL,
     "op9_warc_chunks": OP9_SQL,
     "op10_chat_snapshots": OP10_SQL,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps now; Spark otherwise waits for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of finished steps now; Spark otherwise waits for the driver's next collection.
+
+    Python gives up its handles in the background, so the JVM collects a second time after a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def split_bytes(sizes, limit: int):
