@@ -37,6 +37,12 @@ def first_year(c: Column) -> Column:
     return F.when(head >= 1000, head).otherwise(found)
 
 
+def strip(c: Column) -> Column:
+    """Text without white space at either end: blanks, tabs, line ends, no-break and other Unicode spaces."""
+    space = r"[\s\p{Z}\x1c-\x1f\x85]+"
+    return F.regexp_replace(c, f"^{space}|{space}$", "")
+
+
 def fixed(c: Column, digits: int) -> Column:
     """``1234.5`` -> ``1234.50``: half-even on the exact binary value, no separators."""
     return F.translate(F.format_number(c, digits), ",", "")
@@ -47,13 +53,29 @@ def grouped(c: Column, digits: int) -> Column:
     return F.format_number(c, digits)
 
 
+def _shortest_java(c: Column) -> Column:
+    """The JVM's text of a DOUBLE, or a shorter one of 15 to 17 digits that reads back as the same number.
+
+    JVMs before 19 sometimes print a digit too many.
+    """
+    text = c.cast("string")
+    shorter = [F.format_string(f"%.{n - 1}e", c) for n in (15, 16, 17)]
+    def tidy(t: Column) -> Column:
+        mantissa = F.regexp_replace(F.substring_index(t, "e", 1), r"(\.\d*?)0+$", "$1")
+        mantissa = F.when(mantissa.endswith("."), F.concat(mantissa, F.lit("0"))).otherwise(mantissa)
+        return F.concat(mantissa, F.lit("E"), F.substring_index(t, "e", -1).try_cast("int").cast("string"))
+    fits = F.coalesce(*[F.when(t.try_cast("double") == c, tidy(t)) for t in shorter], text)
+    long = F.length(F.regexp_replace(F.substring_index(text, "E", 1), r"[^0-9]", "")) >= 17
+    return F.when(text.contains("E") & long, fits).otherwise(text)
+
+
 def shortest_text(c: Column) -> Column:
     """A DOUBLE as its shortest decimal text.
 
     Positional between 1e-4 and 1e16 (``12345678.9``, ``1234.0``), scientific
     with a signed two-digit exponent outside, ``nan`` for NULL.
     """
-    java = c.cast("string")
+    java = _shortest_java(c)
     zeros_cut = F.regexp_replace(java.try_cast("decimal(38,21)").cast("string"), "0+$", "")
     positional = F.when(zeros_cut.endswith("."), F.concat(zeros_cut, F.lit("0"))).otherwise(zeros_cut)
     mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
@@ -61,7 +83,7 @@ def shortest_text(c: Column) -> Column:
     scientific = F.concat(
         mantissa,
         F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(exponent).cast("string"),
     )
     size = F.abs(c)
     return (
@@ -83,16 +105,14 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(px, py), F.stddev_samp(px) * F.stddev_samp(py))
 
 
-def stable_mean(c: Column) -> Column:
-    """Aggregate: the mean, the same whatever order the rows come in.
+def ordered_mean(c: Column) -> Column:
+    """Aggregate: the mean of a bounded group, summed from the smallest value up.
 
-    Sums exactly at eight decimals. For means that are shown as text, where the last
-    bit of a floating sum would decide a rounding tie. Values too large for that
-    fall back to the floating mean.
+    For means that are shown as text, where the last bit of a floating sum would decide a rounding tie: the order of
+    the sum, not the values, is fixed. It gathers the group, so it is for groups bounded by ``top_k`` rows.
     """
-    exact = c.try_cast("decimal(38,8)")
-    mean = F.try_divide(F.try_sum(exact).cast("double"), F.count(c).cast("double"))
-    return F.coalesce(F.when(F.count(exact) == F.count(c), mean), F.avg(c))
+    values = F.array_sort(F.collect_list(nan_to_null(c)))
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x), F.size(values).cast("double"))
 
 
 def l2_normalized(v: Column) -> Column:

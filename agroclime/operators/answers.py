@@ -326,9 +326,11 @@ RENDERERS = {
 
 def unanswered(questions: DataFrame, answered: DataFrame | None) -> DataFrame:
     """Questions whose (query, top_k, temperature) has no answer yet, each key once."""
-    fresh = questions if answered is None else questions.join(
-        answered.select(*KEYS).distinct(), list(KEYS), "left_anti"
-    )
+    fresh = questions
+    if answered is not None:
+        known = answered.select(*[F.col(k).alias(f"__{k}") for k in KEYS]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEYS])
+        fresh = questions.join(known, same, "left_anti")
     return fresh.groupBy(*KEYS).agg(F.min("question_id").alias("question_id")).select("question_id", *KEYS)
 
 
@@ -389,14 +391,20 @@ def answer_batch(
     questions: DataFrame, vectors: DataFrame, encoder, answered: DataFrame | None = None,
     include_sources: bool = True, states=kw.QUESTION_STATES, crops=kw.QUESTION_CROPS, **retrieval,
 ) -> DataFrame:
-    """Retrieves and answers every question not answered before.
+    """One answer per asked question: repeats share one, and ``answered`` (earlier rows of this result) is reused.
 
-    The hits are the expensive part and feed several branches, so they are written
-    to the shared folder once.
+    Only new (query, top_k, temperature) keys are retrieved. The hits are the expensive part and feed several
+    branches, so they are written to the shared folder once.
     """
-    fresh = as_table(unanswered(with_defaults(questions), answered), "questions")
+    asked = as_table(with_defaults(questions), "asked")
+    fresh = as_table(unanswered(asked, answered), "questions")
     hits = as_table(retrieve(fresh, vectors, encoder, **retrieval), "hits")
-    return answer_hits(fresh, hits, include_sources, states, crops)
+    told = answer_hits(fresh, hits, include_sources, states, crops).drop("question_id")
+    if answered is not None:
+        told = told.unionByName(answered.select(*told.columns).dropDuplicates(list(KEYS)))
+    known = told.withColumnsRenamed({k: f"__{k}" for k in KEYS})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEYS])
+    return asked.select("question_id", *KEYS).join(known, same, "left").drop(*[f"__{k}" for k in KEYS])
 
 
 def log_queries(answers: DataFrame, timestamp: str) -> DataFrame:

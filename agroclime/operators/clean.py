@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agroclime.functions.keywords import STATE_SUBDIVISION
-from agroclime.functions.numbers import first_year, nan_to_null, text_to_double, year_number
+from agroclime.functions.numbers import first_year, nan_to_null, strip, text_to_double, year_number
 
 RAIN_KEYS = ("subdivision", "year", "annual_rainfall")
 FACT_KEYS = ("state", "district", "crop", "year_cleaned")
@@ -58,8 +58,11 @@ def project_available(df: DataFrame, want: Sequence[str]) -> DataFrame:
 
 def subdivision_dim(spark, mapping: dict[str, str] | None = None) -> DataFrame:
     """The state -> subdivision dimension (31 literal rows unless given)."""
-    rows = list((STATE_SUBDIVISION if mapping is None else mapping).items())
-    return spark.createDataFrame(rows, "state string, subdivision string")
+    pairs = STATE_SUBDIVISION if mapping is None else mapping
+    # An inline table has a known size, so Spark's size check broadcasts it; a frame made from Python rows has none.
+    quoted = [tuple("'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'" for s in p) for p in pairs.items()]
+    rows = ", ".join(f"({s}, {d})" for s, d in quoted) or "(cast(null as string), cast(null as string))"
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS dim(state, subdivision)")
 
 
 def map_subdivision(crop: DataFrame, dim: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def flag_facts(facts: DataFrame) -> DataFrame:
 def flag_documentable(facts: DataFrame) -> DataFrame:
     """Flags facts that cannot become a document: a blank key text or no year."""
     def blank(name: str) -> Column:
-        return F.coalesce(F.trim(F.col(name)) == "", F.lit(True))
+        return F.coalesce(strip(F.col(name)) == "", F.lit(True))
 
     return facts.withColumn("reject_reason", _first_reason([
         ("blank state", blank("state")),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agroclime.functions.numbers import fixed, shortest_text
+from agroclime.functions.numbers import fixed, shortest_text, strip
 from agroclime.operators.clean import MEASURES, coerce_numeric, flag_documentable, kept
 from agroclime.sources.schemas import DOCUMENT, METADATA
 
@@ -18,7 +18,7 @@ SOURCE_LABEL = "Ministry of Agriculture (crop) & IMD (rainfall)"
 
 
 def _trimmed(name: str) -> Column:
-    return F.trim(F.col(name))
+    return strip(F.col(name))
 
 
 def sentence(year: Column, state: Column, district: Column, crop: Column,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agroclime.functions.numbers import pearson, stable_mean
+from agroclime.functions.numbers import pearson, ordered_mean
 
 FALLBACK_ROWS = 20
 SPECIFIC_ROWS = 20
@@ -118,9 +118,9 @@ def comparison_groups(points: DataFrame) -> DataFrame:
     grouped = sized.withColumn("mode", mode).withColumn("key", key).groupBy(
         "question_id", "n_points", "mode", "key"
     ).agg(
-        F.coalesce(stable_mean(F.col("production")), F.lit(0.0)).alias("avg_production"),
-        F.coalesce(stable_mean(F.col("yield")), F.lit(0.0)).alias("avg_yield"),
-        F.coalesce(stable_mean(F.col("rainfall")), F.lit(0.0)).alias("avg_rainfall"),
+        F.coalesce(ordered_mean(F.col("production")), F.lit(0.0)).alias("avg_production"),
+        F.coalesce(ordered_mean(F.col("yield")), F.lit(0.0)).alias("avg_yield"),
+        F.coalesce(ordered_mean(F.col("rainfall")), F.lit(0.0)).alias("avg_rainfall"),
     )
     by_year = F.col("mode") == "year"
     rank = F.row_number().over(per_question().orderBy(
@@ -154,7 +154,7 @@ def compare_by_crop(points: DataFrame) -> DataFrame:
 def trend_by_year(points: DataFrame, *keep: str) -> DataFrame:
     """Last ten years: the three means, a mean of zero counting as absent."""
     means = points.where(present("year").isNotNull()).groupBy("question_id", *keep, "year").agg(*[
-        F.nullif(stable_mean(F.col(c)), F.lit(0.0)).alias(f"avg_{c}") for c in ("production", "yield", "rainfall")
+        F.nullif(ordered_mean(F.col(c)), F.lit(0.0)).alias(f"avg_{c}") for c in ("production", "yield", "rainfall")
     ])
     latest = F.row_number().over(per_question().orderBy(F.desc("year")))
     return means.withColumn("__latest", latest).where(F.col("__latest") <= SHOWN_KEYS).drop("__latest")
@@ -215,8 +215,8 @@ def question_corr(points: DataFrame) -> DataFrame:
     measured = points.groupBy("question_id").agg(
         F.count_if(complete).alias("n_pairs"),
         pearson(F.col("rainfall"), F.col("yield")).alias("correlation"),
-        stable_mean(F.when(complete, F.col("rainfall"))).alias("avg_rainfall"),
-        stable_mean(F.when(complete, F.col("yield"))).alias("avg_yield"),
+        ordered_mean(F.when(complete, F.col("rainfall"))).alias("avg_rainfall"),
+        ordered_mean(F.when(complete, F.col("yield"))).alias("avg_yield"),
     )
     r = F.col("correlation")
     band = F.when(r > STRONG, "positive").when(r < -STRONG, "negative").when(r.isNotNull(), "weak")
@@ -228,7 +228,7 @@ def summary_stats(points: DataFrame) -> DataFrame:
     measures = [
         fn(F.col(c)).alias(f"{name}_{c}")
         for c in ("production", "yield", "rainfall")
-        for name, fn in (("avg", stable_mean), ("max", F.max), ("min", F.min))
+        for name, fn in (("avg", ordered_mean), ("max", F.max), ("min", F.min))
     ]
     sample = F.when(F.col("rank") <= SAMPLE_ROWS, F.struct("rank", "state", "year", "crop"))
     return points.groupBy("question_id").agg(

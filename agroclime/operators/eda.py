@@ -185,51 +185,137 @@ def quantiles_of_counts(stored: DataFrame, points=QUARTILES) -> DataFrame:
     ])
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], points=QUARTILES) -> DataFrame:
-    """(column_name, p25, p50, p75) by default."""
-    return quantiles_of_counts(value_counts(df, cols), points)
+# percentile_approx is off by at most 1 / ACCURACY of the rows; brackets are twice as wide.
+ACCURACY = 10_000
+
+
+def _brackets(values: DataFrame, cols: Sequence[str], points) -> list[tuple[str, str, float, float, float]]:
+    """(column, point, position of the wanted rank, low, high): values that enclose each wanted rank. One job, one row."""
+    step = 2 / ACCURACY
+    edges = [e for _, p in points for e in (max(p - step, 0.0), min(p + step, 1.0))]
+    row = values.agg(*[
+        F.struct(F.count(c).alias("n"), F.percentile_approx(c, edges, ACCURACY).alias("edges"),
+                 F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"c{i}") for i, c in enumerate(cols)
+    ]).first()
+    found = []
+    for i, c in enumerate(cols):
+        if row[f"c{i}"]["n"]:
+            n, at = row[f"c{i}"]["n"], row[f"c{i}"]["edges"]
+            for j, (name, p) in enumerate(points):
+                low = row[f"c{i}"]["lo"] if edges[2 * j] == 0 or n < ACCURACY else at[2 * j]
+                high = row[f"c{i}"]["hi"] if edges[2 * j + 1] == 1 or n < ACCURACY else at[2 * j + 1]
+                found.append((c, name, p * (n - 1), low, high))
+    return found
 
 
-def _moments_of_counts(stored: DataFrame) -> DataFrame:
-    """count, mean, std (n-1), min and max per column of ``value_counts``.
+def exact_quantiles(df: DataFrame, cols: Sequence[str], points=QUARTILES) -> DataFrame:
+    """(column_name, p25, p50, p75) by default; exact, linearly interpolated.
 
-    The deviations are taken from the mean, as in a two-pass variance; the means are
-    one row per column.
+    Values are not shuffled: one aggregate brackets every wanted rank, a second counts what lies under each bracket
+    and keeps only the few values inside it, and those alone are ranked (``quantiles_of_counts`` spreads them by
+    range). The columns are stored once, so a derived input is computed once.
     """
-    means = stored.groupBy("column_name").agg(
-        F.sum("n").alias("count"),
-        F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    typed = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
+    return _quantiles_of_stored(as_table(typed, "values"), cols, points)
+
+
+def _quantiles_of_stored(values: DataFrame, cols: Sequence[str], points) -> DataFrame:
+    spark = values.sparkSession
+    brackets = _brackets(values, cols, points)
+    schema = "column_name string, " + ", ".join(f"{name} double" for name, _ in points)
+    if not brackets:
+        return spark.createDataFrame([], schema)
+    inside = F.array(*[
+        F.when(F.col(c).between(low, high), F.struct(F.lit(i).alias("bracket"), F.col(c).alias("value")))
+        for i, (c, _, _, low, high) in enumerate(brackets)
+    ])
+    slivers = values.select(F.inline(F.filter(inside, lambda x: x.isNotNull()))).groupBy(
+        F.col("bracket").cast("string").alias("column_name"), "value"
+    ).agg(F.count("*").alias("n"))
+    counts = as_table(
+        slivers.repartitionByRange("column_name", "value").withColumn("part", F.spark_partition_id()),
+        "value-counts", partition_by=["part"],
     )
-    off = F.col("value") - F.col("mean")
-    spread = stored.join(F.broadcast(means.select("column_name", "mean")), "column_name").groupBy("column_name").agg(
-        F.sum(off * off * F.col("n")).alias("squares")
+    under = values.agg(*[F.count_if(F.col(c) < low).alias(f"b{i}") for i, (c, _, _, low, _) in enumerate(brackets)]).first()
+    held = {r["column_name"]: r["n"] for r in counts.groupBy("column_name").agg(F.sum("n").alias("n")).collect()}
+    wanted = []
+    for i, (c, name, position, _, _) in enumerate(brackets):
+        local = position - under[f"b{i}"]
+        if not 0 <= local <= held[str(i)] - 1:
+            # Not seen within percentile_approx's stated error; the general way needs no bracket.
+            return quantiles_of_counts(value_counts(values, cols), points)
+        wanted.append((str(i), c, name, float(local)))
+    asked = spark.createDataFrame(wanted, "column_name string, real string, point string, position double")
+    at = _values_at(counts, asked)
+    return at.groupBy(F.col("real").alias("column_name")).agg(*[
+        F.max(F.when(F.col("point") == name, F.col("quantile"))).alias(name) for name, _ in points
+    ])
+
+
+def _values_at(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(column_name, position, ...)`` with ``quantile``, the interpolated value at each position of its counts.
+
+    Only the ranges that hold a wanted rank are ranked inside. ``asked`` has one row per bracket.
+    """
+    totals = counts.groupBy("column_name", "part").agg(F.sum("n").alias("part_n"))
+    before = Window.partitionBy("column_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.withColumn("first_rank", F.coalesce(F.sum("part_n").over(before), F.lit(0)))
+    holds = (F.floor("position") < F.col("first_rank") + F.col("part_n")) & (F.ceil("position") >= F.col("first_rank"))
+    wanted = placed.join(F.broadcast(asked), "column_name").where(holds)
+    running = Window.partitionBy("column_name", "part").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    return means.join(spread, "column_name").select(
-        "column_name", "count", "mean",
-        F.sqrt(F.try_divide(F.col("squares"), F.col("count") - 1)).alias("std"), "min", "max",
+    # At most two ranges per bracket are left in ``wanted``.
+    ranked = counts.join(F.broadcast(wanted), ["column_name", "part"]).withColumn(
+        "to_rank", F.col("first_rank") + F.sum("n").over(running) - 1
     )
+    first = F.col("to_rank") - F.col("n") + 1
+
+    def at(rank):
+        return F.max(F.when((first <= rank) & (rank <= F.col("to_rank")), F.col("value")))
+
+    kept = [c for c in asked.columns]
+    picked = ranked.groupBy(*kept).agg(at(F.floor("position")).alias("lo"), at(F.ceil("position")).alias("hi"))
+    share = F.col("position") - F.floor("position")
+    return picked.withColumn("quantile", F.col("lo") + (F.col("hi") - F.col("lo")) * share)
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std (n-1), min, quartiles and max, one row per column.
 
-    The input is read once; everything follows from its stored value counts.
+    The columns are stored once; two aggregates and the few values near each quartile give the rest.
     """
-    stored = value_counts(df, cols)
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
-    return (
-        names.join(_moments_of_counts(stored), "column_name", "left")
-        .join(quantiles_of_counts(stored), "column_name", "left")
-        .select(
-            "column_name", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min",
-            *[name for name, _ in QUARTILES], "max",
-        )
+    typed = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
+    values = as_table(typed, "values")
+    moments = values.agg(*[
+        F.struct(
+            F.lit(c).alias("column_name"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+            F.min(c).alias("min"), F.max(c).alias("max"),
+        ).alias(f"c{i}") for i, c in enumerate(cols)
+    ]).select(F.inline(F.array(*[f"c{i}" for i in range(len(cols))])))
+    return moments.join(_quantiles_of_stored(values, cols, QUARTILES), "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", *[name for name, _ in QUARTILES], "max",
     )
+def describe_approx(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """``describe`` in one pass without a sort; quartiles within 1/accuracy of their rank."""
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    shares = [p for _, p in QUARTILES]
+    one = df.agg(
+        *[fn(c).alias(f"{c}|{name}") for c in cols for name, fn in stats.items()],
+        *[F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(f"{c}|quartiles") for c in cols],
+    )
+    return one.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(c).alias("column_name"),
+            *[F.col(f"`{c}|{name}`").alias(name) for name in ("count", "mean", "std", "min")],
+            *[F.col(f"`{c}|quartiles`")[i].alias(name) for i, (name, _) in enumerate(QUARTILES)],
+            F.col(f"`{c}|max`").alias("max"),
+        )
+        for c in cols
+    ])))
 
 
-def describe_approx(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+def describe_approx(df: DataFrame, cols: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
     """``describe`` in one pass without a sort; quartiles within 1/accuracy of their rank."""
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     shares = [p for _, p in QUARTILES]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agroclime.functions.numbers import fixed
+from agroclime.functions.numbers import fixed, nan_to_null
 
 DEFAULT_YEARS = 5
 # Replies.
@@ -36,11 +36,11 @@ def answer_parsed(parsed: DataFrame, rain: DataFrame) -> DataFrame:
     """Answers every parsed question of the rainfall comparison class in one job.
 
     Rainfall is summed per (state, year) before it meets the questions, so the join
-    carries one row per state and year however long the rainfall table is. The sums
-    are exact at eight decimals, so the text does not depend on row order.
+    carries one row per state and year however long the rainfall table is. Rows
+    without a number are in neither the sum nor the count.
     """
     yearly = rain.where("state is not null").groupBy("state", "year").agg(
-        F.try_sum(F.col("annual_rainfall").try_cast("decimal(38,8)")).alias("total"), F.count("annual_rainfall").alias("n")
+        F.sum(nan_to_null(F.col("annual_rainfall"))).alias("total"), F.count(nan_to_null(F.col("annual_rainfall"))).alias("n")
     )
     asked = parsed.select(
         "question_id",
@@ -55,7 +55,7 @@ def answer_parsed(parsed: DataFrame, rain: DataFrame) -> DataFrame:
         F.col("year").between(F.col("last_year") - F.col("n_years") + 1, F.col("last_year"))
     )
     means = in_range.groupBy("question_id", "state").agg(
-        F.try_divide(F.try_sum("total").cast("double"), F.sum("n").cast("double")).alias("mean")
+        F.try_divide(F.sum("total"), F.sum("n").cast("double")).alias("mean")
     )
     pairs = means.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("state", "mean"))).alias("means"))
 

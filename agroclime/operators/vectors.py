@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agroclime.functions.numbers import l2_normalized
+from agroclime.sources.scratch import as_table
 
 # The scoring code travels with the tasks, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,9 +24,8 @@ EMBEDDING_DIM = 384
 ENCODE_BATCH = 256
 # Fixed value: the index kind the manifest names.
 INDEX_TYPE = "IndexFlatIP"
-# Scores are compared at this precision: the last bits of a matrix product depend
-# on the shape of the batch, and equal documents must tie wherever they sit.
-SCORE_DIGITS = 10
+# The last bits of a matrix product depend on the shape of the batch: it only screens
+# rows, with this slack, and pairs that pass are scored again one by one.
 SCORE_SLACK = 1e-9
 # Scores held at once by a task: 32 MB.
 SCORE_CELLS = 4 << 20
@@ -118,6 +118,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _pair_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row; each is summed in one fixed order, so equal pairs tie wherever they are scored."""
+    return np.ascontiguousarray(a * b).sum(axis=1)
+
+
 class _BestPerQuestion:
     """The best k rows seen so far for each question of a block.
 
@@ -142,7 +147,8 @@ class _BestPerQuestion:
     def _add_slice(self, rows: pa.Table) -> None:
         # In id order a stable sort on the score alone breaks ties on the id.
         rows = rows.sort_by("__id")
-        scores = self.matrix @ _matrix(rows.column("__vec")).T
+        vectors = _matrix(rows.column("__vec"))
+        scores = self.matrix @ vectors.T
         bar = self.bar
         unset = np.flatnonzero(np.isneginf(bar))
         if len(unset):  # no k-th best yet: take this slice's own
@@ -153,7 +159,7 @@ class _BestPerQuestion:
         hit = scores >= (bar - SCORE_SLACK)[:, None]
         for i in np.flatnonzero(hit.sum(axis=1) > 2 * self.k):
             cols = np.flatnonzero(hit[i])
-            order = np.argsort(-np.round(scores[i, cols], SCORE_DIGITS), kind="stable")[: self.k[i]]
+            order = np.argsort(-_pair_scores(self.matrix[[i]], vectors[cols]), kind="stable")[: self.k[i]]
             hit[i] = False
             hit[i, cols[order]] = True
         q, pos = np.nonzero(hit)
@@ -161,7 +167,7 @@ class _BestPerQuestion:
             return
         picked = rows.drop_columns(["__vec"]).take(pa.array(pos))
         self.q = np.concatenate([self.q, q])
-        self.score = np.concatenate([self.score, np.round(scores[q, pos], SCORE_DIGITS)])
+        self.score = np.concatenate([self.score, _pair_scores(self.matrix[q], vectors[pos])])
         self.rows = picked if self.rows is None else pa.concat_tables([self.rows, picked])
         if len(unset) or len(self.q) > 4 * int(self.k.sum()):
             self.compact()
@@ -352,6 +358,6 @@ def attach_documents(hits: DataFrame, documents: DataFrame, id_col: str = "id")
 
 
 def retrieve(questions: DataFrame, vectors: DataFrame, encoder, k: int | None = None, **options) -> DataFrame:
-    """Embeds the questions and returns their nearest documents as hits."""
-    embedded = embed(questions, "query", encoder)
+    """Embeds the questions, once and stored, and returns their nearest documents as hits."""
+    embedded = as_table(embed(questions, "query", encoder), "embedded")
     return similarity_topk(embedded, vectors, k, payload=("text", "metadata"), **options)

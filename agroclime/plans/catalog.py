@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from agroclime.functions.keywords import STATE_SUBDIVISION
 from agroclime.functions.numbers import year_number
 from agroclime.operators import answers as an
 from agroclime.operators import clean, corpus, eda, explore, rainfall, vectors
@@ -122,6 +123,18 @@ def to_int_year(spark, sf):
     ).groupBy("year_text", "year", "bad_year").agg(F.count("*").alias("n_rows"))
 
 
+@query()
+def map_subdivision_literal(spark, sf):
+    """Nations renamed to the literal states, mapped by the literal dimension."""
+    states = sorted(STATE_SUBDIVISION)
+    name = F.element_at(F.array(*map(F.lit, states)), (F.col("n_nationkey") % len(states) + 1).cast("int"))
+    named = b.table(spark, sf, "customer").join(
+        b.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), name.alias("state")), "c_nationkey"
+    )
+    mapped = clean.map_subdivision(named.select("c_custkey", "state"), clean.subdivision_dim(spark))
+    return mapped.groupBy("state", "subdivision").agg(F.count("*").alias("n_rows"))
+
+
 @query()
 def map_subdivision(spark, sf):
     mapped = clean.map_subdivision(b.crop_raw(spark, sf), b.subdivisions(spark, sf))
@@ -296,8 +309,8 @@ def most_recorded_crops(spark, sf):
 
 @query()
 def restrict_to_top(spark, sf):
-    facts = b.facts(spark, sf)
-    return eda.restrict_to_top(facts, eda.most_recorded_crops(facts, 2)).select(FACTS)
+    facts = b.stored_facts(spark, sf)
+    return eda.restrict_to_top(facts, eda.most_recorded_crops(facts, 5)).select(FACTS)
 
 
 @query()
@@ -410,11 +423,21 @@ def facts_csv(spark, sf):
     return readers.read_facts(spark, path, "csv")
 
 
+@query()
+def facts_csv_reordered(spark, sf):
+    """A file with its columns in another order and without yield: names decide, the absent measure is NULL."""
+    path = scratch_path(spark, "facts-csv")
+    shuffled = b.facts(spark, sf).select("district", "crop", "annual_rainfall", "production", "year_cleaned", "state")
+    shuffled.write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_facts(spark, path, "csv")
+
+
 @query()
 def facts_parquet(spark, sf):
+    """All facts written by year and read back."""
     path = scratch_path(spark, "facts-parquet")
     writers.write_facts(b.facts(spark, sf), path, partition_by_year=True)
-    return explore.explore(readers.read_facts(spark, path), crops=["PROMO"], years=[1998, 1999])
+    return readers.read_facts(spark, path)
 
 
 @query()
@@ -440,7 +463,8 @@ def corpus_json(spark, sf):
 def corpus_sample_csv(spark, sf):
     path = scratch_path(spark, "sample")
     writers.write_corpus_sample(_documents(spark, sf), path)
-    return spark.read.option("header", True).option("escape", '"').csv(path).select("id", "text", "state", "crop")
+    typed = "id string, text string, state string, district string, year int, crop string, production double, yield double, annual_rainfall double, source string, created_at string"
+    return spark.read.schema(typed).option("header", True).option("escape", '"').csv(path)
 
 
 # -------------------------------------------------------------------- vectors
@@ -488,6 +512,13 @@ def similarity_topk_batch(spark, sf):
     return vectors.similarity_topk(asked, _embeddings(spark, sf), 5, id_col="vec_id")
 
 
+@query(6)
+def similarity_topk_blocks(spark, sf):
+    """The same with question blocks, as for more questions than every task can hold."""
+    asked = _embeddings(spark, sf).select(F.col("vec_id").alias("question_id"), "embedding")
+    return vectors.similarity_topk(asked, _embeddings(spark, sf), 5, id_col="vec_id", max_questions=10, block=64)
+
+
 @query(6)
 def attach_documents(spark, sf):
     """Hits joined with the documents table on the document id."""

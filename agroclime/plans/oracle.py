@@ -21,8 +21,8 @@ ORACLE: dict[str, str] = {}
 
 
 def mean(x: str) -> str:
-    """A mean that does not depend on row order: exact sum at 8 decimals."""
-    return f"(cast(sum(cast({x} as decimal(38, 8))) as double) / count({x}))"
+    """A mean that does not depend on row order: summed from the smallest value up."""
+    return f"(list_aggregate(list_sort(list({x}) filter ({x} is not null)), 'sum') / nullif(count({x}), 0))"
 
 
 def text(s: str) -> str:
@@ -177,6 +177,10 @@ put("coerced_cells", "select 'price' as column_name, cast(0 as bigint) as coerce
 put("to_int_year", "select cast(year(o_orderdate) as varchar) || '.0' as year_text, cast(year(o_orderdate) as bigint) as year, "
     "cast(null as bigint) as bad_year, count(*) as n_rows from orders group by 1, 2, 3")
 put("map_subdivision", UPTO_CROP + "select state, subdivision, count(*) as n_rows from crop group by 1, 2")
+STATES = sorted(kw.STATE_SUBDIVISION)
+put("map_subdivision_literal", f"with named as (select {names(STATES)}[1 + c_nationkey % {len(STATES)}] as state from customer), "
+    "dim as (select unnest(" + names(STATES) + ") as state, unnest(" + names([kw.STATE_SUBDIVISION[x] for x in STATES]) + ") as subdivision) "
+    "select state, subdivision, count(*) as n_rows from named left join dim using (state) group by 1, 2")
 put("strict_crop_clean", UPTO_CROP + f"select state, district, crop, year, area, production, yield from crop")
 put("flag_rain_counts", "select case when o_orderpriority = '1-URGENT' then 'bad year' "
     "when o_orderpriority = '5-LOW' then 'missing rainfall' else 'written' end as outcome, count(*) as n_rows "
@@ -254,7 +258,7 @@ put("state_yield", means("state", avg_yield="yield"))
 put("best_states", means("state", "order by avg(yield) desc, state limit 5", avg_yield="yield"))
 put("most_recorded_crops", UPTO_FACTS + "select crop, count(*) as n_rows from facts group by 1 order by 2 desc, 1 limit 5")
 put("restrict_to_top", UPTO_FACTS + f"select {FACT_COLS} from facts where crop in "
-    "(select crop from facts group by crop order by count(*) desc, crop limit 2)")
+    "(select crop from facts group by crop order by count(*) desc, crop limit 5)")
 put("crop_year_yield", UPTO_FACTS + "select crop, year_cleaned, round(avg(yield) + 3e-7, 4) as avg_yield from facts where crop in "
     "(select crop from facts group by crop order by count(*) desc, crop limit 5) group by 1, 2")
 CHART_KEYS = 'year_cleaned as "Year", state as "State", crop as "Crop"'
@@ -331,10 +335,12 @@ DOC_COLS = "id, text, state, district, year, crop, production, yield, annual_rai
 for name in ("build_documents", "document_json", "corpus_json"):
     put(name, UPTO_DOCS + f"select {DOC_COLS} from docs")
 put("corpus_sample", UPTO_DOCS + "select id, text from docs order by id, text limit 200")
-put("corpus_sample_csv", UPTO_DOCS + "select id, text, state, crop from docs order by id, text limit 200")
+put("corpus_sample_csv", UPTO_DOCS + f"select {DOC_COLS} from docs order by id, text limit 200")
 for name in ("facts_csv", "raw_csv"):
     put(name, ORACLE["facts"])
-put("facts_parquet", UPTO_FACTS + f"select {FACT_COLS} from facts where crop = 'PROMO' and year_cleaned in (1998, 1999)")
+put("facts_parquet", ORACLE["facts"])
+put("facts_csv_reordered", UPTO_FACTS + "select state, district, year_cleaned, crop, production, cast(null as double) as yield, "
+    "annual_rainfall from facts")
 
 # -------------------------------------------------------------------- vectors
 
@@ -361,6 +367,7 @@ put("similarity_topk", topk(CENTROIDS, ", label") + "select question_id, rank, v
     "cast(label as bigint) as label from ranked where rank <= 5")
 put("similarity_topk_batch", topk("asked as (select vec_id as question_id, e as q from vec)")
     + "select question_id, rank, vec_id, round(s + 3e-9, 6) as similarity_score from ranked where rank <= 5")
+put("similarity_topk_blocks", ORACLE["similarity_topk_batch"])
 put("attach_documents", topk(CENTROIDS) + "select question_id, rank, vec_id, round(s + 3e-9, 6) as similarity_score, text, lang "
     "from ranked join documents on doc_id = vec_id where rank <= 5")
 put("vectors_parquet", UPTO_FACTS + "select state, count(*) as n_vectors, cast(64 as bigint) as width, count(*) as n_unit "

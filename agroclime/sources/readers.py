@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from agroclime.functions.keywords import NA_TOKENS
 from agroclime.functions.numbers import text_to_double, year_number
-from agroclime.operators.clean import normalize_columns, rename_rain
+from agroclime.operators.clean import FACT_KEYS, normalize_columns, rename_rain
 from agroclime.sources.schemas import DOCUMENT, FACTS, VECTOR
 
 
@@ -33,22 +33,31 @@ def _read_text_csv(spark: SparkSession, path: str, encoding: str, multiline: boo
     )
 
 
-def read_crop(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
-    """Crop CSV with normalised headers, all cells text. Files in Latin-1 need ``encoding``."""
+def read_crop(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+    """Crop CSV with normalised headers, all cells text. Files in Latin-1 need ``encoding``.
+
+    Quoted line breaks belong to their cell; ``multiline=False`` lets Spark split large files that have none.
+    """
     return normalize_columns(_read_text_csv(spark, path, encoding, multiline))
 
 
-def read_rain(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
+def read_rain(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
     """Rainfall CSV with the build's column names, all cells text."""
     return rename_rain(_read_text_csv(spark, path, encoding, multiline))
 
 
 def read_facts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The saved facts. CSV cells are coerced one by one; Parquet is typed already."""
+    """The saved facts. CSV columns go by their header names and cells are coerced one by one; Parquet is typed already.
+
+    A measure that a CSV file lacks is NULL; a missing key column is an error.
+    """
     if fmt == "parquet":
         return spark.read.schema(FACTS).parquet(path).select(FACTS.names)
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in FACTS.fields])
-    raw = na_to_null(spark.read.schema(text).option("header", True).option("escape", '"').csv(path))
+    raw = normalize_columns(_read_text_csv(spark, path, "UTF-8", True))
+    absent = [k for k in FACT_KEYS if k not in raw.columns]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)} in {path}")
+    raw = raw.withColumns({f.name: F.lit(None).cast("string") for f in FACTS.fields if f.name not in raw.columns})
     return raw.select(*[
         F.col(f.name) if isinstance(f.dataType, T.StringType)
         else (year_number if isinstance(f.dataType, T.IntegerType) else text_to_double)(F.col(f.name)).alias(f.name)

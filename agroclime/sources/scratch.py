@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 
@@ -14,10 +15,13 @@ _LOCAL_ROOTS: dict[str, str] = {}
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a laptop, a test) gets a local folder.
+    Only a session on one machine (``local`` master) without that setting gets a temporary
+    folder; on a cluster its absence is an error, as executors do not share local disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="agroclime-")
@@ -25,6 +29,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete this session's temporary folder, if it had to make one. A named shared folder is left to its owner."""
+    root = _LOCAL_ROOTS.pop(spark.sparkContext.applicationId, None)
+    if root:
+        shutil.rmtree(root, ignore_errors=True)
+
+
 def as_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write the frame once and read it back.
 

@@ -10,6 +10,8 @@ from agroclime.operators.vectors import vector_manifest
 
 def write_facts(df: DataFrame, path: str, fmt: str = "parquet", partition_by_year: bool = False) -> None:
     """Parquet for later stages (by year if asked, for pruning), CSV with a header for exchange."""
+    if partition_by_year:  # one task per year, a heavy year split, instead of a file per task and year
+        df = df.hint("rebalance", "year_cleaned")
     writer = df.write.mode("overwrite")
     if partition_by_year:
         writer = writer.partitionBy("year_cleaned")

@@ -261,14 +261,20 @@ def test_batch_end_to_end(spark):
     asked = spark.createDataFrame(
         [(1, "Compare Wheat in Punjab", 6, None), (2, "Compare Wheat in Punjab", 6, None), (3, "Bihar Rice", None, 0.2)],
         "question_id bigint, query string, top_k int, temperature double")
-    first = an.answer_batch(asked, vectors, encoder).collect()
+    table = an.answer_batch(asked, vectors, encoder)
+    first = table.collect()
     got = {r.query: r for r in first}
-    assert len(first) == 2 and got["Compare Wheat in Punjab"].question_id == 1
+    assert sorted(r.question_id for r in first) == [1, 2, 3]
+    assert len({(r.query, r.answer) for r in first}) == 2
     assert got["Compare Wheat in Punjab"].num_sources == 6 and got["Bihar Rice"].num_sources == 5
     assert "Year-wise" in got["Compare Wheat in Punjab"].answer
     assert [s.metadata.state for s in got["Bihar Rice"].sources][0] == "Bihar"
-    answered = spark.createDataFrame([(r.query, r.top_k, r.temperature) for r in first], "query string, top_k int, temperature double")
-    assert an.answer_batch(asked, vectors, encoder, answered).count() == 0
+    known = spark.createDataFrame([r.asDict(recursive=True) for r in first], table.schema)
+    marked = known.withColumn("answer", F.concat(F.lit("kept: "), "answer"))
+    more = asked.union(spark.createDataFrame([(4, None, 2, 0.5)], asked.schema))
+    again = {r.question_id: r.answer for r in an.answer_batch(more, vectors, encoder, marked).collect()}
+    assert set(again) == {1, 2, 3, 4} and all(again[i].startswith("kept: ") for i in (1, 2, 3))
+    assert again[4] is not None and not again[4].startswith("kept")
     log = an.log_queries(spark.createDataFrame([("q", "a" * 150)], "query string, answer string"), "2026-01-01")
     assert log.collect()[0].answer_preview == "a" * 100 + "..."
     assert an.recent_history(log).count() == 1

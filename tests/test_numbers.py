@@ -60,9 +60,10 @@ def test_pearson(spark):
     assert aggregate(spark, [(2.0, 1.0)], "x double, y double", pair) is None
 
 
-def test_stable_mean(spark):
-    mean = n.stable_mean(F.col("x"))
-    assert aggregate(spark, [(0.1,), (0.2,), (None,)], "x double", mean) == 0.15
+def test_ordered_mean(spark):
+    mean = n.ordered_mean(F.col("x"))
+    assert aggregate(spark, [(0.1,), (0.2,), (None,)], "x double", mean) == (0.1 + 0.2) / 2
+    assert aggregate(spark, [(3e-9,), (4e-9,)], "x double", mean) == (3e-9 + 4e-9) / 2
     assert aggregate(spark, [(None,)], "x double", mean) is None
     assert aggregate(spark, [(1e300,), (3e300,)], "x double", mean) == 2e300
 
@@ -71,3 +72,14 @@ def test_l2_normalized(spark):
     rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     got = [[round(x, 6) for x in r.u] for r in rows.select(n.l2_normalized(F.col("v")).alias("u")).collect()]
     assert got == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_strip(spark):
+    df = spark.createDataFrame([("\tKerala\n",), ("\u00a0 a b\u2003",), ("",), (None,)], "x string")
+    assert [r[0] for r in df.select(n.strip(F.col("x"))).collect()] == ["Kerala", "a b", "", None]
+
+
+def test_shortest_text_of_large_values(spark):
+    values = [7.283615649429924e18, 1.2345678901234567e17, 1e16, 123456789012345680.0, 2.5e-300, 1.7976931348623157e308, -2.5e20]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(n.shortest_text(F.col("x"))).collect()] == [repr(v) for v in values]

@@ -74,3 +74,11 @@ def test_results_do_not_depend_on_partitions(spark):
         assert rows() == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_literal_dimension_does_not_shuffle_the_facts(spark):
+    from agroclime.operators import clean
+
+    spark.range(200_000).selectExpr("concat('S', id % 40) as state", "id").write.mode("overwrite").parquet(path := scratch_path(spark, "states"))
+    plan = clean.map_subdivision(spark.read.parquet(path), clean.subdivision_dim(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan

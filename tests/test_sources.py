@@ -1,5 +1,6 @@
 """File round trips."""
 
+import pytest
 from agroclime.operators.corpus import build_documents
 from agroclime.operators.vectors import HashingEncoder, embed
 from agroclime.sources import readers, scratch, writers
@@ -70,3 +71,27 @@ def test_scratch_uses_the_named_folder(spark):
     path = scratch.scratch_path(spark, "x")
     assert path.startswith(f"{root}/x-" if root else "/") and path != scratch.scratch_path(spark, "x")
     assert rows(scratch.as_table(facts(spark), "x")) == rows(facts(spark))
+
+
+def test_facts_csv_goes_by_header(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('District,state,crop,year_cleaned,yield,production\n"D\n1",Kerala,Rice,2001,2.5,10\n')
+    row = readers.read_facts(spark, str(tmp_path / "f.csv"), "csv").collect()[0]
+    assert (row.state, row.district, row.production, row["yield"], row.annual_rainfall) == ("Kerala", "D\n1", 10.0, 2.5, None)
+    (tmp_path / "g.csv").write_text("state,crop,year_cleaned\nKerala,Rice,2001\n")
+    with pytest.raises(ValueError, match="district"):
+        readers.read_facts(spark, str(tmp_path / "g.csv"), "csv")
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_path(Session(), "x")
