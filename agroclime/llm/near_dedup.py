@@ -8,7 +8,8 @@ missed with probability 2e-5, less above. Every candidate is confirmed on the tw
 No pairs within a group are enumerated: documents with equal sets become one class first, each table's bucket
 links its members to its smallest member, and only buckets still holding more than one component afterwards get
 their remaining cross-component pairs. Of these, pairs that cannot be similar by how many shingles are each
-document's own are ruled out (exactly) before they are formed.
+document's own are ruled out (exactly) before they are formed, and in crowded buckets the join itself compares the
+two hash sets, so that only similar pairs leave it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from agroclime.llm.components import components
 from agroclime.llm.store import stored
 
 TUPLES, WIDTH = 16, 3
+CROWD = 64  # buckets with more open documents than this bring their shingle hashes, and pairs are compared before they are formed
 
 
 def _minhash_keys(h: np.ndarray, begin: np.ndarray, tuples: int, width: int) -> np.ndarray:
@@ -104,12 +106,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sh
     return joined.mapInArrow(run, "a long, b long, same boolean")
 
 
-def _possible(ids: DataFrame, sizes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """(id, n, own) of the documents that can have a partner among ``ids``.
-
-    ``own`` counts shingles found in no other of these documents. Two sets share at most ``n - own`` of each, so one
-    whose own shingles exceed 100 - percent of it has no partner here, and pairs are bounded likewise.
-    """
+def _held(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, g): the distinct shingle hashes of these documents."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
 
     def run(batches):
@@ -118,7 +116,16 @@ def _possible(ids: DataFrame, sizes: DataFrame, docs: DataFrame, id_col: str, te
             of = np.repeat(np.arange(batch.num_rows), np.diff(begin))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(h.view(np.int64))], names=["id", "g"])
 
-    held = texts.select("id", "text").mapInArrow(run, "id long, g long")
+    return texts.select("id", "text").mapInArrow(run, "id long, g long")
+
+
+def _possible(ids: DataFrame, sizes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(id, n, own) of the documents that can have a partner among ``ids``.
+
+    ``own`` counts shingles found in no other of these documents. Two sets share at most ``n - own`` of each, so one
+    whose own shingles exceed 100 - percent of it has no partner here, and pairs are bounded likewise.
+    """
+    held = _held(ids, docs, id_col, text_col, shingle)
     single = held.groupBy("g").agg(F.count("*").alias("times"), F.min("id").alias("id")).filter("times = 1")
     own = single.groupBy("id").agg(F.count("*").alias("own"))
     all_of = sizes.join(ids, "id").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
@@ -159,19 +166,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = tested.filter("same").select("a", "b")
     found = components(links)
 
-    # Buckets that still hold several components: their pairs across components, once each.
+    # Buckets that still hold several components: their pairs across components, each formed once. They are joined on
+    # collection A alone, at their first common tuple, and must share a tuple of B.
     labelled = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = (
-        labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .filter("lo < hi").select("key")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    open_ids = stored(labelled.join(mixed, "key").select("id", "component").distinct(), "open")
+    possible = _possible(open_ids.select("id"), sigs.select("id", F.col("n_shingles").alias("n")), docs, id_col, text_col, shingle, percent)
+    keyed = stored(
+        open_ids.join(possible, "id").join(reps, "id")
+        .select("id", "component", "n", "own", F.slice("keys", 1, TUPLES).alias("left"), F.slice("keys", TUPLES + 1, TUPLES).alias("right"))
+        .withColumn("key", F.explode("left")),
+        "keyed",
+    )
+    crowded = keyed.groupBy("key").count().filter(F.col("count") > CROWD).select("key", F.lit(True).alias("crowded"))
+    dense = keyed.join(crowded, "key", "left_semi").select("id").distinct()
+    sets = stored(_held(dense, docs, id_col, text_col, shingle).groupBy("id").agg(F.collect_list("g").alias("held")), "sets")
+    rest = stored(
+        keyed.join(crowded, "key", "left").join(sets, "id", "left")
+        .withColumn("held", F.when(F.col("crowded"), F.col("held"))).drop("crowded"),
+        "rest",
     )
-    rest = stored(labelled.join(mixed, "key"), "rest")
-    possible = _possible(rest.select("id").distinct(), sigs.select("id", F.col("n_shingles").alias("n")), docs, id_col, text_col, shingle, percent)
-    rest = stored(rest.join(possible, "id"), "rest")
     fits = f"(100 + {percent}) * (x.n + y.n - x.own - y.own) >= {2 * percent} * (x.n + y.n) and (100 + {percent}) * least(x.n - x.own, y.n - y.own) >= {percent} * (x.n + y.n)"
+    close = f"(x.held is null or (100 + {percent}) * size(array_intersect(x.held, y.held)) >= {percent} * (x.n + y.n))"
+    once = "arrays_overlap(x.right, y.right) and array_intersect(x.left, y.left)[0] = x.key"
     across = (
-        rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.component < y.component and {fits}"))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.component < y.component and {fits} and {once} and {close}"))
+        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
     more = stored(_confirmed(across, docs, id_col, text_col, shingle, percent), "tested")
