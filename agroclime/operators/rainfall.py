@@ -37,7 +37,8 @@ def answer_parsed(parsed: DataFrame, rain: DataFrame) -> DataFrame:
 
     Rainfall is summed per (state, year) before it meets the questions, so the join
     carries one row per state and year however long the rainfall table is. Rows
-    without a number are in neither the sum nor the count.
+    without a number are in neither the sum nor the count. Years (one row each) are added
+    from the smallest total up, so the shown text does not depend on row order.
     """
     yearly = rain.where("state is not null").groupBy("state", "year").agg(
         F.sum(nan_to_null(F.col("annual_rainfall"))).alias("total"), F.count(nan_to_null(F.col("annual_rainfall"))).alias("n")
@@ -55,7 +56,10 @@ def answer_parsed(parsed: DataFrame, rain: DataFrame) -> DataFrame:
         F.col("year").between(F.col("last_year") - F.col("n_years") + 1, F.col("last_year"))
     )
     means = in_range.groupBy("question_id", "state").agg(
-        F.try_divide(F.sum("total"), F.sum("n").cast("double")).alias("mean")
+        F.try_divide(
+            F.aggregate(F.array_sort(F.collect_list("total")), F.lit(0.0), lambda acc, x: acc + x),
+            F.sum("n").cast("double"),
+        ).alias("mean")
     )
     pairs = means.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("state", "mean"))).alias("means"))
 
