@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +160,20 @@ def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 100 == 0)
 
 
+def importable(query):
+    """The query, after telling Python workers where this package lies, so that it works from any current folder."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        known = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_nn_descent": op1_nn_descent,
     "op2_pii_boosted": op2_pii_boosted,
@@ -169,6 +186,7 @@ QUERIES = {
     "op9_warc_chunks": op9_warc_chunks,
     "op10_chat_snapshots": op10_chat_snapshots,
 }
+QUERIES = {name: importable(query) for name, query in QUERIES.items()}
 ORACLE = {
     "op4_minhash_near_dedup": OP4_SQL,
     "op5_repeated_windows": OP5_SQL,
