@@ -1,15 +1,17 @@
 """Benchmark passages in documents: SimHash of windows sized to the items, multi-index Hamming blocks, exact check.
 
-Every item gives two windows, its head and its tail, of the size class nearest to half the item. Every window of
-each class in every document gets a 64-bit SimHash of its words by sliding sums. Four blocks of 16 bits index the
-item fingerprints: within distance 7 some block differs in at most one bit, so looking up every key within one bit
-of an item's block finds all fingerprints in the radius. Each is confirmed on the window of the item's full length
-by the weighted Jaccard similarity of word shingles (weight: how often a shingle occurs).
+Every item gives disjoint windows, so many that edits in all of them (words changed, added, dropped or moved) would
+push the similarity below ``least``: one window is always untouched. Every window of each size class in every document
+gets a 64-bit SimHash of its words by sliding sums. Four blocks of 16 bits index the item fingerprints: within distance
+7 some block differs in at most one bit, so looking up every key within one bit of an item's block finds all
+fingerprints in the radius. Each is confirmed on all windows of the item's full length that hold it, by the weighted
+Jaccard similarity of word shingles (weight: how often a shingle occurs).
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,54 @@ _WORDS = 1 << 15       # words whose bit sums are held at once
 
 
 def size_class(words: int) -> int:
-    """The largest of 2, 3, 4, 6, 8, 12, 16, 24, ... that is at most half the item, or the whole of a tiny item."""
-    half, best = max(words // 2, 1), 1
+    """The largest of 1, 2, 3, 4, 6, 8, 12, 16, 24, ... that is at most ``words``."""
+    best = 1
     for base in (2, 3):
         k = base
-        while k <= half:
+        while k <= words:
             best, k = max(best, k), 2 * k
-    return best if words > 3 else words
+    return best
+
+
+def _least_lost(layout: list[tuple[int, int]], words: int, shingle: int) -> int:
+    """The fewest shingles of an item that are lost when something changes inside each window of the layout.
+
+    A changed word loses the shingles that hold it, a break between two words those that span it.
+    """
+    last = words - shingle
+    ways = [(-1, 0)]  # shingles lost up to, and how many
+    for begin, size in layout:
+        events = [(max(p - shingle + 1, 0), min(p, last)) for p in range(begin, begin + size)]
+        events += [(max(p - shingle + 1, 0), min(p - 1, last)) for p in range(begin + 1, begin + size)]
+        cheapest: dict[int, int] = {}
+        for a, b in set(events):
+            n = min(lost + max(b - max(a, upto + 1) + 1, 0) for upto, lost in ways)
+            cheapest[b] = min(cheapest.get(b, n), n)
+        ways = list(cheapest.items())
+    return min(lost for _, lost in ways)
+
+
+@lru_cache(maxsize=4096)
+def windows(words: int, shingle: int, least: float) -> tuple[tuple[int, int], ...]:
+    """(first word, words) of an item's disjoint windows, one of which any window of similarity ``least`` leaves whole.
+
+    ``n`` shingles of which ``x`` are lost leave a similarity of at most (n - x) / n.
+    """
+    if words < shingle:  # such an item must be there word by word
+        return ((0, size_class(words)),)
+    total = words - shingle + 1
+    allowed = int(total * (1 - least) + 1e-9)
+    count = 1
+    while True:
+        edges = [j * words // count for j in range(count + 1)]
+        sizes = [size_class(b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        layout = [(a, c) for a, c in zip(edges[:-1], sizes, strict=True)]
+        if count > 1:
+            layout[-1] = (words - sizes[-1], sizes[-1])
+        missing = allowed + 1 - _least_lost(layout, words, shingle)
+        if missing <= 0 or count == words:
+            return tuple(layout)
+        count = min(count + max(1, missing // shingle), words)
 
 
 def simhashes(hashes: np.ndarray, size: int, counted: np.ndarray | None = None) -> np.ndarray:
@@ -91,7 +134,7 @@ def similarity(x: Counter, y: Counter) -> float:
     return both / either if either else 0.0
 
 
-def _items(rows: list[tuple[int, str]], shingle: int):
+def _items(rows: list[tuple[int, str]], shingle: int, least: float):
     """Words, shingle weights and per-class Hamming indexes of a piece of the benchmark."""
     column = pa.array([t for _, t in rows], pa.string())
     words = tv.words_of(column)
@@ -100,49 +143,86 @@ def _items(rows: list[tuple[int, str]], shingle: int):
     classes: dict[int, list] = {}
     for i, w in enumerate(lists):
         if w:
-            c, h = size_class(len(w)), words.hashes[words.first[i] : words.first[i + 1]]
-            f = simhashes(h, c)
-            classes.setdefault(c, []).append((f[0], i, 0))
-            if len(w) > c:
-                classes[c].append((f[-1], i, len(w) - c))
-    indexes = {c: (HammingIndex(np.array([x[0] for x in v], np.uint64)), [x[1] for x in v], [x[2] for x in v]) for c, v in classes.items()}
+            h = words.hashes[words.first[i] : words.first[i + 1]]
+            for begin, c in windows(len(w), shingle, least):
+                classes.setdefault(c, []).append((simhashes(h[begin : begin + c], c)[0], i))
+    indexes = {c: (HammingIndex(np.array([x[0] for x in v], np.uint64)), np.array([x[1] for x in v], np.int64)) for c, v in classes.items()}
     return lists, [weighted(w, shingle) for w in lists], indexes
 
 
+def _best_window(words: list, item: list, weights: Counter, spans: list[tuple[int, int]], shingle: int, least: float):
+    """(score, first word, last word + 1) of the best window of the item's length, the first of equals, that starts in a span.
+
+    ``words`` are the document's; a window reaching over its begin or end is cut there. None where none reaches ``least``.
+    """
+    size, n = len(item), len(words)
+    if size < shingle:
+        at = next((x for a, b in spans for x in range(max(a, 0), b + 1) if words[x : x + size] == item), None)
+        return None if at is None else (1.0, at, at + size)
+    total, best = sum(weights.values()), None
+    for a, b in spans:
+        begin, end = max(a, 0), min(b + size, n)
+        grams = list(zip(*(words[begin + j : end] for j in range(shingle)), strict=False))
+        limits = [weights.get(g, 0) for g in grams]
+        if sum(map(bool, limits)) < least * total - 1e-9:
+            continue
+        held: Counter = Counter()
+        both = lo = hi = 0
+        for x in range(a, b + 1):
+            first, last = max(x, 0) - begin, min(x + size, n) - begin - shingle + 1
+            while hi < last:
+                held[grams[hi]] += 1
+                both += held[grams[hi]] <= limits[hi]
+                hi += 1
+            while lo < min(first, hi):
+                both -= held[grams[lo]] <= limits[lo]
+                held[grams[lo]] -= 1
+                lo += 1
+            score = both / (total + hi - lo - both)
+            if score >= least and (best is None or score > best[0]):
+                best = (score, max(x, 0), min(x + size, n))
+    return best
+
+
 def _matches(batch, ids, lists, weights, indexes, shingle: int, least: float):
     """(doc position, item id, score, first word, last word + 1) of confirmed windows of a record batch."""
     words = tv.words_of(batch.column(1))
     text, n = words.data, len(words.hashes)
     doc_of = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
+    sizes = np.array([len(w) for w in lists], np.int64)
     widest = max(indexes, default=1)
-    tries: set[tuple[int, int]] = set()
+    tries = [np.zeros((4, 0), np.int64)]  # document, item, first and last start of the windows that hold the fingerprint's words
     for a in range(0, n, _WORDS):
         b = min(n, a + _WORDS + widest - 1)
         sums = bit_sums(words.hashes[a:b])
-        for c, (index, item, back) in indexes.items():
+        for c, (index, item) in indexes.items():
             last = min(a + _WORDS, n - c + 1)
             if last <= a:
                 continue
             prints = simhashes(words.hashes[a:b], c, sums[: last - a + c])
             q, who = index.search(prints)
             whole = doc_of[a + q] == doc_of[a + q + c - 1]
-            tries.update((int(a + s - back[k]), item[k]) for s, k in zip(q[whole].tolist(), who[whole].tolist(), strict=True))
-            # the doc of a try is that of its window; a head before the text's begin is cut below
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for start, i in tries:
-        middle = min(max(start + len(lists[i]) // 2, 0), n - 1)
-        for d in {int(doc_of[min(max(start, 0), n - 1)]), int(doc_of[middle]), int(doc_of[min(start + len(lists[i]) - 1, n - 1)])}:
-            lo, hi = max(start, int(words.first[d])), min(start + len(lists[i]), int(words.first[d + 1]))
-            if hi <= lo:
-                continue
-            window = [text[s:e].tobytes() for s, e in zip(words.starts[lo:hi].tolist(), words.ends[lo:hi].tolist(), strict=True)]
-            score = similarity(weighted(window, shingle), weights[i])
-            if score >= least:
-                at = (score, -(lo - int(words.first[d])), hi - int(words.first[d]))
-                if at > best.get((d, i), (0.0, 0, 0)):
-                    best[d, i] = at
-    for (d, i), (score, lo, hi) in sorted(best.items()):
-        yield d, ids[i], score, -lo, hi
+            q, i = a + q[whole], item[who[whole]]
+            start = q - words.first[doc_of[q]]
+            tries.append(np.stack((doc_of[q], i, start + c - sizes[i], start)))
+    found = np.concatenate(tries, axis=1)
+    found = found[:, np.lexsort((found[2], found[1], found[0]))]
+    edge = np.flatnonzero(np.any(found[:2, 1:] != found[:2, :-1], axis=0)) + 1 if found.shape[1] else []
+    held, mine = None, []
+    for x, y in zip([0, *edge], [*edge, found.shape[1]], strict=True) if found.shape[1] else ():
+        d, i = int(found[0, x]), int(found[1, x])
+        spans: list[tuple[int, int]] = []
+        for lo, hi in zip(found[2, x:y].tolist(), found[3, x:y].tolist(), strict=True):
+            if spans and lo <= spans[-1][1] + 1:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], hi))
+            else:
+                spans.append((lo, hi))
+        if held != d:
+            p, q = words.first[d], words.first[d + 1]
+            held, mine = d, [text[s:e].tobytes() for s, e in zip(words.starts[p:q].tolist(), words.ends[p:q].tolist(), strict=True)]
+        best = _best_window(mine, lists[i], weights[i], spans, shingle, least)
+        if best is not None:
+            yield d, ids[i], *best
 
 
 def pieces(benchmark: DataFrame, id_col: str, text_col: str):
@@ -162,7 +242,8 @@ def pieces(benchmark: DataFrame, id_col: str, text_col: str):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One row per document and benchmark item found in it: ``id_col, item_id, score, first_word, end_word``.
 
-    ``score`` is the best weighted shingle similarity of a window of the item's length, at least ``least``. Null or
+    ``score`` is the best weighted shingle similarity of a window of the item's length, at least ``least``; a window that
+    reaches over the text's begin or end is cut there, and of equal windows the first is given. Null or
     wordless texts and items match nothing; repeated documents each give their rows; an empty benchmark gives none.
     Other columns are not read.
     """
@@ -178,7 +259,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches, sent=sent):
             ids = [i for i, _ in sent.value]
-            lists, weights, indexes = _items(sent.value, shingle)
+            lists, weights, indexes = _items(sent.value, shingle, least)
             for batch in tv.sub_batches(batches):
                 found = list(_matches(batch, ids, lists, weights, indexes, shingle, least))
                 if found:

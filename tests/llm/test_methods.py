@@ -134,6 +134,22 @@ def test_contamination_finds_what_brute_force_finds(spark, docs):
     assert len(have) >= 0.98 * len(want) and len(want) > 20
 
 
+def test_contamination_finds_items_edited_at_both_ends(spark):
+    r = random.Random(11)
+    items = [(i, [f"w{r.randint(0, 10**9)}" for _ in range(5 + i)]) for i in range(140)]
+    rows = []
+    for i, ws in items:
+        middle = [*ws[: len(ws) // 2], "zz", *ws[len(ws) // 2 + 1 :]]
+        half = len(ws) // 2
+        for kind in (["(" + ws[0], *ws[1:-1], ws[-1] + ")"], ["x", *middle[1:-1], "y"], ws[1:-1], [ws[0], "u", *ws[1:-2], ws[-1]], [*ws[half:], *ws[:half]]):
+            rows.append((len(rows), [*(f"p{r.randint(0, 99)}" for _ in range(70)), *kind, *(f"q{r.randint(0, 99)}" for _ in range(70))]))
+    want = brute_contamination(dict(rows), dict(items), 0.8)
+    docs = spark.createDataFrame([(d, " ".join(ws)) for d, ws in rows], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): x.score for x in got} == want
+    assert len(want) > 400
+
+
 def test_hamming_index_finds_all_in_the_radius():
     r = np.random.default_rng(2)
     prints = r.integers(0, 2**63, 60, dtype=np.uint64)
