@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from agroclime.llm.store import release, stored
 
 NEIGHBOURS, TABLES, BLOCK, ROUNDS = 28, 4, 96, 6
+MOST_ROUNDS, SETTLED = 12, 0.05  # rounds go on while a larger share of the links is new
 POOL, EXPAND, HOPS = 160, 32, 24
 PART_NODES = 20_000  # nodes that one search task holds at a time
 _BITS = 48
@@ -36,9 +37,18 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1) if len(column) else np.zeros((0, 1), kind)
 
 
-def _nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances (len(a), len(b)), single precision is enough to rank candidates."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances row by row, of differences: near-copies far from the origin keep all their digits."""
+    d = a - b
+    return np.einsum("...i,...i->...", d, d)
+
+
+def _closer(a: np.ndarray, b: np.ndarray, bound: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of a, row of b, squared distance) nearer than the bounds of either row; scalar products only leave out the rest."""
+    norms = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    rough = norms - 2 * a @ b.T - 1e-13 * norms
+    i, j = np.nonzero((rough < bound[:, None]) | (rough < other[None, :]))
+    return i, j, _between(a[i], b[j])
 
 
 def _edges(ids, near, d) -> pa.RecordBatch:
@@ -50,23 +60,28 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("id", "near").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
 
 
-def _first_links(nodes: DataFrame, dim: int, k: int) -> DataFrame:
-    mean = np.array(nodes.agg(*(F.avg(F.get("vec", F.lit(i))) for i in range(dim))).first(), float)
+def _first_links(rows: DataFrame, kind, dim: int, k: int) -> DataFrame:
+    def sums(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([_opened(batch.column(1), kind, dim).sum(axis=0)], pa.list_(pa.float64()))], names=["n", "total"])
+
+    parts = rows.mapInArrow(sums, "n long, total array<double>").agg(F.sum("n"), *(F.sum(F.get("total", F.lit(i))) for i in range(dim))).first()
+    mean = np.array(parts[1:], float) / parts[0] if parts[0] else np.zeros(dim)
     planes = np.random.default_rng(5).normal(size=(TABLES, dim, _BITS))
 
     def code(batches):
         weight = 1 << np.arange(_BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            x = _matrix(batch.column(1), float) - mean
+            x = _opened(batch.column(1), kind, dim) - mean
             for t in range(TABLES):
                 bits = (x @ planes[t] > 0) @ weight + (t << _BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(bits), batch.column(0), batch.column(1).cast(pa.list_(pa.float32()))], names=["code", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(bits), batch.column(0), batch.column(1)], names=["code", "id", "data"])
 
     def link(batches):
         held_ids, held = np.zeros(0, np.int64), None
 
         def block(ids, x):
-            d = _nearest(x, x)
+            d = np.stack([_between(x, y) for y in x])
             d[ids[:, None] == ids[None, :]] = np.inf
             n = min(k, len(ids) - 1)
             if n > 0:
@@ -74,7 +89,7 @@ def _first_links(nodes: DataFrame, dim: int, k: int) -> DataFrame:
                 yield _edges(np.repeat(ids, n), ids[at].ravel(), np.take_along_axis(d, at, 1).ravel())
 
         for batch in batches:
-            x, ids = _matrix(batch.column(2), np.float32), batch.column(1).to_numpy(zero_copy_only=False)
+            x, ids = _opened(batch.column(2), kind, dim), batch.column(1).to_numpy(zero_copy_only=False)
             held = x if held is None else np.vstack((held, x))
             held_ids = np.concatenate((held_ids, ids))
             while len(held_ids) >= 2 * BLOCK:
@@ -83,59 +98,70 @@ def _first_links(nodes: DataFrame, dim: int, k: int) -> DataFrame:
         if len(held_ids):
             yield from block(held_ids, held)
 
-    coded = nodes.select("id", "vec").mapInArrow(code, "code long, id long, vec array<float>")
-    return coded.repartitionByRange("code", "id").sortWithinPartitions("code", "id").select("code", "id", "vec").mapInArrow(link, _EDGE)
+    coded = rows.mapInArrow(code, "code long, id long, data binary")
+    return coded.repartitionByRange("code", "id").sortWithinPartitions("code", "id").select("code", "id", "data").mapInArrow(link, _EDGE)
 
 
-def _halves(nodes: DataFrame) -> DataFrame:
-    """(id, half): vectors in half precision as bytes, enough to rank candidates and a quarter of the doubles' size."""
+def _bytes(nodes: DataFrame) -> tuple[DataFrame, type]:
+    """(id, data): vectors as bytes without rounding, and their kind: single precision where that holds every component.
+
+    All are scaled by one power of two so that squared distances of finite vectors stay finite.
+    """
+    single = F.exists("vec", lambda x: x.cast("float").cast("double") != x)
+    most, double = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs))), F.max(single)).first()
+    down, kind = -int(np.frexp(most or 1.0)[1]), np.float64 if double else np.float32
 
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column(1), np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "half"])
+            x = np.ldexp(_matrix(batch.column(1), float), down).astype(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "data"])
+
+    return nodes.select("id", "vec").mapInArrow(run, "id long, data binary"), kind
 
-    return nodes.select("id", "vec").mapInArrow(run, "id long, half binary")
 
+def _opened(column: pa.Array, kind, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(float)
 
-def _improve(graph: DataFrame, halves: DataFrame, dim: int, k: int) -> DataFrame:
+
+def _improve(graph: DataFrame, vectors: DataFrame, kind, dim: int, k: int) -> DataFrame:
     """Better links found where neighbours meet: rows (centre, lane, member) bring the member's vector and its worst link.
 
     Lane 0 are the centre's neighbours, lane 1 nodes that have the centre as neighbour; lane 0 comes first, so lane 1
     streams past it and a hub's many in-links are never held together.
     """
     worst = graph.groupBy("id").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
-    member = halves.join(worst, "id").select(F.col("id").alias("member"), "half", F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("worst")).cast("float").alias("worst"))
+    member = vectors.join(worst, "id").select(F.col("id").alias("member"), "data", F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("worst")).cast("float").alias("worst"))
     links = graph.select(F.col("id").alias("centre"), F.col("near").alias("member"), F.lit(0).alias("lane")).union(
         graph.select(F.col("near").alias("centre"), F.col("id").alias("member"), F.lit(1).alias("lane"))
     )
-    rows = links.join(member, "member").select("centre", "lane", "member", "half", "worst")
+    rows = links.join(member, "member").select("centre", "lane", "member", "data", "worst")
 
     def meet(batches):
-        centre, own = None, None
+        centre, own, origin = None, None, 0.0
         done, size = [], 0
 
         def better(a, b, both_ways):
             ids, x, bound = a
-            d = _nearest(x, b[1])
-            d[ids[:, None] == b[0][None, :]] = np.inf
-            i, j = np.nonzero(d < bound[:, None])
-            out = [(ids[i], b[0][j], d[i, j])]
+            i, j, d = _closer(x, b[1], bound, b[2] if both_ways else np.full(len(b[0]), -np.inf))
+            other = ids[i] != b[0][j]
+            use = other & (d < bound[i])
+            out = [(ids[i[use]], b[0][j[use]], d[use])]
             if both_ways:
-                i, j = np.nonzero(d < b[2][None, :])
-                out.append((b[0][j], ids[i], d[i, j]))
+                use = other & (d < b[2][j])
+                out.append((b[0][j[use]], ids[i[use]], d[use]))
             return out
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             centres, lanes, ids, worsts = (batch.column(n).to_numpy(zero_copy_only=False) for n in (0, 1, 2, 4))
-            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+            x = _opened(batch.column(3), kind, dim)
             cuts = np.flatnonzero((np.diff(centres) != 0) | (np.diff(lanes) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                here = (ids[a:b], x[a:b], worsts[a:b])
                 if centres[a] != centre:
-                    centre, own = centres[a], None
+                    centre, own, origin = centres[a], None, x[a]
+                # One origin within the meeting: products of near-copies' small differences lose nothing.
+                here = (ids[a:b], x[a:b] - origin, worsts[a:b])
                 found = []
                 if lanes[a] == 0:
                     # a neighbour list cut by a batch border meets its first part as well
@@ -159,11 +185,15 @@ def _improve(graph: DataFrame, halves: DataFrame, dim: int, k: int) -> DataFrame
 
 
 def build_graph(nodes: DataFrame, dim: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """(id, near, d): each node's nearest ``k`` found after ``rounds`` of NN-descent."""
-    graph, halves = stored(_top(_first_links(nodes, dim, k), k), "graph"), stored(_halves(nodes), "halves")
-    for _ in range(rounds):
-        graph = stored(_top(graph.unionByName(_improve(graph, halves, dim, k)), k), "graph")
+    """(id, near, d): each node's nearest ``k`` found after ``rounds`` of NN-descent, or more where links still change."""
+    rows, kind = _bytes(nodes)
+    vectors = stored(rows, "bytes")
+    graph = stored(_top(_first_links(vectors, kind, dim, k), k), "graph")
+    for done in range(1, max(rounds, MOST_ROUNDS) + 1):
+        before, graph = graph, stored(_top(graph.unionByName(_improve(graph, vectors, kind, dim, k)), k), "graph")
         release(nodes.sparkSession)
+        if done >= rounds and graph.join(before, ["id", "near"], "left_anti").count() <= SETTLED * graph.count():
+            break
     return graph
 
 

@@ -246,6 +246,24 @@ def test_nearest_recall(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("offset, jitter", [(0.0, 3e-6), (3e5, 1e-2)])
+def test_graph_links_near_copies_by_their_differences(spark, offset, jitter):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(1200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:400] = x[0] + jitter * r.normal(size=(400, 8))
+    x += offset
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    links = defaultdict(set)
+    for e in nndescent.build_graph(nodes, 8).collect():
+        links[e.id].add(e.near)
+    hits = 0
+    for i in range(400):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        hits += len(links[i] & set([j for j in np.argsort(d) if j != i][:20]))
+    assert hits / (400 * 20) >= 0.95
+
+
 def test_warc_export_is_plain_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "x" * 700_000), (2, "http://b", "y")], "page_id long, url string, html string")
     warc.export_files(warc.write_records(pages), str(tmp_path / "out"))
