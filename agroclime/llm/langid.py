@@ -24,7 +24,7 @@ TABLE = 1 << 18
 NGRAMS = (2, 3, 4)
 LEXICON = 3000          # most frequent words of each language in the training sample
 TRAIN_DOCS = 200        # documents per language the model learns from, those with the smallest id hashes
-TRAIN_CHARS = 20_000    # longer documents are not learned from (all are predicted, whole)
+TRAIN_CHARS = 20_000    # of a longer document so many characters from its first letter on are learned from (all are predicted, whole)
 STEPS = 30
 _BLOCK = 32
 _LETTER = re.compile(r"[^\W\d_]")
@@ -199,12 +199,16 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS) -> Model:
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int = TRAIN_DOCS) -> Model | None:
-    """Learn from at most ``docs_per_language`` documents of each language, those with the smallest id hashes; None without any."""
-    good = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(f"lang is not null and length(text) between 1 and {TRAIN_CHARS}")
+    """Learn from at most ``docs_per_language`` documents of each language, those with the smallest id hashes; None without any.
+
+    Of a document over TRAIN_CHARS characters so many are learned from, from its first letter on.
+    """
+    good = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and length(text) > 0")
     nth = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = good.select("id", "lang").withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= docs_per_language).select("id", "lang").distinct()
     picked = labelled.sparkSession.createDataFrame(chosen.collect(), "id long, lang string")
-    rows = good.join(F.broadcast(picked), ["id", "lang"], "left_semi").select("id", "lang", "text").collect()
+    piece = F.when(F.length("text") <= TRAIN_CHARS, F.col("text")).otherwise(F.substring(F.regexp_replace("text", r"\A[^\p{L}]++", ""), 1, TRAIN_CHARS))
+    rows = good.join(F.broadcast(picked), ["id", "lang"], "left_semi").select("id", "lang", piece.alias("text")).collect()
     rows.sort(key=lambda r: (r["id"], r["lang"], r["text"]))
     texts, labels = [r["text"] for r in rows], [r["lang"] for r in rows]
     return train(texts, labels) if texts else None
@@ -219,9 +223,13 @@ def label_words(model: Model, column: pa.Array) -> tuple[tv.Words, np.ndarray, n
     return words, marginals(emissions(model, d)[d.inverse], words.first, model.transitions), d.letters[d.inverse]
 
 
+def with_letters(texts: pa.Array) -> np.ndarray:
+    return np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+
+
 def label_texts(model: Model | None, texts: pa.Array, unknown: str = "und") -> tuple[np.ndarray, ...]:
     """Language, score, number of words and of switches of each text."""
-    has_letter = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+    has_letter = with_letters(texts)
     n = len(texts)
     langs, score, switches = np.full(n, unknown, object), np.zeros(n), np.zeros(n, np.int64)
     words, gamma, letters = label_words(model, texts) if model is not None else (tv.words_of(texts), None, None)
@@ -258,12 +266,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", unknown: str = "und") -> DataFrame:
-    """The rows, all columns, whose text has a language; rows stay where they are."""
+    """The rows, all columns, whose text has a letter, so that a language can be told; rows stay where they are.
+
+    Letters alone decide: a model gives every text with letters one of its languages, and without a model such texts
+    stay as well.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in tv.sub_batches(batches, text_col):
-            langs = label_texts(sent.value, batch.column(batch.schema.get_field_index(text_col)), unknown)[0]
-            yield batch.filter(pa.array(langs != unknown))
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            keep = label_texts(sent.value, texts, unknown)[0] != unknown if sent.value is not None else with_letters(texts)
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -86,6 +86,17 @@ def test_language(docs, none):
     assert kept == {None, 4, 5, 6, 7, 9, 10, 11, 12}
 
 
+def test_language_is_learned_from_long_documents(spark, docs):
+    long = [(i, " 12 " * 6000 + " ".join(f"{'mi' if i % 2 else 'zu'}{(i * n) % 97}ka" for n in range(6000)), "aa" if i % 2 else "bb") for i in range(6)]
+    table = spark.createDataFrame([*long, (9, "the short one", "en")], "doc_id long, text string, lang string")
+    model = langid.fit(table, "doc_id", "text", "lang")
+    assert model.labels == ["aa", "bb", "en"]
+    assert {r.doc_id: r.lang_pred for r in langid.predict(table, model).collect()} == {r.doc_id: r.lang for r in table.collect()}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id for r in langid.keep_identified(unlabelled, langid.fit(unlabelled, "doc_id", "text", "lang")).collect()}
+    assert kept == {None, 4, 5, 6, 7, 9, 10, 11, 12}
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(4, 1), (5, 1), (6, None), (None, 1), (7, 0)], "doc_id long, quality int")
     rows = quality.score_documents(docs, labels, lambda i: F.lit(True)).collect()
