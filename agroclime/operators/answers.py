@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agroclime.functions import keywords as kw
@@ -14,6 +15,8 @@ from agroclime.operators import datapoints as dp
 from agroclime.operators.eda import chart_means
 from agroclime.operators.questions import question_terms, route, wants_chart, with_defaults
 from agroclime.operators.vectors import retrieve
+from agroclime.sources import growing
+from agroclime.sources.schemas import ANSWER, LOG
 from agroclime.sources.scratch import as_table
 
 # ---- fixed values: reply texts and templates, as the answers must read ----
@@ -421,6 +424,49 @@ def recent_history(log: DataFrame, n: int = 10) -> DataFrame:
     return log.orderBy(F.desc("timestamp"), "query").limit(n)
 
 
+# ------------------------------------------------------------ kept answers
+
+def _same_key(left: str = "", right: str = "__") -> Column:
+    return reduce(lambda a, b: a & b, [F.col(left + k).eqNullSafe(F.col(right + k)) for k in KEYS])
+
+
+def kept_answers(spark: SparkSession, root: str) -> DataFrame:
+    """All answers kept under ``root``: (query, top_k, temperature, answer, num_sources, batch), each key once.
+
+    Should two batches that ran at once have answered the same key, the first batch by name counts.
+    """
+    rows = growing.read(spark, f"{root}/answers", ANSWER)
+    first = F.min(F.struct("batch", "answer", "num_sources")).alias("first")
+    return rows.groupBy(*KEYS).agg(first).select(*KEYS, "first.answer", "first.num_sources", "first.batch")
+
+
+def serve(
+    questions: DataFrame, root: str, batch: str, timestamp: str, answer: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """An answer for every question: kept ones are served, new (query, top_k, temperature) keys are answered and kept.
+
+    ``answer`` gets the new questions, each key once, and returns (query, top_k, temperature, answer, num_sources), as
+    ``answer_hits`` does. Its rows and their log entries are kept as ``batch``: a job repeated under the same batch
+    name computes and appends nothing, wherever the first run ended. The log follows from the kept answers, so that
+    it has exactly one entry for every answer.
+    """
+    spark = questions.sparkSession
+    asked = as_table(with_defaults(questions), "asked")
+    if not growing.commits(spark, f"{root}/answers", batch):
+        fresh = as_table(unanswered(asked, kept_answers(spark, root)), "questions")
+        told = answer(fresh).select(*KEYS, "answer", "num_sources", F.lit(batch).alias("batch"))
+        growing.append(told.to(ANSWER), f"{root}/answers", batch)
+    written = growing.read(spark, f"{root}/answers", ANSWER, batch)
+    growing.append(log_queries(written, timestamp).to(LOG), f"{root}/log", batch, "timestamp")
+    known = kept_answers(spark, root).withColumnsRenamed({k: f"__{k}" for k in KEYS})
+    return asked.select("question_id", *KEYS).join(known, _same_key(), "left").drop(*[f"__{k}" for k in KEYS], "batch")
+
+
+def kept_history(spark: SparkSession, root: str, n: int = 10) -> DataFrame:
+    """The last entries of the kept log, newest first; older batches are not opened."""
+    return growing.newest(spark, f"{root}/log", LOG, "timestamp", n, "query")
+
+
 # --------------------------------------------------------------------- charts
 
 def chart_points(hits: DataFrame) -> DataFrame:
@@ -437,8 +483,24 @@ def chart_points(hits: DataFrame) -> DataFrame:
     )
 
 
+def _charted(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    asking = questions.where(wants_chart(F.col("query"))).select("question_id")
+    return chart_points(hits).join(asking, "question_id", "left_semi")
+
+
 def chart_series(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Production and yield series of the questions that ask for a chart."""
-    asking = questions.where(wants_chart(F.col("query"))).select("question_id")
-    points = chart_points(hits).join(asking, "question_id", "left_semi")
-    return chart_means(points, "question_id")
+    return chart_means(_charted(questions, hits), "question_id")
+
+
+def chart_scatter(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """Third series of those questions: rainfall against yield, a point per document.
+
+    Coloured by crop, sized by production, labelled with state and year. Points without either measure, or without a
+    size, cannot be drawn and are left out.
+    """
+    drawn = _charted(questions, hits).dropna(subset=["Rainfall", "Yield", "Production"])
+    return drawn.select(
+        "question_id", F.col("Rainfall").alias("x"), F.col("Yield").alias("y"), F.col("Crop").alias("color"),
+        F.col("Production").alias("size"), "State", "Year",
+    )

@@ -442,7 +442,7 @@ def facts_parquet(spark, sf):
 
 @query()
 def raw_csv(spark, sf):
-    """Raw tables written as CSV, read as the reader does, cleaned and joined."""
+    """Raw tables written as CSV, read in splits, cleaned and joined."""
     crop_path, rain_path = scratch_path(spark, "crop-csv"), scratch_path(spark, "rain-csv")
     b.crop_raw(spark, sf).drop(*b.ROW_KEY).toDF(
         "State", "District", "Crop", "Year", "Area ", "Production", " Yield"
@@ -452,6 +452,20 @@ def raw_csv(spark, sf):
     return build_facts(readers.read_crop(spark, crop_path), rain, b.subdivisions(spark, sf))
 
 
+@query()
+def csv_quoted_breaks(spark, sf):
+    """Documents in CSV folders of two encodings and column orders: their texts hold quotes and line breaks."""
+    root = scratch_path(spark, "csv")
+    docs = b.table(spark, sf, "documents").filter("text is not null").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "lang", F.concat(F.lit('"é",\n'), F.replace("text", F.lit("\r"))).alias("text"))
+    latin = docs.filter(F.decode(F.encode("text", "ISO-8859-1"), "ISO-8859-1") == F.col("text"))
+    options = {"header": True, "escape": '"', "quoteAll": True, "nullValue": ""}
+    docs.write.options(**options).csv(f"{root}/utf8")
+    latin.select("text", "doc_id").write.options(encoding="ISO-8859-1", **options).csv(f"{root}/latin1")
+    cells = readers.read_csv(spark, f"{root}/*")
+    return cells.groupBy("doc_id", "text").agg(F.count("*").alias("n_rows"), F.count("lang").alias("n_lang"), F.max("lang").alias("lang"))
+
+
 @query()
 def corpus_json(spark, sf):
     path = scratch_path(spark, "corpus")
@@ -732,6 +746,12 @@ def chart_series(spark, sf):
     return an.chart_series(b.questions(base), b.hits(base))
 
 
+@query(stored={"x", "y", "size"})
+def chart_scatter(spark, sf):
+    base = b.stored_facts(spark, sf)
+    return an.chart_scatter(b.questions(base), b.hits(base))
+
+
 @query()
 def unanswered(spark, sf):
     asked = as_table(_questions(spark, sf), "questions")
@@ -739,11 +759,52 @@ def unanswered(spark, sf):
     return an.unanswered(asked, answered)
 
 
+def _answered(spark, sf):
+    """(questions, a function that answers some of them from their digest-scored hits)."""
+    base = b.stored_facts(spark, sf)
+    states, crops = b.term_vocabularies(spark, sf)
+    asked, hits = as_table(b.questions(base), "questions"), as_table(b.hits(base), "hits")
+
+    def answer(fresh):
+        found = hits.join(fresh.select("question_id"), "question_id", "left_semi")
+        return an.answer_hits(fresh, found, include_sources=False, states=states, crops=crops)
+
+    return asked, answer
+
+
 @query()
 def log_queries(spark, sf):
-    """The log rows of the summary answers."""
-    told = an.answer_summary(b.points(spark, sf)).withColumn("query", F.col("question_id").cast("string"))
-    return an.log_queries(told, b.CREATED_AT)
+    """The log rows of all questions' answers, of every kind."""
+    asked, answer = _answered(spark, sf)
+    return an.log_queries(answer(asked), b.CREATED_AT)
+
+
+def _served(spark, sf):
+    """The folder where all questions were answered in three batches; the second repeats the first one's and ran twice."""
+    asked, answer = _answered(spark, sf)
+    root, third = scratch_path(spark, "kept"), F.pmod("question_id", F.lit(3))
+    for day, batch, chosen in ((1, "a", third == 0), (2, "b", third <= 1), (3, "b", third <= 1), (4, "c", F.lit(True))):
+        an.serve(asked.where(chosen), root, batch, f"2026-01-0{day}T00:00:00", answer)
+    return root
+
+
+@query()
+def kept_answers(spark, sf):
+    return an.kept_answers(spark, _served(spark, sf))
+
+
+@query()
+def kept_history(spark, sf):
+    return an.kept_history(spark, _served(spark, sf), 200)
+
+
+@query()
+def served_answers(spark, sf):
+    """What the last batch's askers get: kept answers and new ones."""
+    asked, answer = _answered(spark, sf)
+    root = scratch_path(spark, "kept")
+    an.serve(asked.where("question_id % 3 = 0"), root, "a", "2026-01-01T00:00:00", answer)
+    return an.serve(asked, root, "b", "2026-01-02T00:00:00", answer)
 
 
 @query()

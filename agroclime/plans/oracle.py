@@ -339,6 +339,10 @@ put("corpus_sample_csv", UPTO_DOCS + f"select {DOC_COLS} from docs order by id,
 for name in ("facts_csv", "raw_csv"):
     put(name, ORACLE["facts"])
 put("facts_parquet", ORACLE["facts"])
+put("csv_quoted_breaks", """with d as (
+  select cast(doc_id as varchar) as doc_id, lang, '"é",' || chr(10) || replace(text, chr(13), '') as text from documents where text is not null)
+select doc_id, text, count(*) + count(case when not regexp_matches(text, '[^\\x{0}-\\x{FF}]') then 1 end) as n_rows, count(lang) as n_lang, max(lang) as lang
+from d group by doc_id, text""")
 put("facts_csv_reordered", UPTO_FACTS + "select state, district, year_cleaned, crop, production, cast(null as double) as yield, "
     "annual_rainfall from facts")
 
@@ -551,30 +555,48 @@ for kind, ctes in (("specific", SPECIFIC), ("comparison", COMPARISON), ("trend",
     put(f"answer_{kind}", UPTO_POINTS + ctes + f"select question_id, answer from a_{kind}")
 put("answer_relationship", UPTO_HITS + RELATION + "select question_id, answer from a_relationship")
 put("answer_sources", UPTO_HITS + "select question_id, rank, text, state, round(similarity_score + 3e-9, 6) as similarity_score from hits")
-put("answer_hits", UPTO_POINTS
-    + "".join(c.rstrip() for c in (SPECIFIC, COMPARISON, SUMMARY, TREND_ANSWER, EXTREME, RELATION))
-    + f""", told as (
+TOLD = UPTO_POINTS + "".join(c.rstrip() for c in (SPECIFIC, COMPARISON, SUMMARY, TREND_ANSWER, EXTREME, RELATION)) + f""", plain as (
   select t.question_id, t.query, case route when 'specific' then s.answer when 'comparison' then c.answer when 'trend' then t2.answer
     when 'extreme' then e.answer when 'relationship' then r.answer else m.answer end as answer
   from terms t
   left join a_specific s on s.question_id = t.question_id left join a_comparison c on c.question_id = t.question_id
   left join a_trend t2 on t2.question_id = t.question_id left join a_extreme e on e.question_id = t.question_id
   left join a_relationship r on r.question_id = t.question_id left join a_summary m on m.question_id = t.question_id),
-counted as (select question_id, count(*) as n from hits group by 1)
-select t.question_id, query, cast({b.HITS_PER_QUESTION} as bigint) as top_k, cast(0.7 as double) as temperature,
-  answer || {NL} || {text(an.SOURCE_NOTE[0])} || cast(n as varchar) || {text(an.SOURCE_NOTE[1])} as answer, n as num_sources
-from told t join counted c on t.question_id = c.question_id""")
+counted as (select question_id, count(*) as n from hits group by 1),
+told as (
+  select t.question_id, query, cast({b.HITS_PER_QUESTION} as bigint) as top_k, cast(0.7 as double) as temperature,
+    answer || {NL} || {text(an.SOURCE_NOTE[0])} || cast(n as varchar) || {text(an.SOURCE_NOTE[1])} as answer, n as num_sources
+  from plain t join counted c on t.question_id = c.question_id)
+"""
+put("answer_hits", TOLD + "select * from told")
+# A key is answered in the first batch that asks it, from the smallest question id that asks it there.
+KEPT = """, turns as (select query, min(question_id % 3) as turn from told group by query),
+firsts_asked as (select t.query, turn, min(question_id) as question_id from told t join turns u on t.query = u.query
+  where question_id % 3 = turn group by 1, 2),
+kept as (select f.question_id, f.query, top_k, temperature, answer, num_sources, turn from firsts_asked f join told t using (question_id))
+"""
+put("kept_answers", TOLD + KEPT + "select query, top_k, temperature, answer, num_sources, substr('abc', turn + 1, 1) as batch from kept")
+put("kept_history", TOLD + KEPT + """select query, case turn when 0 then '2026-01-01T00:00:00' when 1 then '2026-01-02T00:00:00'
+  else '2026-01-04T00:00:00' end as timestamp, substr(answer, 1, 100) || '...' as answer_preview
+from kept order by timestamp desc, query limit 200""")
+put("served_answers", TOLD + """, turns as (select query, least(min(question_id % 3), 1) as turn from told group by query),
+firsts_asked as (select t.query, min(question_id) as question_id from told t join turns u on t.query = u.query
+  where least(question_id % 3, 1) = turn group by 1)
+select t.question_id, t.query, t.top_k, t.temperature, k.answer, k.num_sources
+from told t join firsts_asked f on t.query = f.query join told k on k.question_id = f.question_id""")
 CHART = """select question_id, year as "Year", crop as "Crop", state as "State", production as "Production",
   yield as "Yield", annual_rainfall as "Rainfall" from hits"""
 put("chart_points", UPTO_HITS + CHART)
 put("chart_series", UPTO_HITS + f"""select h.question_id, year as "Year", state as "State", crop as "Crop",
   round(avg(production) + 3e-7, 4) as avg_production, round(avg(yield) + 3e-7, 4) as avg_yield
 from hits h join questions q on h.question_id = q.question_id where {any_in('lower(query)', kw.ASK_CHART)} group by 1, 2, 3, 4""")
+put("chart_scatter", UPTO_HITS + f"""select h.question_id, annual_rainfall as x, yield as y, crop as color, production as size,
+  state as "State", year as "Year"
+from hits h join questions q on h.question_id = q.question_id where {any_in('lower(query)', kw.ASK_CHART)}""")
 put("unanswered", UPTO_TERMS + f"""select min(question_id) as question_id, query, cast({b.HITS_PER_QUESTION} as bigint) as top_k,
   cast(0.7 as double) as temperature from terms
 where query not in (select query from terms where route = 'summary') group by query""")
-put("log_queries", UPTO_POINTS + SUMMARY + f"select cast(question_id as varchar) as query, {text(b.CREATED_AT)} as timestamp, "
-    "substr(answer, 1, 100) || '...' as answer_preview from a_summary")
+put("log_queries", TOLD + f"select query, {text(b.CREATED_AT)} as timestamp, substr(answer, 1, 100) || '...' as answer_preview from told")
 put("recent_history", "select o_orderpriority || ' ' || cast(o_orderkey as varchar) as query, "
     "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as timestamp, o_orderstatus || '...' as answer_preview "
     "from orders order by timestamp desc, query limit 10")

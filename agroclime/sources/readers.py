@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from agroclime.functions.keywords import NA_TOKENS
 from agroclime.functions.numbers import text_to_double, year_number
 from agroclime.operators.clean import FACT_KEYS, normalize_columns, rename_rain
+from agroclime.sources.csv_files import read_csv
 from agroclime.sources.schemas import DOCUMENT, FACTS, VECTOR
 
 
@@ -21,29 +22,18 @@ def na_to_null(df: DataFrame) -> DataFrame:
     ])
 
 
-def _read_text_csv(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
-    # Every cell stays text: types are set by explicit coercion afterwards, so one
-    # bad cell costs that cell and no second pass infers anything.
-    return na_to_null(
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+def read_crop(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
+    """Crop CSV with normalised headers, all cells text. Files of any size are split, quoted line breaks included.
 
-
-def read_crop(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
-    """Crop CSV with normalised headers, all cells text. Files in Latin-1 need ``encoding``.
-
-    Quoted line breaks belong to their cell; ``multiline=False`` lets Spark split large files that have none.
+    Without ``encoding`` each file is UTF-8 or else Latin-1. Every cell stays text: types are set by explicit coercion
+    afterwards, so one bad cell costs that cell and no second pass infers anything.
     """
-    return normalize_columns(_read_text_csv(spark, path, encoding, multiline))
+    return normalize_columns(na_to_null(read_csv(spark, path, encoding)))
 
 
-def read_rain(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+def read_rain(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
     """Rainfall CSV with the build's column names, all cells text."""
-    return rename_rain(_read_text_csv(spark, path, encoding, multiline))
+    return rename_rain(na_to_null(read_csv(spark, path, encoding)))
 
 
 def read_facts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -53,7 +43,7 @@ def read_facts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     """
     if fmt == "parquet":
         return spark.read.schema(FACTS).parquet(path).select(FACTS.names)
-    raw = normalize_columns(_read_text_csv(spark, path, "UTF-8", True))
+    raw = normalize_columns(na_to_null(read_csv(spark, path)))
     absent = [k for k in FACT_KEYS if k not in raw.columns]
     if absent:
         raise ValueError(f"no column {', '.join(absent)} in {path}")

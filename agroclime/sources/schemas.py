@@ -47,3 +47,18 @@ QUESTION = T.StructType([
     T.StructField("top_k", T.IntegerType()),
     T.StructField("temperature", T.DoubleType()),
 ])
+
+ANSWER = T.StructType([
+    T.StructField("query", T.StringType()),
+    T.StructField("top_k", T.IntegerType()),
+    T.StructField("temperature", T.DoubleType()),
+    T.StructField("answer", T.StringType()),
+    T.StructField("num_sources", T.IntegerType()),
+    T.StructField("batch", T.StringType()),
+])
+
+LOG = T.StructType([
+    T.StructField("query", T.StringType()),
+    T.StructField("timestamp", T.StringType()),
+    T.StructField("answer_preview", T.StringType()),
+])
