@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agroclime.functions.numbers import l2_normalized
-from agroclime.sources.scratch import as_table
+from agroclime.sources.scratch import as_table, scratch_path
 
 # The scoring code travels with the tasks, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,7 +29,7 @@ INDEX_TYPE = "IndexFlatIP"
 SCORE_SLACK = 1e-9
 # Scores held at once by a task: 32 MB.
 SCORE_CELLS = 4 << 20
-# Questions up to these bounds are sent to every task; more are joined in blocks.
+# Questions up to these bounds are sent to every task; more are answered from a pruned index.
 MAX_BROADCAST_QUESTIONS = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -232,66 +232,6 @@ def _score_against_all(question_table: pa.Table, vectors: DataFrame, schema: T.S
     return vectors.mapInArrow(scan, schema)
 
 
-def _score_in_blocks(
-    questions: DataFrame, n_questions: int, vectors: DataFrame, schema: T.StructType, block: int, lanes: int | None
-) -> DataFrame:
-    """Question blocks meet vector blocks in a join; neither side is ever held whole.
-
-    Vectors are packed into one row per Arrow batch. A vector block is sent to each
-    question block, and a question block to each of ``lanes`` lanes. The lane is the
-    vectors' own partition number: even, and the same again if a task is re-run. By
-    default there are about four (block, lane) keys per shuffle partition.
-    """
-    n_blocks = -(-n_questions // block)
-    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lanes = lanes or -(-4 * partitions // n_blocks)
-    packed_questions = (
-        questions.withColumn("__block", F.pmod(F.xxhash64("__qid"), F.lit(n_blocks)).cast("int"))
-        .groupBy("__block")
-        .agg(F.collect_list(F.struct("__qid", "top_k", "__vec")).alias("__questions"))
-        .withColumn("__lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    )
-    vector_type = T.StructType(vectors.schema.fields)
-    packed_schema = T.StructType([T.StructField("__vectors", T.ArrayType(vector_type))])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
-                lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-                yield pa.RecordBatch.from_arrays([lists], ["__vectors"])
-
-    packed_vectors = (
-        vectors.mapInArrow(pack, packed_schema)
-        .withColumn("__lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
-        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    )
-    names = schema.names
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One running best per question block of this task, so a question leaves the
-        # task with k rows however many vector blocks it met.
-        running: dict[int, tuple[pa.Array, _BestPerQuestion]] = {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number = batch.column("__block")[i].as_py()
-                if number not in running:
-                    qs = batch.column("__questions").slice(i, 1).flatten()
-                    k = qs.field("top_k").to_numpy(zero_copy_only=False)
-                    running[number] = (qs.field("__qid"), _BestPerQuestion(_matrix(qs.field("__vec")), k))
-                vs = batch.column("__vectors").slice(i, 1).flatten()
-                running[number][1].add(pa.table({f.name: vs.field(f.name) for f in vs.type}))
-        for ids, best in running.values():
-            found = best.result(ids)
-            if found is not None:
-                yield from found.select(names).to_batches(max_chunksize=10_000)
-
-    # The hash side is the questions: a task holds the few blocks of its keys and
-    # streams the vectors past them, unsorted.
-    pairs = packed_vectors.join(packed_questions.hint("shuffle_hash"), ["__block", "__lane"])
-    return pairs.select("__block", "__questions", "__vectors").mapInArrow(score, schema)
-
-
 def similarity_topk(
     questions: DataFrame,
     vectors: DataFrame,
@@ -303,15 +243,15 @@ def similarity_topk(
     vec_col: str = "embedding",
     payload: Sequence[str] = (),
     max_questions: int = MAX_BROADCAST_QUESTIONS,
-    block: int = 2048,
-    lanes: int | None = None,
 ) -> DataFrame:
     """The exact best ``k`` vectors by inner product for every question.
 
     Each task reduces its vectors to k rows per question, one shuffle by question
-    merges them. ``k`` may be a number or, if None, the questions' ``top_k``
-    column. Ties go to the lower id; with k above the table size all rows come
-    back. ``payload`` columns travel with the winners. Question ids are unique.
+    merges them. Questions beyond ``max_questions`` or MAX_BROADCAST_BYTES are
+    answered from a pruned index (``vector_index``), built for this search. ``k``
+    may be a number or, if None, the questions' ``top_k`` column. Ties go to the
+    lower id; with k above the table size all rows come back. ``payload`` columns
+    travel with the winners. Question ids are unique.
 
     Returns (question_id, rank, id, similarity_score, payload...).
     """
@@ -320,20 +260,19 @@ def similarity_topk(
         (F.lit(k) if k is not None else F.col("top_k")).cast("int").alias("top_k"),
         F.col(question_vec).alias("__vec"),
     ).where("top_k > 0")
+    many, size = asked.agg(F.count("*"), F.sum(F.size("__vec") * 8)).first()
+    if many > max_questions or (size or 0) > MAX_BROADCAST_BYTES:
+        from agroclime.operators.vector_index import pruned_topk, write_index
+
+        index = write_index(vectors, scratch_path(vectors.sparkSession, "index"), id_col, vec_col, payload)
+        hits = pruned_topk(questions, index, k, question_id=question_id, question_vec=question_vec)
+        return hits.select("question_id", "rank", id_col, "similarity_score", *payload)
+
     stored = vectors.where(F.col(vec_col).isNotNull()).select(
         F.col(vec_col).alias("__vec"), F.col(id_col).alias("__id"), *payload
     )
     schema = _hits_schema(questions, vectors, question_id, id_col, payload)
-
-    # Never more than one row above the bound reaches the driver.
-    first = asked.limit(max_questions + 1).toArrow()
-    if first.num_rows == 0:
-        local = vectors.sparkSession.createDataFrame([], schema)
-    elif first.num_rows <= max_questions and first.nbytes <= MAX_BROADCAST_BYTES:
-        local = _score_against_all(first, stored, schema)
-    else:
-        local = _score_in_blocks(asked, asked.count(), stored, schema, block, lanes)
-
+    local = _score_against_all(asked.toArrow(), stored, schema) if many else vectors.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("question_id").orderBy(
         F.desc("similarity_score"), "__id", *[c for c in payload if _orderable(vectors.schema[c].dataType)]
     )

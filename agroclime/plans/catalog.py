@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from agroclime.functions.keywords import STATE_SUBDIVISION
 from agroclime.functions.numbers import year_number
 from agroclime.operators import answers as an
-from agroclime.operators import clean, corpus, eda, explore, rainfall, vectors
+from agroclime.operators import clean, corpus, eda, explore, rainfall, vector_index, vectors
 from agroclime.operators import datapoints as dp
 from agroclime.operators import questions as qs
 from agroclime.operators.facts import build_facts, duplicate_rain_keys, join_rainfall
@@ -528,9 +528,36 @@ def similarity_topk_batch(spark, sf):
 
 @query(6)
 def similarity_topk_blocks(spark, sf):
-    """The same with question blocks, as for more questions than every task can hold."""
+    """The same from a pruned index, as for more questions than every task can hold."""
     asked = _embeddings(spark, sf).select(F.col("vec_id").alias("question_id"), "embedding")
-    return vectors.similarity_topk(asked, _embeddings(spark, sf), 5, id_col="vec_id", max_questions=10, block=64)
+    return vectors.similarity_topk(asked, _embeddings(spark, sf), 5, id_col="vec_id", max_questions=10)
+
+
+def _clustered(spark, sf):
+    """The test vectors drawn together around their labels: a direction of its own for each, at five times the length."""
+    return _embeddings(spark, sf).withColumn("embedding", F.transform(
+        "embedding", lambda x, i: (x + F.when(i % 10 == F.col("label"), F.lit(2.0)).otherwise(F.lit(0.0))).cast("float")))
+
+
+def _clustered_index(spark, sf):
+    return vector_index.write_index(_clustered(spark, sf), scratch_path(spark, "index"), "vec_id", payload=("label",))
+
+
+@query(6)
+def pruned_topk(spark, sf):
+    """Every vector as a question; the winners' labels are joined by row."""
+    asked = _clustered(spark, sf).select(F.col("vec_id").alias("question_id"), "embedding")
+    return vector_index.pruned_topk(asked, _clustered_index(spark, sf), 7)
+
+
+@query()
+def prune_report(spark, sf):
+    """How many vectors of its 7-best search each question left out: counted, and none for a search of all."""
+    asked = _clustered(spark, sf).select(F.col("vec_id").alias("question_id"), "embedding")
+    said = vector_index.prune_report(asked, _clustered_index(spark, sf), 7)
+    return said.select(
+        "question_id", "vectors", (F.col("vectors_scored") >= 7).alias("enough"), (F.col("vectors_scored") <= F.col("vectors")).alias("at_most_all"),
+        (F.col("cells_scored") <= F.col("cells")).alias("cells_at_most_all"))
 
 
 @query(6)

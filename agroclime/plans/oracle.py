@@ -372,6 +372,12 @@ put("similarity_topk", topk(CENTROIDS, ", label") + "select question_id, rank, v
 put("similarity_topk_batch", topk("asked as (select vec_id as question_id, e as q from vec)")
     + "select question_id, rank, vec_id, round(s + 3e-9, 6) as similarity_score from ranked where rank <= 5")
 put("similarity_topk_blocks", ORACLE["similarity_topk_batch"])
+GROUPED = """vec as (select vec_id, label, cast(list_transform(embedding, lambda x, i: cast(
+  cast(x as double) + case when (i - 1) % 10 = label then 2.0 else 0.0 end as float)) as double[]) as e from embeddings),
+asked as (select vec_id as question_id, e as q from vec)"""
+put("pruned_topk", topk(CENTROIDS, ", label").replace(with_(VEC, CENTROIDS).rstrip(), with_(GROUPED).rstrip())
+    + "select question_id, rank, vec_id, round(s + 3e-9, 6) as similarity_score, cast(label as bigint) as label from ranked where rank <= 7")
+put("prune_report", "select vec_id as question_id, count(*) over () as vectors, true as enough, true as at_most_all, true as cells_at_most_all from embeddings")
 put("attach_documents", topk(CENTROIDS) + "select question_id, rank, vec_id, round(s + 3e-9, 6) as similarity_score, text, lang "
     "from ranked join documents on doc_id = vec_id where rank <= 5")
 put("vectors_parquet", UPTO_FACTS + "select state, count(*) as n_vectors, cast(64 as bigint) as width, count(*) as n_unit "

@@ -38,12 +38,12 @@ def data(n, q, dim=8, copies=0, seed=1):
 
 
 @pytest.mark.parametrize("copies", [0, 300])
-@pytest.mark.parametrize("path", ["broadcast", "blocks"])
+@pytest.mark.parametrize("path", ["broadcast", "index"])
 def test_topk_is_brute_force(spark, copies, path):
     rows, asked = data(900, 37, copies=copies)
     vectors = spark.createDataFrame(rows, SCHEMA).repartition(5)
     questions = spark.createDataFrame(asked, "question_id bigint, embedding array<float>")
-    options = {} if path == "broadcast" else {"max_questions": 5, "block": 8, "lanes": 3}
+    options = {} if path == "broadcast" else {"max_questions": 5}
     hits = v.similarity_topk(questions, vectors, 7, payload=("tag",), **options)
     assert collected(hits) == brute_force(asked, rows, 7)
     assert hits.where(F.concat(F.lit("d"), F.lpad(F.col("tag").cast("string"), 5, "0")) != F.col("id")).count() == 0
@@ -58,7 +58,7 @@ def test_small_batches_and_hot_copies(spark):
         questions = spark.createDataFrame(asked, "question_id bigint, embedding array<float>")
         want = brute_force(asked, rows, 5)
         assert collected(v.similarity_topk(questions, vectors, 5)) == want
-        assert collected(v.similarity_topk(questions, vectors, 5, max_questions=1, block=4)) == want
+        assert collected(v.similarity_topk(questions, vectors, 5, max_questions=1)) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
