@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,17 +113,16 @@ def flag_facts(facts: DataFrame) -> DataFrame:
     return facts.withColumn("reject_reason", _first_reason([(f"missing {c}", F.col(c).isNull()) for c in FACT_KEYS]))
 
 
+DOCUMENTABLE = ("blank state", "blank district", "blank crop", "missing year")
+
+
 def flag_documentable(facts: DataFrame) -> DataFrame:
     """Flags facts that cannot become a document: a blank key text or no year."""
     def blank(name: str) -> Column:
         return F.coalesce(strip(F.col(name)) == "", F.lit(True))
 
-    return facts.withColumn("reject_reason", _first_reason([
-        ("blank state", blank("state")),
-        ("blank district", blank("district")),
-        ("blank crop", blank("crop")),
-        ("missing year", F.col("year_cleaned").isNull()),
-    ]))
+    checks = [blank("state"), blank("district"), blank("crop"), F.col("year_cleaned").isNull()]
+    return facts.withColumn("reject_reason", _first_reason(list(zip(DOCUMENTABLE, checks, strict=True))))
 
 
 def kept(flagged: DataFrame) -> DataFrame:
@@ -137,6 +136,23 @@ def reject_counts(flagged: DataFrame) -> DataFrame:
     )
 
 
+def observed_counts(flagged: DataFrame, reasons: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """The frame, and an observation that counts its rows per reason while some later action runs over it.
+
+    No pass is added: the counts are those of the very job that writes the rows. ``outcomes`` reads them.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.col("reject_reason").isNull()).alias("written")]
+    counts += [F.count_if(F.col("reject_reason") == reason).alias(reason) for reason in reasons]
+    return flagged.observe(seen, *counts), seen
+
+
+def outcomes(spark, seen: Observation) -> DataFrame:
+    """(outcome, n_rows) of a finished job, as ``reject_counts`` gives them; outcomes without rows are left out."""
+    found = [(name, n) for name, n in seen.get.items() if n]
+    return spark.createDataFrame(found, "outcome string, n_rows bigint")
+
+
 def clean_rain(rain: DataFrame) -> DataFrame:
     """Typed rainfall with a full key and a year after 1900."""
     return kept(flag_rain(rain))

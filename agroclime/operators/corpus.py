@@ -6,11 +6,11 @@ scan to write.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from agroclime.functions.numbers import fixed, shortest_text, strip
-from agroclime.operators.clean import MEASURES, coerce_numeric, flag_documentable, kept
+from agroclime.operators.clean import DOCUMENTABLE, MEASURES, coerce_numeric, flag_documentable, kept, observed_counts
 from agroclime.sources.schemas import DOCUMENT, METADATA
 
 # Fixed value: the label every document carries.
@@ -45,8 +45,11 @@ def document_id(state: Column, district: Column, crop: Column, year: Column, pro
 
 def fact_sentences(facts: DataFrame) -> DataFrame:
     """The documentable facts with their sentence in ``text``."""
-    ready = kept(flag_documentable(coerce_numeric(facts, MEASURES)))
-    return ready.withColumn("text", sentence(
+    return _told(flag_documentable(coerce_numeric(facts, MEASURES)))
+
+
+def _told(flagged: DataFrame) -> DataFrame:
+    return kept(flagged).withColumn("text", sentence(
         F.col("year_cleaned"), _trimmed("state"), _trimmed("district"), _trimmed("crop"),
         F.col("production"), F.col("yield"), F.col("annual_rainfall"),
     ))
@@ -57,6 +60,16 @@ def build_documents(facts: DataFrame, created_at: str | None = None, extra: tupl
 
     ``created_at`` pins the run's time stamp, so a re-run writes the same bytes.
     """
+    return _documents(fact_sentences(facts), created_at, extra)
+
+
+def observed_documents(facts: DataFrame, created_at: str | None = None) -> tuple[DataFrame, Observation]:
+    """The same documents, and an observation of how many facts the job that uses them kept and rejected, by reason."""
+    flagged, seen = observed_counts(flag_documentable(coerce_numeric(facts, MEASURES)), DOCUMENTABLE)
+    return _documents(_told(flagged), created_at), seen
+
+
+def _documents(told: DataFrame, created_at: str | None, extra: tuple[str, ...] = ()) -> DataFrame:
     stamp = (
         F.lit(created_at) if created_at is not None
         else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
@@ -74,7 +87,7 @@ def build_documents(facts: DataFrame, created_at: str | None = None, extra: tupl
         F.lit(SOURCE_LABEL).alias("source"),
         stamp.alias("created_at"),
     ).cast(METADATA)
-    return fact_sentences(facts).select(
+    return told.select(
         document_id(state, district, crop, year, F.col("production")).alias("id"),
         "text",
         metadata.alias("metadata"),

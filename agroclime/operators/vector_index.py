@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agroclime.operators.vectors import _matrix, _pair_scores
+from agroclime.operators.vectors import SCORE_SLACK, _matrix, _pair_scores
 from agroclime.sources.scratch import as_table
 
 # The code of this module travels with the tasks, so workers need no installed package.
@@ -219,7 +219,7 @@ def _scored(pairs: DataFrame, index: VectorIndex) -> DataFrame:
         k = page.column("top_k").to_numpy()
         bar = page.column("bar").to_numpy() if has_bar else np.full(len(k), -np.inf)
         rough = asked @ vectors.T
-        slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
+        slack = SCORE_SLACK * (1 + np.abs(rough).max(initial=0))
         for_all, hits = [], []
         for i in range(len(k)):
             at = np.flatnonzero(rough[i] >= bar[i] - slack)

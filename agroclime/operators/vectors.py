@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles, cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +26,11 @@ EMBEDDING_DIM = 384
 ENCODE_BATCH = 256
 # Fixed value: the index kind the manifest names.
 INDEX_TYPE = "IndexFlatIP"
-# The last bits of a matrix product depend on the shape of the batch: it only screens
-# rows, with this slack, and pairs that pass are scored again one by one.
-SCORE_SLACK = 1e-9
+# The last bits of a score depend on the order of its sum. Scores that agree to this many
+# decimals are therefore equal, and ties go by id, whatever way a pair was scored.
+SCORE_DIGITS = 9
+# A matrix product only screens rows, with this slack; pairs that pass are scored one by one.
+SCORE_SLACK = 2e-9
 # Scores held at once by a task: 32 MB.
 SCORE_CELLS = 4 << 20
 # Questions up to these bounds are sent to every task; more are answered from a pruned index.
@@ -71,27 +75,85 @@ class HashingEncoder:
 
 
 def model_encoder(open_model: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = ENCODE_BATCH):
-    """An encoder around a batch model: ``open_model()`` is called once per task."""
+    """An encoder around a batch model: ``open_model()`` is called once per Python worker, texts come ``batch`` at a time.
+
+    The model returns a matrix with one row per text; rows are scaled to length 1. A null text is read as empty.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+
+    def opened():
+        model = open_model()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            coded = np.asarray(model(texts.tolist()), dtype=np.float64)
+            norms = np.sqrt((coded ** 2).sum(axis=1, keepdims=True))
+            return np.divide(coded, norms, out=np.zeros_like(coded), where=norms > 0).astype(np.float32)
+
+        return predict
+
+    run = predict_batch_udf(opened, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
 
     def encode(df: DataFrame, text_col: str, out: str) -> DataFrame:
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = open_model()
-            for series in texts:
-                values = series.fillna("").tolist()
-                rows: list[np.ndarray] = []
-                for start in range(0, len(values), batch):
-                    coded = np.asarray(model(values[start:start + batch]), dtype=np.float64)
-                    norms = np.linalg.norm(coded, axis=1, keepdims=True)
-                    unit = np.divide(coded, norms, out=np.zeros_like(coded), where=norms > 0)
-                    rows.extend(unit.astype(np.float32))
-                yield pd.Series(rows, dtype=object)
-
-        return df.withColumn(out, run(F.col(text_col)))
+        return df.withColumn(out, run(F.coalesce(F.col(text_col), F.lit(""))))
 
     return encode
 
 
+class HashModel:
+    """A batch model in one file: words hashed by MD5 into weighted, signed buckets.
+
+    A word is a run of ASCII letters and digits, small letters for capitals. Eight hex digits of its digest give the
+    bucket, the ninth the sign, the file each bucket's weight. All sums are whole numbers, so that any engine with MD5
+    finds the same vectors.
+    """
+
+    CACHE = 1 << 18  # words kept by a worker
+
+    def __init__(self, content: str):
+        said = json.loads(content)
+        self.weights, self.known = np.array(said["weights"], np.float64), {}
+
+    @staticmethod
+    def content(dim: int = EMBEDDING_DIM) -> str:
+        """A model file: bucket b weighs 1 + b % 7."""
+        return json.dumps({"weights": [1 + b % 7 for b in range(dim)]})
+
+    def _place(self, word: bytes) -> tuple[int, int]:
+        place = self.known.get(word)
+        if place is None:
+            digest = hashlib.md5(word).hexdigest()
+            place = int(digest[:8], 16) % len(self.weights), 1 if digest[8] < "8" else -1
+            if len(self.known) < self.CACHE:
+                self.known[word] = place
+        return place
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.weights)))
+        for row, text in zip(out, texts, strict=True):
+            for word in re.findall(rb"[0-9a-z]+", text.encode().lower()):
+                at, sign = self._place(word)
+                row[at] += sign
+        return out * self.weights
+
+
+def write_model(spark: SparkSession, path: str, content: str) -> str:
+    """Stores a model file in the shared folder ``path`` and returns the file's own path."""
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).inputFiles()[0]
+
+
+def file_encoder(spark: SparkSession, model_file: str, model=HashModel, batch: int = ENCODE_BATCH):
+    """An encoder whose model file Spark ships to every executor; a worker opens it once."""
+    spark.sparkContext.addFile(model_file)
+    name = model_file.rsplit("/", 1)[1]
+
+    def open_model():
+        with open(SparkFiles.get(name), encoding="utf-8") as file:
+            return model(file.read())
+
+    return model_encoder(open_model, batch)
+
+
 def embed(df: DataFrame, text_col: str, encoder, out: str = "embedding") -> DataFrame:
     """Adds the unit vector of each text. ``encoder(df, text_col, out)`` does the work."""
     return encoder(df, text_col, out)
@@ -119,8 +181,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _pair_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products row by row; each is summed in one fixed order, so equal pairs tie wherever they are scored."""
-    return np.ascontiguousarray(a * b).sum(axis=1)
+    """Inner products row by row, to SCORE_DIGITS decimals."""
+    return np.round(np.ascontiguousarray(a * b).sum(axis=1), SCORE_DIGITS) + 0.0
 
 
 class _BestPerQuestion:
@@ -292,8 +354,14 @@ def _orderable(kind: T.DataType) -> bool:
 
 
 def attach_documents(hits: DataFrame, documents: DataFrame, id_col: str = "id") -> DataFrame:
-    """Hits with their documents, for a document table whose ids are unique."""
-    return hits.join(documents, id_col)
+    """Hits with their documents, exactly one row each: of documents with one id the first by content is taken.
+
+    Where repeated ids stand for documents of their own, search by a key that tells them apart
+    (``vector_store.keyed_documents``) or let the index join its documents (``vector_index``).
+    """
+    rest = [c for c in documents.columns if c != id_col]
+    first = documents.groupBy(id_col).agg(F.min(F.struct(*[F.col(c) for c in rest])).alias("__first"))
+    return hits.join(first, id_col).select("*", *[F.col(f"__first.{c}").alias(c) for c in rest]).drop("__first")
 
 
 def retrieve(questions: DataFrame, vectors: DataFrame, encoder, k: int | None = None, **options) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from agroclime.functions.keywords import STATE_SUBDIVISION
 from agroclime.functions.numbers import year_number
 from agroclime.operators import answers as an
-from agroclime.operators import clean, corpus, eda, explore, rainfall, vector_index, vectors
+from agroclime.operators import clean, corpus, eda, explore, rainfall, vector_index, vector_store, vectors
 from agroclime.operators import datapoints as dp
 from agroclime.operators import questions as qs
 from agroclime.operators.facts import build_facts, duplicate_rain_keys, join_rainfall
@@ -473,6 +473,15 @@ def corpus_json(spark, sf):
     return corpus.flatten_metadata(readers.read_corpus(spark, path))
 
 
+@query()
+def written_counts(spark, sf):
+    """What the job that writes the corpus kept and skipped, beside the rows in its files; one crop is blanked."""
+    path = scratch_path(spark, "corpus")
+    facts = b.facts(spark, sf).withColumn("crop", F.when(F.col("crop") != "SMALL", F.col("crop")).otherwise(F.lit(" ")))
+    counts = writers.write_counted_corpus(facts, path, b.CREATED_AT)
+    return counts.unionAll(readers.read_corpus(spark, path).agg(F.lit("read back"), F.count("*")))
+
+
 @query()
 def corpus_sample_csv(spark, sf):
     path = scratch_path(spark, "sample")
@@ -568,33 +577,70 @@ def attach_documents(spark, sf):
     return vectors.attach_documents(hits, docs, "vec_id")
 
 
-def _stored_vectors(spark, sf, dim=vectors.EMBEDDING_DIM):
+MODEL_DIM = 64
+
+
+def _encoder(spark):
+    """The batch model from its file, shipped to the executors."""
+    model_file = vectors.write_model(spark, scratch_path(spark, "model"), vectors.HashModel.content(MODEL_DIM))
+    return vectors.file_encoder(spark, model_file)
+
+
+def _shown(vector="embedding"):
+    """A vector as text, its components in millionths."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")
+
+
+def _vector_rows(df):
+    return df.select("id", "text", "metadata.*", _shown().alias("embedding"))
+
+
+def _stored_vectors(spark, sf):
     """Facts, documents and vectors, each stage stored for the next: (facts, vectors, encoder)."""
-    base = b.stored_facts(spark, sf)
-    docs = b.documents(base)
-    encoder = vectors.HashingEncoder.fit(docs, dim=dim)
+    base, encoder = b.stored_facts(spark, sf), _encoder(spark)
     path = scratch_path(spark, "vectors")
-    writers.write_vectors(vectors.embed(docs, "text", encoder), path)
+    writers.write_vectors(vectors.embed(b.documents(base), "text", encoder), path)
     return base, readers.read_vectors(spark, path), encoder
 
 
 @query()
 def vectors_parquet(spark, sf):
-    """Documents with their vectors written as one table and read back; counted per state."""
-    _, stored, _ = _stored_vectors(spark, sf, dim=64)
-    return stored.groupBy("metadata.state").agg(
-        F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("width"),
-        F.count_if(F.abs(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x) - 1) < 1e-5).alias("n_unit"),
-    )
+    """Documents with their vectors written as one table and read back, all rows and columns."""
+    return _vector_rows(_stored_vectors(spark, sf)[1])
+
+
+def _grown_store(spark, sf):
+    """A store of all documents, brought up in three updates: half of the states, others with some of the first gone, all."""
+    root, encoder = scratch_path(spark, "store"), _encoder(spark)
+    docs = as_table(b.documents(b.stored_facts(spark, sf)), "documents")
+    number = F.regexp_extract("metadata.state", r"(\d+)$", 1).cast("int")
+    for batch, chosen in (("1", number % 2 == 0), ("2", number % 3 > 0), ("3", F.lit(True)), ("3", F.lit(True))):
+        vector_store.update_store(docs.where(chosen), root, encoder, "md5-words", MODEL_DIM, batch)
+    return root
+
+
+@query()
+def grown_vector_store(spark, sf):
+    return _vector_rows(vector_store.load_store(spark, _grown_store(spark, sf), "md5-words", MODEL_DIM, measure=True))
+
+
+@query()
+def grown_vector_manifest(spark, sf):
+    return vector_store.store_manifest(spark, _grown_store(spark, sf))
+
+
+@query()
+def document_keys(spark, sf):
+    """Documents numbered within their id by content; the part without production repeats ids most."""
+    docs = b.documents(b.facts(spark, sf).withColumn("production", F.lit(None).cast("double")))
+    return vector_store.keyed_documents(docs).select("id", "occurrence", "text")
 
 
 @query()
 def embed_documents(spark, sf):
     """Unit vectors of whole texts; a text without words stays a zero vector."""
-    docs = b.table(spark, sf, "documents")
-    coded = vectors.embed(docs, "text", vectors.HashingEncoder.fit(docs))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return coded.select("doc_id", F.size("embedding").alias("width"), F.round(norm, 4).alias("norm"))
+    coded = vectors.embed(b.table(spark, sf, "documents"), "text", _encoder(spark))
+    return coded.select("doc_id", _shown().alias("embedding"))
 
 
 @query(6)
@@ -607,10 +653,13 @@ def retrieve(spark, sf):
 
 @query(6)
 def answer_batch(spark, sf):
+    """All questions answered from retrieved documents, five each, with their sources."""
     base, stored, encoder = _stored_vectors(spark, sf)
     states, crops = b.term_vocabularies(spark, sf)
     asked = b.questions(base).withColumn("top_k", F.lit(None).cast("int"))
-    return an.answer_batch(asked, stored, encoder, include_sources=False, states=states, crops=crops)
+    told = an.answer_batch(asked, stored, encoder, states=states, crops=crops)
+    source = F.transform("sources", lambda s: F.concat_ws("/", s["text"], s["metadata"]["district"]))
+    return told.withColumn("sources", F.array_join(source, chr(10)))
 
 
 # ----------------------------------------------------------------- data points

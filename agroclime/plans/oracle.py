@@ -1,9 +1,7 @@
 """The registered queries as SQL over the same tables.
 
 Written from the meaning of each operator, not from its Spark plan: whole tables,
-plain joins and group-bys. ``ORACLE`` has no entry for the queries that run the
-hashing encoder (embed_documents, retrieve, answer_batch); the tests check those
-against brute force.
+plain joins and group-bys. Every query has an entry.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from agroclime.operators.corpus import SOURCE_LABEL
 from agroclime.plans import bindings as b
 
 ORACLE: dict[str, str] = {}
+MODEL_DIM = 64  # width of the queries' vectors, as in the catalog
 
 # Computed decimals are rounded as ``round(x + 3e-7, 4)`` (``3e-9`` for 6 digits) on
 # both sides: means of few amounts often sit exactly on a rounding tie, where the
@@ -362,7 +361,7 @@ asked as (select cast(label as bigint) as question_id, list(x order by pos) as q
 
 def topk(asked: str, extra: str = "") -> str:
     return with_(VEC, asked) + f""", scored as (
-  select question_id, vec_id, round(list_inner_product(q, e), 10) as s {extra} from asked cross join vec),
+  select question_id, vec_id, round(list_inner_product(q, e), 9) as s {extra} from asked cross join vec),
 ranked as (select *, row_number() over (partition by question_id order by s desc, vec_id) as rank from scored)
 """
 
@@ -380,8 +379,44 @@ put("pruned_topk", topk(CENTROIDS, ", label").replace(with_(VEC, CENTROIDS).rstr
 put("prune_report", "select vec_id as question_id, count(*) over () as vectors, true as enough, true as at_most_all, true as cells_at_most_all from embeddings")
 put("attach_documents", topk(CENTROIDS) + "select question_id, rank, vec_id, round(s + 3e-9, 6) as similarity_score, text, lang "
     "from ranked join documents on doc_id = vec_id where rank <= 5")
-put("vectors_parquet", UPTO_FACTS + "select state, count(*) as n_vectors, cast(64 as bigint) as width, count(*) as n_unit "
-    "from facts group by 1")
+def coded(texts: str) -> str:
+    """Vectors of the model file for the distinct texts of a table: units(text, e)."""
+    return f"""said as (select distinct coalesce(text, '') as text from {texts}),
+spoken as (select text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+')) as word from said),
+hashed as (select word, cast('0x' || substr(md5(word), 1, 8) as bigint) % {MODEL_DIM} as b, case when substr(md5(word), 9, 1) < '8' then 1 else -1 end as sign
+  from (select distinct word from spoken)),
+buckets as (select text, b, cast(sum(sign) * (1 + b % 7) as double) as v from spoken join hashed using (word) group by text, b),
+mapped as (select text, map_from_entries(list(row(b, v))) as m, sqrt(sum(v * v)) as size from buckets group by text),
+units as (select text, list_transform(range({MODEL_DIM}), lambda i: case when size > 0 then cast(coalesce(m[i], 0) / size as float) else 0::float end) as e
+  from said left join mapped using (text))"""
+
+
+SHOWN = "list_aggregate(list_transform(e, lambda x: cast(cast(round(cast(x as double) * 1e6) as bigint) as varchar)), 'string_agg', ',')"
+DOC_COLS = "id, d.text, state, district, year, crop, production, yield, annual_rainfall, source, created_at"
+put("vectors_parquet", UPTO_DOCS.rstrip() + f", {coded('docs')} select {DOC_COLS}, {SHOWN} as embedding from docs d join units u on d.text = u.text")
+put("grown_vector_store", ORACLE["vectors_parquet"])
+put("grown_vector_manifest", UPTO_DOCS + f"select 'md5-words' as model_name, cast({MODEL_DIM} as bigint) as embedding_dim, count(*) as num_vectors, "
+    "'IndexFlatIP' as index_type from docs")
+put("written_counts", UPTO_FACTS + """select case when crop = 'SMALL' then 'blank crop' else 'written' end as outcome, count(*) as n_rows from facts group by 1
+union all select 'read back', count(*) from facts where crop <> 'SMALL'""")
+put("document_keys", UPTO_FACTS + """, docs as (
+  select substr(sha1(concat_ws('|', state, district, crop, cast(year_cleaned as varchar), 'nan')), 1, 16) as id,
+    'In ' || cast(year_cleaned as varchar) || ', the district ' || district || ' in ' || state || ' reported production for ' || crop
+    || ' with yield ' || format('{:.2f}', yield) || ' tonnes per hectare and recorded ' || format('{:.1f}', annual_rainfall)
+    || ' mm annual rainfall.' as text from facts)
+select id, row_number() over (partition by id order by text) - 1 as occurrence, text from docs""")
+put("embed_documents", f"with {coded('documents')} select doc_id, {SHOWN} as embedding from documents d join units u on coalesce(d.text, '') = u.text")
+# The five nearest documents of each question.
+FOUND = f"""{coded("(select text from docs union all select query from questions)")},
+ids as (select id, d.text, e from (select distinct id, text from docs) d join units u on d.text = u.text),
+wanted as (select question_id, e as q from questions t join units u on t.query = u.text),
+near as (select question_id, min(row(-round(list_inner_product(cast(q as double[]), cast(e as double[])), 9), id), 5) as best from wanted cross join ids group by 1)"""
+put("retrieve", UPTO_QUESTIONS.rstrip() + f", {FOUND}" + """,
+chosen as (select question_id, unnest(best) as r from near),
+hits as (select question_id, -r[1] as s, d.id, d.text, row_number() over (partition by question_id order by -r[1] desc, d.id, d.text) as rank
+  from chosen join docs d on d.id = r[2])
+select question_id, rank, id, text, round(s + 3e-9, 6) as similarity_score from hits where rank <= 5""")
+
 
 # ----------------------------------------------------------------- data points
 
@@ -575,6 +610,18 @@ told as (
   from plain t join counted c on t.question_id = c.question_id)
 """
 put("answer_hits", TOLD + "select * from told")
+# The same chain over the five retrieved documents of each question.
+RETRIEVED = f"""{FOUND},
+chosen as (select question_id, unnest(best) as r from near),
+hits as (select * from (
+  select question_id, d.*, -r[1] as similarity_score, row_number() over (
+    partition by question_id order by -r[1] desc, d.id, d.text, state, district, year, crop, production, yield, annual_rainfall) as rank
+  from chosen join docs d on d.id = r[2]) where rank <= 5)"""
+put("answer_batch", TOLD.replace(HITS, RETRIEVED).replace(f"cast({b.HITS_PER_QUESTION} as bigint) as top_k", "cast(5 as bigint) as top_k") + """,
+cited as (select question_id, string_agg(text || '/' || district, chr(10) order by rank) as sources from hits group by 1),
+same as (select query, min(question_id) as question_id from told group by query)
+select t.question_id, t.query, t.top_k, t.temperature, k.answer, k.num_sources, c.sources
+from told t join same s on t.query = s.query join told k on k.question_id = s.question_id join cited c on c.question_id = s.question_id""")
 # A key is answered in the first batch that asks it, from the smallest question id that asks it there.
 KEPT = """, turns as (select query, min(question_id % 3) as turn from told group by query),
 firsts_asked as (select t.query, turn, min(question_id) as question_id from told t join turns u on t.query = u.query

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from agroclime.operators.corpus import corpus_sample
+from agroclime.operators.clean import outcomes
+from agroclime.operators.corpus import corpus_sample, observed_documents
 from agroclime.operators.vectors import vector_manifest
 
 
@@ -26,6 +27,13 @@ def write_corpus(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_counted_corpus(facts: DataFrame, path: str, created_at: str | None = None) -> DataFrame:
+    """Writes the corpus of ``facts`` and returns what that very job wrote and skipped: (outcome, n_rows)."""
+    documents, seen = observed_documents(facts, created_at)
+    write_corpus(documents, path)
+    return outcomes(facts.sparkSession, seen)
+
+
 def write_corpus_sample(documents: DataFrame, path: str, n: int = 200) -> None:
     """The first ``n`` documents by id, flattened, as CSV."""
     corpus_sample(documents, n).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -42,3 +42,27 @@ def test_json_round_trip(spark):
     line = document_json(docs).collect()[0].line
     assert '"production":null' in line and "Kérala" in line
     assert parse_document_json(document_json(docs)).collect() == docs.collect()
+
+
+def test_counts_come_from_the_writing_job(spark, tmp_path):
+    """Written and skipped facts by reason, counted while writing: the input is scanned once."""
+    from pyspark.sql import functions as F
+
+    from agroclime.sources import writers
+
+    rows = [("Kerala", "D", 2001, "Rice"), ("Kerala", " ", 2001, "Rice"), (None, "D", 2001, "Rice"), ("Kerala", "D", None, "Tea"), ("Kerala", "D", 2002, "")]
+    facts = spark.createDataFrame([(*r, 1.0, 2.0, 3.0) for r in rows * 3], FACTS).repartition(3)
+    scans = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            scans.add(len(batch))
+            yield batch
+
+    seen = facts.mapInPandas(noted, FACTS)
+    counts = writers.write_counted_corpus(seen, str(tmp_path / "corpus"), "t")
+    assert {r.outcome: r.n_rows for r in counts.collect()} == {
+        "written": 3, "blank state": 3, "blank district": 3, "blank crop": 3, "missing year": 3}
+    assert scans.value == 15 and spark.read.text(str(tmp_path / "corpus")).count() == 3
+    nothing = writers.write_counted_corpus(facts.where(F.lit(False)), str(tmp_path / "none"), "t")
+    assert nothing.count() == 0
