@@ -296,27 +296,10 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return moments.join(_quantiles_of_stored(values, cols, QUARTILES), "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", *[name for name, _ in QUARTILES], "max",
     )
-def describe_approx(df: DataFrame, cols: Sequence[str], accuracy: int = 10_000) -> DataFrame:
-    """``describe`` in one pass without a sort; quartiles within 1/accuracy of their rank."""
-    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    shares = [p for _, p in QUARTILES]
-    one = df.agg(
-        *[fn(c).alias(f"{c}|{name}") for c in cols for name, fn in stats.items()],
-        *[F.percentile_approx(F.col(c).cast("double"), shares, accuracy).alias(f"{c}|quartiles") for c in cols],
-    )
-    return one.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"),
-            *[F.col(f"`{c}|{name}`").alias(name) for name in ("count", "mean", "std", "min")],
-            *[F.col(f"`{c}|quartiles`")[i].alias(name) for i, (name, _) in enumerate(QUARTILES)],
-            F.col(f"`{c}|max`").alias("max"),
-        )
-        for c in cols
-    ])))
 
 
 def describe_approx(df: DataFrame, cols: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
-    """``describe`` in one pass without a sort; quartiles within 1/accuracy of their rank."""
+    """``describe`` in one pass without a sort; quartiles within 1/accuracy of their rank, give or take one row."""
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     shares = [p for _, p in QUARTILES]
     one = df.agg(

