@@ -46,21 +46,21 @@ def _minhash_keys(h: np.ndarray, begin: np.ndarray, tuples: int, width: int) ->
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, tuples: int = TUPLES, width: int = WIDTH) -> DataFrame:
-    """(id, n_shingles, fp1, fp2, keys): set size, a 128-bit fingerprint of the whole set, and the hash tuples."""
+    """(id, n_shingles, digest, keys): set size, SHA-256 of the text's word sequence, and the hash tuples."""
 
     def run(batches):
         for batch in tv.sub_batches(batches):
-            h, begin = tv.distinct_per_text(*tv.shingle_hashes(tv.words_of(batch.column(1)), shingle))
+            words = tv.words_of(batch.column(1))
+            h, begin = tv.distinct_per_text(*tv.shingle_hashes(words, shingle))
             n = np.diff(begin)
             keys = _minhash_keys(h, begin, tuples, width)
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x))) for x in (h, tv.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-            fp = [(s[begin[1:]] - s[begin[:-1]]).view(np.int64) for s in sums]
             flat = pa.array(keys.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 2 * tuples), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(fp[0]), pa.array(fp[1]), lists], names=["id", "n_shingles", "fp1", "fp2", "keys"])
+            digests = pa.array(tv.normalized_digests(words, tv.text_bytes(batch.column(1))[1]), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), digests, lists], names=["id", "n_shingles", "digest", "keys"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long, keys array<long>")
+    return source.mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>")
 
 
 def similar(a: str | None, b: str | None, shingle: int, percent: int) -> bool:
@@ -135,15 +135,24 @@ def _possible(ids: DataFrame, sizes: DataFrame, docs: DataFrame, id_col: str, te
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``id, n_shingles, component_id, kept``.
 
-    Null or wordless texts have an empty set and are linked with nothing. Ids are unique; a null id gives a row
-    linked with nothing. Repeated texts under different ids are one class. Other columns are not read.
+    Null or wordless texts have an empty set and are linked with nothing. Rows with one id are one document and give
+    one row: repeats count once, and of different texts any may link it, while n_shingles is the largest set's. A null
+    id gives a row of its own, linked with nothing. Texts of equal words (known by SHA-256 of the word sequence) under
+    different ids are one class; texts of any length are read whole. Other columns are not read.
     """
     docs = docs.select(F.col(id_col), F.col(text_col))
     sigs = stored(signatures(docs, id_col, text_col, shingle), "signatures")
-    live = sigs.filter("n_shingles > 0 and id is not null")
-    classes = live.groupBy("n_shingles", "fp1", "fp2").agg(F.min("id").alias("rep"))
-    members = stored(live.join(classes, ["n_shingles", "fp1", "fp2"]).select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "members")
+    live = sigs.filter("n_shingles > 0 and id is not null").groupBy("id", "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    repeated = stored(sigs.filter("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("digest").alias("texts")).filter("n > 1"), "repeated")
+    again = not repeated.isEmpty()
+    if again:  # their texts are looked at once each
+        key = repeated.select(F.col("id").alias(id_col))
+        docs = docs.join(key, id_col, "left_anti").unionByName(docs.join(key, id_col, "left_semi").distinct())
+    classes = live.groupBy("digest").agg(F.min("id").alias("rep"))
+    members = stored(live.join(classes, "digest").select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "members")
     reps = members.filter("id = rep").select("id", "keys")
+    # A document of several texts links the classes of all of them.
+    spanning = members.join(repeated.filter("texts > 1").select("id"), "id", "left_semi").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
     # A table key (i, j) can only be shared where A_i and B_j are: keep those alone before combining.
     single = reps.select("id", F.posexplode("keys").alias("t", "key"))
@@ -164,6 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = buckets.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     tested = stored(_confirmed(stars, docs, id_col, text_col, shingle, percent), "tested")
     links = tested.filter("same").select("a", "b")
+    if again:
+        links = stored(links.union(spanning), "links")
     found = components(links)
 
     # Buckets that still hold several components: their pairs across components, each formed once. They are joined on
@@ -171,7 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     open_ids = stored(labelled.join(mixed, "key").select("id", "component").distinct(), "open")
-    possible = _possible(open_ids.select("id"), sigs.select("id", F.col("n_shingles").alias("n")), docs, id_col, text_col, shingle, percent)
+    largest = sigs.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")) if again else sigs.select("id", "n_shingles")
+    possible = _possible(open_ids.select("id").distinct(), largest.select("id", F.col("n_shingles").alias("n")), docs, id_col, text_col, shingle, percent)
     keyed = stored(
         open_ids.join(possible, "id").join(reps, "id")
         .select("id", "component", "n", "own", F.slice("keys", 1, TUPLES).alias("left"), F.slice("keys", TUPLES + 1, TUPLES).alias("right"))
@@ -198,8 +210,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.filter("same").isEmpty():
         found = components(links.union(more.filter("same").select("a", "b")))
     placed = members.select("id", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    if again:
+        placed = placed.groupBy("id").agg(F.min("component").alias("component"))
+        largest = largest.filter("id is not null").unionByName(sigs.filter("id is null").select("id", "n_shingles"))
     return (
-        sigs.select("id", "n_shingles").join(placed, "id", "left")
+        largest.join(placed, "id", "left")
         .select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
     )

@@ -5,6 +5,7 @@ Words are maximal runs without the bytes 0x09-0x0D and 0x20; upper case A-Z is l
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,7 +93,65 @@ def words_of(column: pa.Array) -> Words:
     final[last] = inside[:n][last]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(final) + 1
     first = np.searchsorted(starts, offsets)
-    return Words(data, starts, ends, first, span_hashes(data, starts, ends))
+    return Words(data, starts, ends, first, word_hashes(data, starts, ends))
+
+
+def normalized_digests(words: Words, offsets: np.ndarray) -> list[bytes]:
+    """SHA-256 of each text's words, joined by one blank."""
+    inside = np.zeros(len(words.data) + 1, bool)
+    np.add.at(change := np.zeros(len(words.data) + 1, np.int32), words.starts, 1)
+    np.add.at(change, words.ends, -1)
+    inside[:-1] = np.cumsum(change[:-1]) > 0
+    # A word's bytes and the first blank after it; a word at the end of its text has none.
+    kept = inside[:-1].copy()
+    kept[1:] |= inside[:-2]
+    kept[offsets[:-1][offsets[:-1] < len(kept)]] &= inside[offsets[:-1][offsets[:-1] < len(kept)]]
+    data = np.where(inside[:-1], words.data, 32)[kept].astype(np.uint8)
+    at = np.concatenate(([0], np.cumsum(kept)))[offsets]
+    whole = data.tobytes()
+    return [hashlib.sha256(whole[a:b].rstrip(b" ")).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+# Two primes below 2**31 and a base for each: sums of their residues fit into 64 bits.
+_PRIMES = ((2147483647, 1128476521), (2147483629, 964374583))
+_residues: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _prime_powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a prime's base and of its inverse, modulo the prime."""
+    prime, base = _PRIMES[which]
+    have = _residues.get(which)
+    if have is None or len(have[0]) < n:
+        size, both = 1 << max(12, int(n - 1).bit_length()), []
+        for b in (base, pow(base, -1, prime)):
+            out = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                out[done : 2 * done] = out[:done] * np.uint64(pow(b, done, prime)) % np.uint64(prime)
+                done *= 2
+            both.append(out)
+        have = tuple(both)
+        if size <= 4 * BATCH_BYTES:
+            _residues[which] = have
+    return have[0][:n], have[1][:n]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, of two polynomials modulo primes and one modulo 2**64.
+
+    The last alone has texts with equal hashes under every base (those of the Thue-Morse pattern).
+    """
+    out = span_hashes(data, starts, ends)
+    if not len(data):
+        return out
+    for which, (prime, _) in enumerate(_PRIMES):
+        p = np.uint64(prime)
+        powers, inverse = _prime_powers(which, len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1] % p, out=sums[1:])
+        h = (sums[ends] - sums[starts]) % p * inverse[starts] % p
+        out = mix(out ^ mix(h + np.uint64(which << 32)))
+    return out
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

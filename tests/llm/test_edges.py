@@ -157,3 +157,43 @@ def test_base_spans_like_plain_patterns():
         want += [(2, *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
         want += [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
         assert pii.base_spans(text) == sorted(want), text
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    """A document that stands twice gives one row; one of two texts links what both are like."""
+    rows = [(5, words(1, 30)), (5, words(1, 30)), (6, words(1, 30)), (7, words(2, 30)), (8, words(3, 30)), (8, words(2, 30)), (4, words(3, 30)), (9, words(9, 30)), (9, None), (None, "a b"), (None, "a b")]
+    for shuffle in (1, 4):
+        got = sorted(map(repr, near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(shuffle), shingle=2).select("id", "component_id", "kept").collect()))
+        want = [(4, 4, True), (5, 5, True), (6, 5, False), (7, 4, False), (8, 4, False), (9, 9, True), (None, None, True), (None, None, True)]
+        assert got == sorted(f"Row(id={i}, component_id={c}, kept={k})" for i, c, k in want)
+
+
+def test_near_duplicates_of_texts_with_like_polynomials(spark):
+    """The Thue-Morse word and its complement have equal polynomials modulo 2**64 for every odd base."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    b = "".join("ba"[bin(i).count("1") & 1] for i in range(1024))
+    rows = [(1, a), (2, b), (3, f" {a}\n"), (4, f"x {a} y"), (5, f"x {b} y")]
+    got = {r.id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_digests_are_of_the_word_sequence():
+    import pyarrow as pa
+
+    from agroclime.llm import textvec
+
+    texts = ["", None, " ", "a", " a", "a ", "A\t\n b", "a b", "ab", "a", "é  É", " x y z", "q", "", "w w "]
+    column = pa.array(texts, pa.string())
+    got = textvec.normalized_digests(textvec.words_of(column), textvec.text_bytes(column)[1])
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    assert got == [hashlib.sha256(" ".join(w for w in re.split("[\x20\x09-\x0d]+", lower(t)) if w).encode()).digest() for t in texts]
+
+
+def test_nearest_of_repeated_rows(spark):
+    """Equal rows are one; of different vectors under one id the first counts."""
+    r = random.Random(2)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    extra = [rows[2], rows[2], rows[0], (7, [1e3] * 4)]
+    table = lambda x: spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    plain = sorted(map(tuple, nndescent.nearest(table(rows), lambda i: i % 10 == 0).collect()))
+    assert sorted(map(tuple, nndescent.nearest(table(rows + extra), lambda i: i % 10 == 0).collect())) == plain
