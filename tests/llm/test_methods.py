@@ -306,3 +306,42 @@ def test_vocabulary_merges_like_tiktoken_on_odd_words(spark):
     rows += [(100, "a" * 1000), (101, " " * 700 + "x"), (102, "ab" * 300), (103, "!" * 500)]
     got = {x.doc_id: x.ids for x in bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.PATTERN, ["ids"]).collect()}
     assert got == {i: codec.encode_ordinary(t) for i, t in rows}
+
+
+def test_short_switches_are_found(docs):
+    """One to three words of another language within a text, all from documents that the model has not seen."""
+    rows = docs.filter("lang is not null and length(text) < 20000").select("doc_id", "text", "lang").orderBy("doc_id").collect()
+    model = langid.train([x.text for x in rows if x.doc_id % 3], [x.lang for x in rows if x.doc_id % 3])
+    by = defaultdict(list)
+    for x in rows:
+        if x.doc_id % 3 == 0:
+            by[x.lang] += [w for w in x.text.split() if w.isalpha() and len(w) > 4]
+    r = np.random.default_rng(5)
+    right = all_ = 0
+    for a, b in itertools.permutations(sorted(by), 2):
+        text, gold = [], []
+        for turn in range(8):
+            for lang, n in ((a, 7), (b, 1 + turn % 3)):
+                at = r.integers(len(by[lang]) - n)
+                text += by[lang][at:at + n]
+                gold += [lang] * n
+        _, gamma, _ = langid.label_words(model, pa.array([" ".join(text)]))
+        said = [model.labels[y] for y in gamma.argmax(axis=1)]
+        inside = [i for i, g in enumerate(gold) if g == b]
+        right += sum(said[i] == b for i in inside)
+        all_ += len(inside)
+    assert right / all_ > 0.8
+
+
+def test_text_in_no_learned_language_is_rejected(spark, docs):
+    strange = ["привет мир как дела сегодня хорошо", "xkcd qwzx bvnm ghjk zzzt wqrt pldk mnbv", "日本語 の テキスト です ね", "12 34 !!", "", None]
+    plain = docs.filter("text is not null").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(strange)], "doc_id long, text string, lang string")
+    model = langid.fit(plain, "doc_id", "text", "lang")
+    hidden = plain.withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
+    kept = {r.doc_id: r.lang for r in langid.keep_identified(hidden.unionAll(extra), model, lang_col="lang").collect()}
+    with_letters = {r.doc_id: r.lang for r in plain.collect() if any(c.isalpha() for c in r.text)}
+    assert not [i for i in kept if i >= 10**6]
+    assert set(kept) == set(with_letters)
+    said = [(kept[i], lang) for i, lang in with_letters.items() if lang is not None and i % 5 == 0]
+    assert np.mean([a == b for a, b in said]) > 0.95
