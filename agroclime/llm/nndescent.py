@@ -198,9 +198,11 @@ def build_graph(nodes: DataFrame, dim: int, k: int = NEIGHBOURS, rounds: int = R
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pool: int = POOL, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
-    """(query, id, d): the pool of nearest nodes found for each query (query, vec). A query that is a node starts at its links.
+    """(query, id, d, visited): the pool of nearest nodes found for each query (query, vec), and how many nodes it measured.
 
-    Distances are in double precision. Queries move by joins with the graph; nothing is broadcast; a few entry nodes are literals.
+    A query that is a node starts at its links. Distances are in double precision. A query's state is one row: its
+    pool, which of it has been expanded, and the ids it has measured. A hop joins only the expanded nodes with the
+    links and sends each query the new ones; nothing is broadcast, and a few entry nodes are literals.
     """
     either = graph.select("id", "near").union(graph.select(F.col("near"), F.col("id"))).distinct()
     links = stored(either, "links")
@@ -227,36 +229,46 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pool: int = P
         q, i, d = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"query": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "d": pa.array(d, pa.float64())})
 
-    def distance(pairs: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame) -> DataFrame:
+        """(query, found): distances of each query's new nodes, unexpanded, nearest first."""
         # A query goes once to each part that holds some of its candidates; nodes' vectors are not copied per pair.
         asked = pairs.select("query", "id", part).groupBy("query", "part").agg(F.collect_list("id").alias("ids"))
         sent = asked.join(queries.select("query", F.col("vec").alias("q")), "query").select("part", "query", "q", "ids")
-        return placed.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(measure, "query long, id long, d double")
+        near = placed.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(measure, "query long, id long, d double")
+        entry = F.struct("d", "id", F.lit(True).alias("open"))
+        return near.groupBy("query").agg(F.array_sort(F.collect_list(entry)).alias("found"))
 
-    best = Window.partitionBy("query").orderBy("d", "id")
-    seen = stored(distance(first).withColumn("open", F.lit(True)).withColumn("r", F.row_number().over(best)), "pool")
+    ids_of = lambda found: F.transform(found, lambda e: e["id"])
+    state = measured(first).select("query", F.slice("found", 1, pool).alias("pool"), ids_of("found").alias("visited"))
+    state = stored(state, "pool")
     for _ in range(hops):
-        turn = F.row_number().over(Window.partitionBy("query").orderBy("r"))
-        chosen = stored(seen.filter(f"open and r <= {pool}").withColumn("turn", turn).filter(F.col("turn") <= expand).select("query", "id"), "chosen")
+        chosen = state.select("query", F.explode(F.slice(F.filter("pool", lambda e: e["open"]), 1, expand)).alias("e")).select("query", F.col("e.id").alias("id"))
         if chosen.isEmpty():
             break
-        near = chosen.join(links, "id").select("query", F.col("near").alias("id")).distinct()
-        fresh = near.join(seen.select("query", "id"), ["query", "id"], "left_anti")
-        marked = seen.join(chosen.withColumn("now", F.lit(True)), ["query", "id"], "left").select("query", "id", "d", (F.col("open") & F.col("now").isNull()).alias("open"))
-        both = marked.unionByName(distance(fresh).withColumn("open", F.lit(True)))
-        # All seen nodes stay known, so none is measured twice; only the pool's are ever expanded.
-        seen = stored(both.withColumn("r", F.row_number().over(best)), "pool")
-    return seen.filter(F.col("r") <= pool).select("query", "id", "d")
+        near = chosen.join(links, "id").groupBy("query").agg(F.collect_set("near").alias("near"))
+        fresh = near.join(state.select("query", "visited"), "query").select("query", F.explode(F.array_except("near", "visited")).alias("id"))
+        # The nearest unexpanded nodes are expanded now.
+        unopened = F.filter("pool", lambda e: e["open"])
+        now = F.transform(F.slice(unopened, 1, expand), lambda e: e["id"])
+        after = state.withColumn("now", now).select("query", "visited", F.transform(
+            "pool", lambda e: F.struct(e["d"].alias("d"), e["id"].alias("id"), (e["open"] & ~F.array_contains(F.col("now"), e["id"])).alias("open"))).alias("pool"))
+        both = after.join(measured(fresh), "query", "left")
+        merged = F.slice(F.array_sort(F.concat("pool", "found")), 1, pool)
+        # All measured nodes stay known, so none is measured twice; only the pool's are ever expanded.
+        state = stored(both.select(
+            "query", F.when(F.col("found").isNull(), F.col("pool")).otherwise(merged).alias("pool"),
+            F.when(F.col("found").isNull(), F.col("visited")).otherwise(F.concat("visited", ids_of("found"))).alias("visited")), "pool")
+    return state.select("query", F.size("visited").alias("visited"), F.explode("pool").alias("e")).select("query", "e.id", "e.d", "visited")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query row's ``k`` nearest other rows found.
 
     ``is_query(id)`` is a Column. Rows without id, and vectors null, zero, of another than the commonest length or
-    with null or non-finite components take no part. Equal vectors are ranked by id; ids are unique. Fewer than ``k``
-    other rows give as many as there are; other columns are not read.
+    with null or non-finite components take no part. Equal vectors are ranked by id; of rows with one id the first by
+    vector counts. Fewer than ``k`` other rows give as many as there are; other columns are not read.
     """
-    rows = stored(usable(vectors, id_col, vector_col), "vectors")
+    rows = stored(usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
     sizes = rows.select(F.size("vec").alias("n")).limit(1).collect()
     dim = sizes[0]["n"] if sizes else 1
     nodes = stored(rows.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"), "nodes")
@@ -264,7 +276,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     graph = build_graph(nodes, dim)
     asked = members.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "node")
     queries = stored(nodes.join(asked.select(F.col("node").alias("id")).distinct(), "id").select(F.col("id").alias("query"), "vec"), "queries")
-    pool = search(queries, graph, nodes)
+    pool = search(queries, graph, nodes).drop("visited")
     own = queries.select("query", F.col("query").alias("id"), F.lit(0.0).alias("d"))
     pool = pool.filter("query <> id").unionByName(own).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).filter(F.col("r") <= k + 1).drop("r")
     # k + 1 members of a node are enough: the query itself may be one of them.
