@@ -1,13 +1,18 @@
 """Personal data: validated base patterns, and further candidates judged by boosted trees.
 
-High-recall generators propose overlapping spans that the base patterns leave (numbers in phone or card layout,
-dotted quads, written-out mail addresses). Trees score each on its format and the words around it; a threshold per
-kind, calibrated on held-out examples, selects. Base spans always stay. The trees are trained here, on made-up
-examples of fixed layouts (``training_examples``), so no labelled corpus is needed.
+High-recall generators propose overlapping spans that the base patterns leave: numbers in phone or card layout, IP
+addresses in other notations, written-out mail addresses, and long tokens that may be secrets. Trees score each on its
+format and the words around it; a threshold per kind, calibrated on layouts that the trees have not seen, selects.
+Base spans always stay.
+
+The trees learn from items planted into real text: ``carriers`` are pieces of at most ``CARRIERS`` documents, and every
+kind has positive layouts and look-alikes in three sets, for training, calibration and tests (``LAYOUTS``). No labels
+are needed.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
@@ -19,8 +24,10 @@ from pyspark.sql import functions as F
 
 from agroclime.llm.boosting import BoostedTrees
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
 PRECISION = 0.98
+CARRIERS, CARRIER_CHARS = 300, 240  # documents whose text surrounds planted items, and characters of each
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -84,16 +91,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- candidates -------------------------------------------------------------------------------------------------
 
-_LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{2,4}(?:[ .-][0-9]{2,5}){1,4}(?![0-9A-Za-z])")
-_LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{3,6}){2,4}(?![0-9A-Za-z])")
+_LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{2,5}\)?[ .-]{1,2}[0-9]{2,6}(?:[ .-][0-9]{2,6}){0,4}(?![0-9A-Za-z])")
+_LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./-]?[0-9]{3,6}){2,4}(?![0-9A-Za-z])")
 _LOOSE_IP = re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])")
+_DEFANGED = re.compile(r"(?<![0-9A-Za-z.\]])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}){3}(?![0-9A-Za-z])")
+_COLONS = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WORDS = {
     "phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|tél|téléphone|telefon|teléfono|móvil)\b", re.I),
-    "card": re.compile(r"\b(?:card|credit|visa|mastercard|debit|karte|carte|tarjeta)\b", re.I),
+    "card": re.compile(r"\b(?:card|credit|visa|mastercard|amex|debit|pay|karte|carte|tarjeta)\b", re.I),
     "mail": re.compile(r"\b(?:mail|email|e-mail|contact|write|correo|courriel)\b", re.I),
-    "ip": re.compile(r"\b(?:ip|host|server|address|client|login)\b", re.I),
-    "code": re.compile(r"\b(?:isbn|order|invoice|version|release|section|no|nr|ref|id|token|serial|date|page|chapter)\b", re.I),
+    "ip": re.compile(r"\b(?:ip|ipv6|host|server|address|client|login|from|peer)\b", re.I),
+    "code": re.compile(r"\b(?:isbn|order|invoice|version|release|section|no|nr|ref|id|serial|date|page|chapter|time|at)\b", re.I),
+    "secret": re.compile(r"(?:token|secret|passw|pwd|key|auth|bearer|credential)", re.I),
+    "digest": re.compile(r"\b(?:commit|sha1|sha256|md5|checksum|digest|hash|revision|etag)\b", re.I),
 }
 
 
@@ -108,10 +120,17 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     if "at" in text and ("[" in text or "(" in text):
         for mark in re.finditer(r"[\[(](?:at|AT)[\])]", text):
             start = mark.start() - (text[mark.start() - 1 : mark.start()] == " ")
-            while start > 0 and mark.start() - start < 80 and text[start - 1] in _LOCAL:
+            while start > 0 and text[start - 1] in _LOCAL:
                 start -= 1
             if m := _SPELLED.match(text, start):
                 found.append((0, *m.span()))
+    if "[.]" in text or "(.)" in text:
+        found += [(1, *m.span()) for m in _DEFANGED.finditer(text) if m[0].count("[") + m[0].count("(")]
+    if "::" in text or text.count(":") > 2:
+        found += [(1, *m.span()) for m in _COLONS.finditer(text) if len(m[0]) > 4]
+    for m in _TOKEN.finditer(text):
+        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            found.append((4, *m.span()))
     if not found:
         return found
     taken = sorted((s, e) for _, s, e in base)
@@ -125,86 +144,151 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return free
 
 
+def _entropy(span: str) -> float:
+    n = np.unique(np.frombuffer(span[:256].encode("utf-16-le"), "<u2"), return_counts=True)[1] / min(len(span), 256)
+    return float(-(n * np.log2(n)).sum()) if len(span) else 0.0
+
+
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
     span, left, right = text[start:end], text[max(0, start - 40) : start], text[end : end + 12]
     digits = _DIGITS.sub("", span)
     groups = [len(g) for g in _DIGITS.split(span) if g]
+    hexes = sum(c in "0123456789abcdefABCDEF" for c in span)
     return [
-        *(float(kind == k) for k in range(4)), len(digits), len(span), len(groups), groups[0] if groups else 0, groups[-1] if groups else 0,
+        *(float(kind == k) for k in range(len(KINDS))), len(digits), len(span), len(groups), groups[0] if groups else 0, groups[-1] if groups else 0,
         max(groups, default=0), min(groups, default=0), float("(" in span), span.count("."), span.count("-"), span.count(" "), float(luhn(digits)) if len(digits) > 12 else 0.0,
         max((int(g[:4]) for g in _DIGITS.split(span) if g), default=0), float(left[-1:] in set("=\"'#$_/\\:")), float(left[-1:].isalnum()), float(right[:1].isalnum() or right[:1] in "%_/=\""),
-        *(float(bool(p.search(left))) for p in _WORDS.values()),
+        float(digits[:1] == "0"), int(digits[:2] or 0), span.count(":"), float("::" in span), span.count("["), hexes / max(len(span), 1), float(any(c.isupper() for c in span)),
+        float(any(c.islower() for c in span)), _entropy(span), float(left.rstrip(" \"'")[-1:] in "=:"), *(float(bool(p.search(left))) for p in _WORDS.values()),
     ]
 
 
-def training_examples(seed: int = 7, each: int = 120) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, label and kind of made-up spans: layouts of personal numbers, and numbers that only look like them."""
-    r = random.Random(seed)
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    area = lambda: r.choice("23456789") + d(2)
-    word = lambda: "".join(r.choice(["an", "er", "ti", "on", "la", "de", "sch", "ou", "re"]) for _ in range(r.randint(1, 4)))
-
-    def valid_card(groups):
-        body = d(15)
-        for last in "0123456789":
-            if luhn(body + last):
-                body += last
-                break
-        return groups.join([body[i : i + 4] for i in range(0, 16, 4)])
-
-    near, far = {3: ["call", "tel", "phone", "Telefon", ""], 2: ["card", "visa", "carte", ""], 0: ["mail", "contact", ""], 1: ["host", "ip", "server", ""]}, ["order", "isbn", "ref", "version", "section", "date", ""]
-    made = []
-    for _ in range(each):
-        for shape in (lambda: f"({area()}) {d(3)}-{d(4)}", lambda: f"{area()}-{d(3)}-{d(4)}", lambda: f"0{d(2)} {d(3)} {d(2)} {d(2)}", lambda: f"{area()}.{d(3)}.{d(4)}"):
-            made.append((3, shape(), near[3], 1))
-        made.append((0, f"{word()}.{d(2)} [at] {word()}{r.choice(['.com', ' [dot] org', '.net'])}", near[0], 1))
-        made.append((0, f"{word()}{r.choice(['(at)', ' (at) '])}{word()}{r.choice(['.com', '.org'])}", near[0], 1))
-        # Complete dotted quads and valid cards are base spans; what the generators add of those kinds is noise.
-        made.append((1, f"{d(3)}.{d(3)}.{d(3)}.{r.randint(256, 999)}", far, 0))
-        made.append((2, r.choice(["", " ", "-"]).join(d(4) for _ in range(4)), far, 0))
-        made.append((2, d(r.randint(13, 15)), far, 0))
-        made.append((2, valid_card(" ") + d(3), far, 0))
-        for shape in (lambda: f"19{d(2)}-{d(2)}-{d(2)}", lambda: f"20{d(2)} {d(2)} {d(2)}", lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"{d(3)} {d(2)} {d(2)}", lambda: f"978-{d(1)}{d(1)}-{d(4)}-{d(3)}", lambda: f"{d(3)} {d(3)} {d(3)} {d(3)} {d(3)}", lambda: f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"{d(4)} {d(4)} {d(4)}"):
-            made.append((3, shape(), far, 0))
-    x, y, kinds = [], [], []
-    for kind, span, hints, label in made:
-        left = f"{word()} {word()} {r.choice(hints)} "
-        text = f"{left}{span} {word()}."
-        x.append(features(text, kind, len(left), len(left) + len(span)))
-        y.append(label)
-        kinds.append(kind)
+# ---- training ---------------------------------------------------------------------------------------------------
+
+class _Maker:
+    """Random items of given layouts. In a layout ``#`` is a digit, ``&`` a digit from 2 to 9, ``x`` a hex digit, ``*`` a
+    letter or digit, ``w`` a small word; ``V`` is a valid check digit for the digits before it, ``U`` an invalid one."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def __call__(self, layout: str) -> str:
+        out: list[str] = []
+        for c in layout:
+            if c == "#":
+                out.append(self.r.choice("0123456789"))
+            elif c == "&":
+                out.append(self.r.choice("23456789"))
+            elif c == "x":
+                out.append(self.r.choice("0123456789abcdef"))
+            elif c == "X":
+                out.append(self.r.choice("0123456789ABCDEF"))
+            elif c == "*":
+                out.append(self.r.choice("abcdefghijkmnopqrstuvyzABCDEFGHIJKLMNOPQRSTYZ0123456789"))
+            elif c == "w":
+                out.append("".join(self.r.choice(["an", "er", "ti", "on", "la", "de", "sch", "ou", "re", "mi"]) for _ in range(self.r.randint(1, 3))))
+            elif c in "VU":
+                body = _DIGITS.sub("", "".join(out))
+                right = next(d for d in "0123456789" if luhn(body + d))
+                out.append(right if c == "V" else self.r.choice([d for d in "0123456789" if d != right]))
+            else:
+                out.append(c)
+        return "".join(out)
+
+
+#: Per set (train, calibrate, test) and kind: layouts of personal items with words before them, and of look-alikes.
+LAYOUTS = {
+    "train": {
+        "email": (["w.## [at] w.com", "w(at)w.org", "w [at] w [dot] net", "w.w##(at)w [dot] com"], ["mail", "contact", "", "write"], [], []),
+        "ip": (["&#[.]1##[.]&#[.]##", "2001:xxxx:xxxx::xxxx", "fe80::xxxx:xxxx:xxxx:xxxx", "xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx"], ["host", "ip", "server", "from", ""],
+               ["1#:2#:3#", "0#:1#:4#", "###.###.###.9##", "3##.##.##.##", "1:2:3:4"], ["version", "at", "section", "time", ""]),
+        "card": (["3### ###### ####V", "3#############V", "4###########V", "5###.####.####.###V", "4###/####/####/###V"], ["card", "visa", "carte", "pay", "credit"],
+                 ["############U", "#############U", "##############U", "###############U", "#### #### #### ###U", "978##########", "####-####-####-###U"], ["order", "isbn", "ref", "the", "", "no"]),
+        "phone": (["(&##) ###-####", "&##-###-####", "0## ### ## ##", "&##.###.####", "0#### ######", "&## ### ####"], ["call", "tel", "phone", "Telefon", "", "fax"],
+                  ["19##-0#-1#", "20## 0# 1#", "1#.0#.20##", "### ## ##", "978-##-####-###", "### ### ### ### ###", "#### #### ####", "## ## ## ## ## ##", "1#-2#", "20##-20##"], ["order", "isbn", "date", "page", "", "version"]),
+        "secret": (["x" * 40, "x" * 32, "*" * 40, "*" * 24, "AKIA" + "X" * 16], ['token = "', "api_key: ", "secret=", "password = ", 'auth_token="'],
+                   ["x" * 40, "x" * 32, "wwww-www##", "www_www_wwww##", "x" * 64], ["commit ", "checksum ", "md5 ", "see ", "file ", "sha1: "]),
+    },
+    "calibrate": {
+        "email": (["w_w(at)w.net", "w## [at] w [dot] org"], ["mail to", "", "contact"], [], []),
+        "ip": (["1##(.)&#(.)1#(.)##", "2a02:xxx:xxxx:xx::x", "::1:xxxx:xxxx"], ["address", "login", "server", ""], ["0#:2#", "1#:0#:5#:2#", "2###.##.##.###"], ["time", "release", ""]),
+        "card": (["3###-######-####V", "4####### ####V", "6###.####.####.###V"], ["debit", "card", "visa"], ["##############U", "###### ########U", "### ### ### ### ##U", "979##########"], ["invoice", "serial", "ref", "a", ""]),
+        "phone": (["(&##)###-####", "0##-### ####", "&##-### ####", "0## ## ## ## ##"], ["mobile", "tel", "", "call"], ["20##.0#.1#", "####-##-##", "## ### ## #", "### #### ### ##", "#### ####"], ["section", "date", "ref", ""]),
+        "secret": (["x" * 48, "*" * 32, "sk-" + "*" * 24], ["secret_key = '", "Bearer ", "pwd: ", "access token: "], ["x" * 40, "wwwww##www", "ww-ww-ww-ww##"], ["revision ", "digest ", "at ", "hash "]),
+    },
+    "test": {
+        "email": (["w-w [at] w.com", "w.w (at) w [dot] net"], ["write to", "email", ""], [], []),
+        "ip": (["&#[.]&#[.]1##.1##", "2606:xxxx::xxxx:xxxx", "fd00:xx:xx::xx"], ["client", "ip", "peer", ""], ["2#:1#:0#", "4##.###.##.#", "5:6:7"], ["version", "at", "chapter", ""]),
+        "card": (["3#############V", "3### ######-####V", "4###.####.####V"], ["mastercard", "amex", "credit card"], ["#############U", "####.####.####.###U", "##############U"], ["id", "order no", "in", ""]),
+        "phone": (["(0##) ### ####", "&##.### ####", "0#### ### ###"], ["phone", "call", "cell"], ["20##/0#/1#", "19## 1# 2#", "978 ## #### ###", "### ### ### ## ##"], ["date", "isbn", "page", ""]),
+        "secret": (["x" * 36, "*" * 28, "*" * 44], ['token = "', "API key ", "password: ", "TOKEN="], ["x" * 64, "www##wwww", "x" * 40], ["commit ", "etag ", "sha256 ", "in "]),
+    },
+}
+
+
+def training_examples(part: str = "train", seed: int = 7, each: int = 60, carriers: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, label and kind of planted spans of one set of layouts, in pieces of the carriers or, without any, in made-up words."""
+    make = _Maker(seed)
+    r, x, y, kinds = make.r, [], [], []
+    for kind, name in enumerate(KINDS):
+        good, near, bad, far = LAYOUTS[part][name]
+        for label, layouts, hints in ((1, good, near), (0, bad, far)):
+            for layout in layouts:
+                for _ in range(each):
+                    carrier = r.choice(carriers) if carriers else make("w w w w w w w w")
+                    at = r.randrange(len(carrier) + 1)
+                    at = carrier.rfind(" ", 0, at) + 1
+                    hint, span = r.choice(hints), make(layout)
+                    # A hint that ends in a sign stands right before the item.
+                    gap = "" if not hint or not hint[-1].isalnum() else " "
+                    left = carrier[:at] + hint + gap
+                    text = left + span + r.choice([" ", ", ", ".", "\" ", "!! ", "\n"]) + carrier[at:]
+                    x.append(features(text, kind, len(left), len(left) + len(span)))
+                    y.append(label)
+                    kinds.append(kind)
     return np.array(x), np.array(y, float), np.array(kinds)
 
 
-@functools.cache
-def model(precision: float = PRECISION) -> tuple[BoostedTrees, tuple[float, ...]]:
-    """Trees and one threshold per kind: the least score at which held-out examples reach ``precision``."""
-    x, y, _ = training_examples(7)
-    trees = BoostedTrees().fit(x, y)
-    vx, vy, vk = training_examples(8)
+@functools.lru_cache(8)
+def model(carriers: tuple[str, ...] = (), precision: float = PRECISION) -> tuple[BoostedTrees, tuple[float, ...]]:
+    """Trees and one threshold per kind: the least score at which examples of the calibration layouts reach ``precision``."""
+    x, y, _ = training_examples("train", 7, 60, carriers)
+    trees = BoostedTrees(trees=80, depth=4).fit(x, y)
+    vx, vy, vk = training_examples("calibrate", 8, 60, carriers)
     scores, cuts = trees.predict(vx), []
     for kind in range(len(KINDS)):
         s, t = scores[vk == kind], vy[vk == kind]
-        order = np.argsort(-s)
+        order = np.argsort(-s, kind="stable")
         good = np.cumsum(t[order]) >= precision * np.arange(1, len(order) + 1)
         cuts.append(float(max(s[order][np.flatnonzero(good)[-1]], 0.5)) if good.any() and t.any() else 2.0)
     return trees, tuple(cuts)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Selected candidates: best score first, none overlapping another."""
+def sample_carriers(docs: DataFrame, text_col: str = "text") -> tuple[str, ...]:
+    """Pieces of at most CARRIERS documents, those with the smallest text hashes, to surround planted items in training."""
+    text = F.col(text_col).cast("string")
+    piece = docs.filter(F.length(text) > 20).select(F.xxhash64(text).alias("h"), F.substring(text, 1, CARRIER_CHARS).alias("t"))
+    return tuple(r.t for r in piece.orderBy("h", "t").limit(CARRIERS).collect())
+
+
+def added_spans(text: str, base: list[tuple[int, int, int]], carriers: tuple[str, ...] = ()) -> list[tuple[int, int, int]]:
+    """Selected candidates: best score first, of equal scores the first by kind and place, none overlapping another."""
     found = candidates(text, base)
     if not found:
         return []
-    trees, cuts = model()
-    scores = trees.predict(np.array([features(text, *c) for c in found]))
+    trees, cuts = model(carriers)
+    scores = np.concatenate([trees.predict(np.array([features(text, *c) for c in found[a : a + 4096]])) for a in range(0, len(found), 4096)])
     chosen: list[tuple[int, int, int]] = []
-    taken = np.zeros((0, 2), np.int64)
-    for i in np.argsort(-scores, kind="stable"):
+    taken: list[tuple[int, int]] = []  # in order of place
+    for i in np.argsort(-scores, kind="stable").tolist():
         kind, s, e = found[i]
-        if scores[i] >= cuts[kind] and not ((taken[:, 0] < e) & (taken[:, 1] > s)).any():
-            chosen.append(found[i])
-            taken = np.vstack((taken, (s, e)))
+        if scores[i] < cuts[kind]:
+            continue
+        at = bisect.bisect_left(taken, (s, e))
+        if (at and taken[at - 1][1] > s) or (at < len(taken) and taken[at][0] < e):
+            continue
+        taken.insert(at, (s, e))
+        chosen.append(found[i])
     return sorted(chosen)
 
 
@@ -231,11 +315,13 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False) -> DataFrame:
     """One row per document: id, base counts per kind, ``base`` and ``spans`` texts, and with ``redacted`` the clean text.
 
-    Spans are ``kind:start:end`` in code points, end exclusive, by kind (email, ip, card, phone), then start. A null
-    or empty text has none (and stays null when redacted). Rows that repeat each give a row; other columns are not read.
+    Spans are ``kind:start:end`` in code points, end exclusive, by kind (email, ip, card, phone, secret), then start;
+    base spans are of the first four. A null or empty text has none (and stays null when redacted). Texts of any length
+    are read whole. Rows that repeat each give a row; other columns are not read.
     """
+    carriers = docs.sparkSession.sparkContext.broadcast(sample_carriers(docs, text_col))  # CARRIERS x CARRIER_CHARS at most
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    names = [id_col, *(f"n_{k}" for k in KINDS), "base", "spans", *(["redacted"] if redacted else [])]
+    names = [id_col, *(f"n_{k}" for k in BASE_KINDS), "base", "spans", *(["redacted"] if redacted else [])]
     kinds = [pa.int64()] * 5 + [pa.string()] * (3 if redacted else 2)
 
     def run(batches):
@@ -245,8 +331,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reda
                 whole = raw.as_py()
                 text = whole or ""
                 base = base_spans(text)
-                spans = sorted([*base, *added_spans(text, base)])
-                counts = [sum(k == n for k, _, _ in base) for n in range(len(KINDS))]
+                spans = sorted([*base, *added_spans(text, base, carriers.value)])
+                counts = [sum(k == n for k, _, _ in base) for n in range(len(BASE_KINDS))]
                 rows.append((doc_id, *counts, span_text(base), span_text(spans), *([redact(text, spans) if spans else whole] if redacted else [])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -258,6 +344,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reda
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The rows with all spans of the text replaced, and ``length_col`` (if given) set to the new length of changed texts."""
     names = docs.columns
+    carriers = docs.sparkSession.sparkContext.broadcast(sample_carriers(docs, text_col))
 
     def run(batches):
         for batch in batches:
@@ -268,7 +355,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
             for i, text in enumerate(texts):
                 if text:
                     base = base_spans(text)
-                    spans = [*base, *added_spans(text, base)]
+                    spans = [*base, *added_spans(text, base, carriers.value)]
                     if spans:
                         texts[i] = redact(text, spans)
                         if length_col:
