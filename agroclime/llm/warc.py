@@ -63,9 +63,13 @@ def write_records(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK
     A page row repeated whole gives a record each time. Other columns are ignored.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    marks = decide(pages, min_bytes).select(F.col("page_id").alias("id"), "sha1", "refers_to")
+    # Only revisits are joined: a stored table of ids and digests, so that Spark's size check decides whether payloads move.
+    marks = stored(decide(pages, min_bytes).filter("refers_to is not null"), "revisits").select(F.col("page_id").alias("id"), F.col("sha1").alias("same"), "refers_to")
     keyed = pages.withColumn("sha1", F.sha1("html"))
-    joined = keyed.join(marks, F.col("page_id").eqNullSafe(F.col("id")) & (keyed["sha1"] == marks["sha1"])).select("page_id", "url", "html", "refers_to")
+    joined = keyed.join(marks, (F.col("page_id") == F.col("id")) & (F.col("sha1") == F.col("same")), "left")
+    # A revisit has no payload: only its size and digest go on.
+    joined = joined.select(
+        "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "refers_to", F.unhex("sha1").alias("sha1"), F.octet_length("html").alias("n"))
 
     def run(batches):
         key = TaskContext.get().partitionId() << 40
@@ -80,13 +84,16 @@ def write_records(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, url, refers_to = (batch.column(c)[i].as_py() for c in (0, 1, 3))
-                payload = memoryview(batch.column(2)[i].as_buffer() or b"")
-                digest = hashlib.sha1()
-                for at in range(0, len(payload), chunk_bytes):
-                    digest.update(payload[at : at + chunk_bytes])
-                rows.append((key, 0, _head(page_id, url, digest_text(digest.digest()), len(payload), refers_to)))
+                payload = memoryview(batch.column(2)[i].as_buffer() or b"") if refers_to is None else memoryview(b"")
+                stated, size = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
+                if refers_to is None:
+                    digest = hashlib.sha1()
+                    for at in range(0, len(payload), chunk_bytes):
+                        digest.update(payload[at : at + chunk_bytes])
+                    stated = digest.digest()
+                rows.append((key, 0, _head(page_id, url, digest_text(stated), size, refers_to)))
                 number = 1
-                for at in range(0, len(payload) if refers_to is None else 0, chunk_bytes):
+                for at in range(0, len(payload), chunk_bytes):
                     rows.append((key, number, bytes(payload[at : at + chunk_bytes])))
                     held += len(rows[-1][2])
                     number += 1
@@ -126,42 +133,77 @@ class Record:
         self.left -= len(view)
         self.tail += data[len(view) :]
 
+    def complete(self) -> bool:
+        return not self.left and self.tail == _CRLF * 2
+
     def result(self) -> tuple:
         """(page_id, payload_bytes, payload_digest, record_type, refers_to), checked against the bytes that passed."""
         kind = self.headers["warc-type"]
         stated = self.headers["warc-payload-digest"].removeprefix("sha1:")
-        if self.left or self.tail != _CRLF * 2 or kind == "response" and stated != digest_text(self.digest.digest()):
+        if not self.complete() or kind == "response" and stated != digest_text(self.digest.digest()):
             raise ValueError(f"damaged record {self.headers['warc-record-id']}")
         number = lambda name: int(x) if (x := self.headers.get(name, "").removeprefix("<urn:page:").rstrip(">")) else None
         return number("warc-record-id"), int(self.http["content-length"]), stated, kind, number("warc-refers-to")
 
 
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _records(batches, whole: bool):
+    """Records whose chunks come in order, as rows (record_key, done, ...).
+
+    Unless all chunks are there (``whole``), a record that begins or ends elsewhere gives a row that is not done.
+    """
+    names = ["record_key", "done", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    now, number, record, rows = None, -1, None, []
+
+    def close():
+        if now is None:
+            return
+        if record is not None and (whole or record.complete()):
+            rows.append((now, True, *record.result()))
+        elif whole:
+            raise ValueError(f"record {now} has no head")
+        else:
+            rows.append((now, False, None, None, None, None, None))
+
+    for batch in batches:
+        keys, numbers, data = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+        for i, (key, at) in enumerate(zip(keys, numbers, strict=True)):
+            if key != now or at == 0:
+                close()
+                now, number, record = key, -1, None
+            if at == 0:
+                record = Record(data[i].as_py())
+            elif record is not None and at == number + 1:
+                record.feed(data[i].as_buffer().to_pybytes())
+            else:  # a chunk before this one is elsewhere
+                record = None
+            number = at
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows = []
+    close()
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
 def read_records(chunks: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record of a chunk table."""
-    ordered = chunks.select("record_key", "chunk_no", "data").repartition("record_key").sortWithinPartitions("record_key", "chunk_no")
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record of a chunk table.
 
-    def run(batches):
-        record, done = None, []
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
-        for batch in batches:
-            numbers, data = batch.column(1).to_pylist(), batch.column(2)
-            for i, number in enumerate(numbers):
-                if number == 0:
-                    if record is not None:
-                        done.append(record.result())
-                    record = Record(data[i].as_py())
-                else:
-                    record.feed(data[i].as_buffer().to_pybytes())
-            if done:
-                yield pack()
-                done.clear()
-        if record is not None:
-            done.append(record.result())
-            yield pack()
-
-    return ordered.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    A record's chunks lie together in its file, so each split is read in order without a shuffle. Records that a split
+    cuts, or whose chunks lie anywhere else, are read again: only their chunks are brought together by record.
+    """
+    rows = chunks.select("record_key", "chunk_no", "data")
+    kind = "record_key long, done boolean, " + _RECORD
+    seen = stored(rows.mapInArrow(lambda batches: _records(batches, False), kind), "records")
+    cut = seen.filter("not done").select("record_key").distinct()
+    found = seen.join(cut, "record_key", "left_anti") if not cut.isEmpty() else seen
+    if not cut.isEmpty():
+        again = rows.join(cut, "record_key", "left_semi").repartition("record_key").sortWithinPartitions("record_key", "chunk_no")
+        found = found.unionByName(again.mapInArrow(lambda batches: _records(batches, True), kind))
+    return found.drop("record_key", "done")
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -170,7 +212,14 @@ def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def export_files(chunks: DataFrame, folder: str) -> None:
-    """Plain ``.warc`` files, one per partition, in a folder that every executor has mounted."""
+    """Plain ``.warc`` files, one per partition, in a folder that every executor has mounted.
+
+    On a cluster that is a folder under ``spark.checkpoint.dir``; another one is an error, as a local disk loses parts.
+    """
+    spark = chunks.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", "").removeprefix("file://").rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local" and not (shared and os.path.abspath(folder).startswith(shared + "/")):
+        raise ValueError(f"{folder} is not under spark.checkpoint.dir, which all executors share")
     ordered = chunks.select("record_key", "chunk_no", "data").repartition("record_key").sortWithinPartitions("record_key", "chunk_no")
 
     def run(batches):

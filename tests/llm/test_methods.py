@@ -374,3 +374,22 @@ def test_text_in_no_learned_language_is_rejected(spark, docs):
     assert set(kept) == set(with_letters)
     said = [(kept[i], lang) for i, lang in with_letters.items() if lang is not None and i % 5 == 0]
     assert np.mean([a == b for a, b in said]) > 0.95
+
+
+def test_warc_records_cut_by_splits_or_shuffled(spark):
+    """However the chunk rows lie in files and tasks, the records read are the same."""
+    r = random.Random(4)
+    rows = [(i, f"u{i}", "".join(r.choice("abc<>é") for _ in range(r.choice([0, 3, 400])))) for i in range(120)] + [(500, "u", "same"), (501, "u", "same"), (None, "n", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    chunks = warc.stored(warc.write_records(pages, chunk_bytes=64), "chunks")
+    want = sorted(map(repr, warc.read_records(chunks).collect()))
+    assert len(want) == 123 and sum("revisit" in x for x in want) >= 1
+    for other in (chunks.repartition(7), chunks.orderBy("chunk_no"), chunks.coalesce(1)):
+        assert sorted(map(repr, warc.read_records(other).collect())) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(repr, warc.read_records(chunks).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = warc.read_records(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
