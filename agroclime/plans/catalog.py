@@ -21,6 +21,7 @@ from agroclime.operators import questions as qs
 from agroclime.operators.facts import build_facts, duplicate_rain_keys, join_rainfall
 from agroclime.plans import bindings as b
 from agroclime.sources import readers, writers
+from agroclime.sources.schemas import FACTS as SCHEMA_OF_FACTS
 from agroclime.sources.scratch import as_table, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,6 +430,24 @@ def fact_sentences(spark, sf):
     return corpus.fact_sentences(b.facts(spark, sf)).select("text", *FACTS)
 
 
+@query()
+def documents_by_the_clock(spark, sf):
+    """Documents stamped by the clock: one stamp a run, in the stated form, between the times before and after."""
+    before = spark.sql("select date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\")").first()[0]
+    stamped = as_table(corpus.build_documents(b.facts(spark, sf)), "documents").select("metadata.state", "metadata.created_at")
+    form = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}(Z|[+-][0-9]{2}:[0-9]{2})$"
+    in_time = F.to_timestamp("created_at").between(F.to_timestamp(F.lit(before)), F.current_timestamp())
+    return stamped.groupBy("state").agg(
+        F.count("*").alias("n_documents"), F.countDistinct("created_at").alias("n_stamps"), F.bool_and(F.col("created_at").rlike(form) & in_time).alias("stamped"))
+
+
+@query()
+def rows_to_table(spark, sf):
+    """A few facts taken to the driver and made a table again with a stated schema: values and types are kept."""
+    few = explore.preview(b.facts(spark, sf), FACTS, 50).select(FACTS).collect()
+    return readers.rows_to_df(spark, [tuple(r) for r in few], SCHEMA_OF_FACTS)
+
+
 @query()
 def build_documents(spark, sf):
     return corpus.flatten_metadata(_documents(spark, sf))

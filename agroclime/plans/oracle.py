@@ -343,6 +343,8 @@ from asked q left join told t on q.question_id = t.question_id""")
 
 # --------------------------------------------------------- corpus and sources
 
+put("documents_by_the_clock", UPTO_FACTS + "select state, count(*) as n_documents, 1 as n_stamps, true as stamped from facts group by state")
+put("rows_to_table", UPTO_FACTS + f"select {FACT_COLS} from (select {FACT_COLS} from facts order by {FACT_COLS} limit 50)")
 put("fact_sentences", UPTO_FACTS + f"select {SENTENCE} as text, {FACT_COLS} from facts")
 DOC_COLS = "id, text, state, district, year, crop, production, yield, annual_rainfall, source, created_at"
 for name in ("build_documents", "document_json", "corpus_json"):
