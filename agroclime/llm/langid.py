@@ -245,8 +245,8 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS) -> Model:
             s += g**2
             value += rate * g / np.sqrt(s)
     model.weights = model.weights.astype(np.float32)
-    own, gamma, letters = label_words(model, pa.array(texts, pa.string()))
-    shown, n = evidence(model, own, gamma, letters, len(texts))
+    own, _, letters, lead = led_words(model, pa.array(texts, pa.string()))
+    shown, n = evidence(own, letters, lead, len(texts))
     if (n > 0).any():
         model.floor = FLOOR * float(np.quantile(shown[n > 0], 0.01))
     return model
@@ -270,24 +270,25 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per
 
 def label_words(model: Model, column: pa.Array) -> tuple[tv.Words, np.ndarray, np.ndarray]:
     """Words of each text, their label marginals, and which words hold a letter."""
-    words = tv.words_of(column)
+    return led_words(model, column)[:3]
+
+
+def led_words(model: Model, column: pa.Array) -> tuple[tv.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and how far each word's likeliest label scores above the mean of the others by its features alone."""
+    words, k = tv.words_of(column), len(model.labels)
     if not len(words.hashes):
-        return words, np.zeros((0, len(model.labels))), np.zeros(0, bool)
+        return words, np.zeros((0, k)), np.zeros(0, bool), np.zeros(0)
     d = distinct_words(words)
-    return words, marginals(emissions(model, d)[d.inverse], words.first, model.transitions), d.letters[d.inverse]
+    score = emissions(model, d)
+    gamma = marginals(score[d.inverse], words.first, model.transitions)
+    others = (score.sum(axis=1, keepdims=True) - score) / max(k - 1, 1)
+    return words, gamma, d.letters[d.inverse], (score - others)[d.inverse, gamma.argmax(axis=1)]
 
 
-def evidence(model: Model, words: tv.Words, gamma: np.ndarray, letters: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's mean lead of its words' likeliest labels over the other languages, and its number of words with letters."""
+def evidence(words: tv.Words, letters: np.ndarray, lead: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's mean lead over its words with letters, and how many those are."""
     doc = np.repeat(np.arange(n), np.diff(words.first))
     held = np.bincount(doc, letters, n)
-    k = len(model.labels)
-    if not len(doc) or k < 2:
-        return np.full(n, np.inf if k < 2 else 0.0), held
-    d = distinct_words(words)
-    score = emissions(model, d)
-    others = score.sum(axis=1, keepdims=True) - score
-    lead = (score - others / (k - 1))[d.inverse, gamma.argmax(axis=1)]
     return np.bincount(doc, lead * letters, n) / np.maximum(held, 1), held
 
 
@@ -347,9 +348,9 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
             texts = batch.column(batch.schema.get_field_index(text_col))
             keep = with_letters(texts)
             if sent.value is not None:
-                words, gamma, letters = label_words(sent.value, texts)
-                shown, held = evidence(sent.value, words, gamma, letters, len(texts))
-                keep &= (held > 0) & (shown >= sent.value.floor)
+                words, gamma, letters, lead = led_words(sent.value, texts)
+                shown, held = evidence(words, letters, lead, len(texts))
+                keep &= (held > 0) & ((shown >= sent.value.floor) | (len(sent.value.labels) < 2))
                 if lang_col is not None:
                     at = batch.schema.get_field_index(lang_col)
                     doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
