@@ -114,6 +114,7 @@ def normalized_digests(words: Words, offsets: np.ndarray) -> list[bytes]:
 
 # Two primes below 2**31 and a base for each: sums of their residues fit into 64 bits.
 _PRIMES = ((2147483647, 1128476521), (2147483629, 964374583))
+_HASHED = 1 << 16  # bytes hashed at once, so that tables and sums stay small
 _residues: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -131,19 +132,28 @@ def _prime_powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 done *= 2
             both.append(out)
         have = tuple(both)
-        if size <= 4 * BATCH_BYTES:
+        if size <= 2 * _HASHED:
             _residues[which] = have
     return have[0][:n], have[1][:n]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, of two polynomials modulo primes and one modulo 2**64.
+    """A 64-bit hash of each byte span, of two polynomials modulo primes and one modulo 2**64. Spans stand in order.
 
     The last alone has texts with equal hashes under every base (those of the Thue-Morse pattern).
     """
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _HASHED, "right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        out[i:j] = _word_hashes(data[a:b], starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = span_hashes(data, starts, ends)
-    if not len(data):
-        return out
     for which, (prime, _) in enumerate(_PRIMES):
         p = np.uint64(prime)
         powers, inverse = _prime_powers(which, len(data) + 1)
