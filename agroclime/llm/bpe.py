@@ -1,14 +1,14 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of distinct words.
 
 A task packs its documents into blocks: one row with the block's distinct words and, per document, which words it
-is made of. The merges run in the JVM on each distinct word of a block, against a literal rank map; decoding
-concatenates the literal byte pieces of the ids. A last step lays words back into documents, so words are never
-joined back to documents through a shuffle and no frequent word is a hot key.
-
-The corpus's most frequent words (``HEAD`` at most) are folded once instead of once per block and sent to the tasks.
-That table is a cache of bounded size: it changes no result.
-
-Bytes are kept as one character each (ISO-8859-1), so that string functions work on them.
+is made of. Distinct words are dealt into buckets by hash, and a bucket's distinct words are folded once for all
+blocks, in the JVM against a literal rank map. Codes go back to the blocks in packed rows, one per bucket and block,
+and a last step lays them out as documents. No table of words is gathered on the driver or sent to all tasks.
+Decoding concatenates the binary pieces of the ids.
+
+Bytes are kept as one character each (ISO-8859-1), so that string functions work on them. A fold costs the square of
+a word's length: words of ``LONG`` bytes or more, such as a long run of one character, are merged by ``tiktoken``
+itself, whose merges of a long word take linear-logarithmic time.
 """
 
 from __future__ import annotations
@@ -17,21 +17,22 @@ import base64
 import functools
 import hashlib
 import json
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agroclime.llm.store import split_bytes
+from agroclime.llm import textvec as tv
+from agroclime.llm.store import split_bytes, stored
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 LAY_BYTES = 2 << 20
-HEAD = 600_000
+BUCKET_WORDS = 96_000  # words of all blocks that a bucket holds on average
+LONG = 192
 _BUCKETS = 16_384
-_LONG = 192  # bytes; from here on a round merges all places of the lowest pair at once
 
 
 @functools.cache
@@ -73,31 +74,26 @@ def _murmur3(data: bytes) -> int:
 
 
 class Vocabulary:
-    """Rank and piece literals of one rank file. The map is split by hash so that a look-up scans a few entries.
+    """The rank literal of one rank file. The map is split by hash so that a look-up scans a few entries.
 
-    Each literal is bound once per expression (``_let``) and used through that variable: plans, and the tasks that
-    are made of them, then hold one copy of it.
+    The literal is bound once per expression (``_let``) and used through that variable: plans, and the tasks that are
+    made of them, then hold one copy of it.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
-        pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             text = token.decode("latin-1")
             buckets[_murmur3(text.encode()) % _BUCKETS][text] = rank
-            pieces[rank] = token.hex()
-        # from_json and split of a literal are computed once, by the optimizer
+        # from_json of a literal is computed once, by the optimizer
         self.buckets = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,int>>")
-        self.pieces = F.split(F.lit(",".join(pieces)), ",")
+        # ids travel as two bytes where that holds them all
+        self.middle, self.kind = (32_768, "smallint") if max(ranks.values()) < 65_536 else (0, "int")
 
     def encode_words(self, words: Column) -> Column:
         """Ids of every word of an array (array<array<int>>)."""
         return _let(self.buckets, lambda b: F.transform(words, _Merges(b).encode_word))
 
-    def decode_words(self, codes: Column) -> Column:
-        """Bytes of every id list: the pieces concatenated (array<binary>)."""
-        return _let(self.pieces, lambda p: F.transform(codes, lambda ids: F.aggregate(ids, F.lit(b""), lambda got, i: F.concat(got, F.unhex(F.get(p, i))))))
-
 
 class _Merges:
     """Merges of one word against the bound rank literal."""
@@ -134,93 +130,111 @@ class _Merges:
         place = F.array_position(ranks, F.array_min(ranks)).cast("int")
         return F.when(F.array_min(ranks).isNull(), state).otherwise(_let(place, at))
 
-    def _merge_all(self, text: Column) -> Column:
-        """One round on ``‹a››``-wrapped tokens: all places of the lowest pair, left to right."""
-        tokens = F.split(F.substring(text, 2, 2147483647), "‹")
-        bare = F.transform(tokens, lambda t: F.rtrim(t, F.lit("›")))
-
-        def with_tokens(t: Column) -> Column:
-            def with_ranks(r: Column) -> Column:
-                p = F.array_position(r, F.array_min(r)).cast("int")
-                a, b = F.get(t, p - 1), F.get(t, p)
-                wrap = lambda *x: F.concat(F.lit("‹"), *x, F.lit("›"))
-                return F.when(F.array_min(r).isNull(), F.concat(F.lit("."), text)).otherwise(F.replace(text, F.concat(wrap(a), wrap(b)), wrap(a, b)))
-
-            return _let(self._pair_ranks(t), with_ranks)
-
-        return F.when(F.startswith(text, F.lit(".")), text).otherwise(_let(bare, with_tokens))
-
     def encode_word(self, word: Column) -> Column:
         """Ids of one word (array<int>)."""
         raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
         def fold(w: Column) -> Column:
             tokens = F.split(w, "")
-            n = F.length(w)
             start = F.struct(tokens.alias("tokens"), self._pair_ranks(tokens).alias("ranks"))
-            short = F.aggregate(F.sequence(F.lit(2), n), start, lambda s, _: self._merge(s))["tokens"]
-            wrapped = F.array_join(F.transform(tokens, lambda c: F.concat(F.lit("‹"), c, F.lit("›"))), "")
-            long = F.aggregate(F.sequence(F.lit(1), n), wrapped, lambda s, _: self._merge_all(s))
-            ended = F.transform(F.split(F.substring(F.ltrim(long, F.lit(".")), 2, 2147483647), "‹"), lambda t: F.rtrim(t, F.lit("›")))
-            return F.transform(F.when(n < _LONG, short).otherwise(ended), self.rank)
+            merged = F.aggregate(F.sequence(F.lit(2), F.length(w)), start, lambda s, _: self._merge(s))["tokens"]
+            # A word that is a token itself needs no merges.
+            return _let(self.rank(w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.transform(merged, self.rank)))
 
         return _let(raw, fold)
 
 
-@dataclass
-class Head:
-    """Codes and bytes of the most frequent words."""
+class _Pieces:
+    """Bytes of every id, and the merges of long words; built from the rank table in a task."""
 
-    words: pa.Array
-    codes: np.ndarray
-    code_ends: np.ndarray   # where each word's codes begin, and the end
-    raw: np.ndarray
-    raw_ends: np.ndarray
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self._codec = ranks, None
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            by_id[rank] = token
+        self.raw = np.frombuffer(b"".join(by_id), np.uint8)
+        self.sizes = np.array([len(b) for b in by_id], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def direct(self, words: list[str]) -> list[list[int] | None]:
+        """Ids of the words that need no fold: those that are tokens themselves, and long ones."""
+        return [[rank] if (rank := self.ranks.get(raw := w.encode())) is not None else self.encode(w) if len(raw) >= LONG else None for w in words]
 
-def head_words(words: DataFrame, vocabulary: Vocabulary, size: int = HEAD) -> Head:
-    """The ``size`` most frequent words of a column ``words`` (array<string>) over all rows, folded once."""
+    def encode(self, word: str) -> list[int]:
+        if self._codec is None:
+            import tiktoken
 
-    def count(batches):
-        for batch in batches:
-            seen = batch.column(0).flatten().value_counts()
-            yield pa.RecordBatch.from_arrays([seen.field(0), seen.field(1)], names=["w", "n"])
-
-    counted = words.select("words").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
-    top = counted.orderBy(F.desc("n"), "w").limit(size).select("w", F.pmod(F.hash("w"), F.lit(48)).alias("lane"))
-    packed = top.repartition(48, "lane").groupBy("lane").agg(F.collect_list("w").alias("words"))
-    codes = packed.select("words", vocabulary.encode_words(F.col("words")).alias("codes"))
-    table = codes.withColumn("pieces", vocabulary.decode_words(F.col("codes"))).toArrow().combine_chunks()
-    if not table.num_rows:
-        return Head(pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    flat = [pa.concat_arrays([c.flatten() for c in table.column(n).chunks]) for n in ("words", "codes", "pieces")]
-    sizes = [pc.list_value_length(flat[1]), pc.binary_length(flat[2])]
-    ends = [np.concatenate(([0], np.cumsum(n.to_numpy(zero_copy_only=False).astype(np.int64)))) for n in sizes]
-    return Head(flat[0], flat[1].flatten().to_numpy(zero_copy_only=False).astype("<u4"), ends[0], np.frombuffer(b"".join(flat[2].to_pylist()), np.uint8), ends[1])
-
-
-def _blocks(batches, head: pa.Array):
-    """One row per block of documents: ids, words per document, index of each word, distinct words that are not head words.
-
-    Indexes count the block's own words first, then the head's.
+            self._codec = tiktoken.Encoding("words", pat_str="(?s).+", mergeable_ranks=self.ranks, special_tokens={})
+        return self._codec.encode_ordinary(word)
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes, compressed: the high planes are nearly all zero."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(values).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _opened(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    planes = np.frombuffer(pa.decompress(packed[4:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _steps(at: np.ndarray) -> bytes:
+    """Ascending numbers by their differences."""
+    return _squeezed(np.diff(at, prepend=0))
+
+
+def _places(packed: bytes) -> np.ndarray:
+    return np.cumsum(_opened(packed), dtype=np.int64)
+
+
+def _squeezed_words(words: pa.Array) -> tuple[bytes, bytes]:
+    """Sizes and bytes of strings."""
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    data = b"".join(words.cast(pa.binary()).to_pylist())
+    return _squeezed(sizes), len(data).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _opened_words(sizes: bytes, data: bytes) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(_opened(sizes)))).astype(np.int32)
+    raw = pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd")
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), raw)
+
+
+_BODY = "block long, ids array<long>, counts array<int>, places binary, n_words long, word_sizes binary, word_data binary, sizes array<int>, codes array<int>"
+
+
+def _blocks(batches, direct):
+    """One row per block of documents: ids, words per document, index of each word, distinct words, codes of known ones.
+
+    Indexes count the words whose ids are known without a fold (``direct``) first, then the others.
     """
     held, size = [], 0
+    number = TaskContext.get().partitionId() << 33
 
     def block():
         ids = pa.concat_arrays([b for b, _, _ in held])
         counts = np.concatenate([c for _, c, _ in held])
         coded = pa.chunked_array([w for _, _, w in held]).combine_chunks().dictionary_encode()
-        known = pc.index_in(coded.dictionary, value_set=head) if len(head) else pa.nulls(len(coded.dictionary), pa.int32())
-        own = known.is_null().to_numpy(zero_copy_only=False)
-        place = np.where(own, np.cumsum(own) - 1, own.sum() + known.fill_null(0).to_numpy(zero_copy_only=False)).astype("<i4")
+        # Frequent words get small numbers, which pack well.
+        order = np.argsort(-np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary)), kind="stable")
+        ranked = coded.dictionary.take(pa.array(order))
+        ids_of = direct(ranked.to_pylist())
+        folded = np.array([x is None for x in ids_of], bool)
+        known = [x for x in ids_of if x is not None]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.where(folded, len(known) + np.cumsum(folded) - 1, np.cumsum(~folded) - 1)
+        word_sizes, word_data = _squeezed_words(ranked.filter(pa.array(folded)))
+        places = place[coded.indices.to_numpy(zero_copy_only=False)]
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
-        return pa.RecordBatch.from_arrays(
-            [
-                one(ids, pa.int64()), one(pa.array(counts), pa.int32()),
-                pa.array([place[coded.indices.to_numpy(zero_copy_only=False)].tobytes()], pa.binary()), one(coded.dictionary.filter(pa.array(own)), pa.string()),
-            ],
-            names=["ids", "counts", "places", "words"],
-        )
+        made = pa.RecordBatch.from_arrays([
+            pa.array([number]), one(ids, pa.int64()), one(pa.array(counts), pa.int32()), pa.array([_squeezed(places)], pa.binary()), pa.array([int(folded.sum())], pa.int64()),
+            *(pa.array([x], pa.binary()) for x in (word_sizes, word_data)),
+            *(one(pa.array(x, pa.int32()), pa.int32()) for x in ([len(x) for x in known], [i for x in known for i in x])),
+        ], names=["block", "ids", "counts", "places", "n_words", "word_sizes", "word_data", "sizes", "codes"])
+        pa.default_memory_pool().release_unused()
+        return made
 
     for batch in batches:
         words = batch.column(1)
@@ -232,18 +246,77 @@ def _blocks(batches, head: pa.Array):
             n = sizes[ends[b]] - sizes[ends[a]]
             if held and size + n > BLOCK_BYTES:
                 yield block()
-                held, size = [], 0
+                held, size, number = [], 0, number + 1
             held.append((batch.column(0).slice(a, b - a), np.diff(ends[a : b + 1]), flat.slice(ends[a], ends[b] - ends[a])))
             size += n
     if held:
         yield block()
 
 
-def _spread(values: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``values[offsets[i]:offsets[i + 1]]`` for i in places, joined, and where each begins."""
-    sizes = (offsets[1:] - offsets[:-1])[places]
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    at = np.arange(begin[-1]) + np.repeat(offsets[places] - begin[:-1], sizes)
+def _dealt(batches, buckets: int):
+    """A block's words by bucket: one row per bucket with their places in the block."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            words = _opened_words(batch.column(1)[r].as_py(), batch.column(2)[r].as_py())
+            if not len(words):
+                continue
+            data, ends = tv.text_bytes(words)
+            bucket = (tv.word_hashes(data, ends[:-1], ends[1:]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
+            dealt = words.take(pa.array(order))
+            block = batch.column(0)[r].as_py()
+            for first in range(0, len(edges) - 1, 256):
+                rows = [(int(bucket[order[a]]), block, _steps(order[a:b]), *_squeezed_words(dealt.slice(a, b - a))) for a, b in zip(edges[first : first + 256], edges[first + 1 : first + 257], strict=False)]
+                kinds = pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "at", "word_sizes", "word_data"])
+
+
+def _gathered(batches):
+    """One row per bucket: its distinct words, and for each block the places and which words they are."""
+    now, held = None, []
+
+    def bucket():
+        lists = [_opened_words(sizes, data) for _, _, sizes, data in held]
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        edges = np.concatenate(([0], np.cumsum([len(w) for w in lists])))
+        index = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), coded.indices.cast(pa.int32()))
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays([
+            one(coded.dictionary), one(pa.array([x[0] for x in held], pa.int64())), one(pa.array([x[1] for x in held], pa.binary())),
+            one(index),
+        ], names=["words", "blocks", "at", "index"])
+
+    for batch in batches:
+        for r in range(batch.num_rows):
+            key, *row = (batch.column(c)[r].as_py() for c in range(5))
+            if held and key != now:
+                yield bucket()
+                held = []
+            now = key
+            held.append(row)
+    if held:
+        yield bucket()
+
+
+def _returned(words: Column, vocabulary: Vocabulary) -> Column:
+    """A gathered bucket's words folded, and the codes of each block's words: (block, at, sizes, codes) per block.
+
+    Sizes and ids are moved by half their range, so that they fit into one and two bytes.
+    """
+    def by_block(codes: Column) -> Column:
+        return F.transform(F.arrays_zip("blocks", "at", "index"), lambda z: F.struct(
+            z["blocks"].alias("block"), z["at"].alias("at"), F.transform(z["index"], lambda i: (F.size(F.get(codes, i)) - 128).cast("tinyint")).alias("sizes"),
+            F.transform(F.flatten(F.transform(z["index"], lambda i: F.get(codes, i))), lambda x: (x - vocabulary.middle).cast(vocabulary.kind)).alias("codes")))
+
+    return _let(vocabulary.encode_words(words), by_block)
+
+
+def _spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[starts[i]:starts[i] + sizes[i]]`` for i in places, joined, and where each begins."""
+    n = sizes[places]
+    begin = np.concatenate(([0], np.cumsum(n)))
+    at = np.arange(begin[-1]) + np.repeat(starts[places] - begin[:-1], n)
     return values[at], begin
 
 
@@ -258,33 +331,69 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, columns: li
     little-endian 32-bit ids. A null or empty text has no ids. Other columns are not read; repeated ids and texts
     give a row each.
     """
-    vocabulary = Vocabulary(load_ranks(ranks_path))
+    ranks = load_ranks(ranks_path)
+    vocabulary, shared = Vocabulary(ranks), docs.sparkSession.sparkContext.broadcast(ranks)  # one rank file
     split = F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(jvm_pattern(pattern)), F.lit(0))
     words = docs.select(F.col(id_col).cast("long").alias("id"), split.alias("words"))
-    sent = docs.sparkSession.sparkContext.broadcast(head_words(words, vocabulary))
-    blocks = words.mapInArrow(lambda batches: _blocks(batches, sent.value.words), "ids array<long>, counts array<int>, places binary, words array<string>")
-    coded = blocks.select("ids", "counts", "places", vocabulary.encode_words(F.col("words")).alias("codes"))
-    coded = coded.withColumn("pieces", vocabulary.decode_words(F.col("codes")))
+
+    def pieces() -> _Pieces:
+        if not hasattr(_Pieces, "kept") or _Pieces.kept.ranks is not shared.value:
+            _Pieces.kept = _Pieces(shared.value)
+        return _Pieces.kept
+
+    blocks = stored(words.mapInArrow(lambda batches: _blocks(batches, lambda w: pieces().direct(w)), _BODY), "blocks")
+    n_blocks, n_words = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    buckets = max(1, -(-n_words // BUCKET_WORDS))
+    dealt = blocks.select("block", "word_sizes", "word_data").mapInArrow(lambda batches: _dealt(batches, buckets), "bucket int, block long, at binary, word_sizes binary, word_data binary")
+    met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    gathered = met.mapInArrow(_gathered, "words array<string>, blocks array<long>, at array<binary>, index array<array<int>>")
+    coded = gathered.select(F.inline(_returned(F.col("words"), vocabulary)))
+    nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    columns_back = nothing("word_sizes", "array<tinyint>"), nothing("word_codes", f"array<{vocabulary.kind}>")
+    body = blocks.select("block", F.lit(0).alias("part"), "ids", "counts", "places", "sizes", "codes", nothing("at", "binary"), *columns_back)
+    back = coded.select(
+        "block", F.lit(1).alias("part"), nothing("ids", "array<long>"), nothing("counts", "array<int>"), nothing("places", "binary"),
+        nothing("sizes", "array<int>"), nothing("codes", "array<int>"), "at", F.col("sizes").alias("word_sizes"), F.col("codes").alias("word_codes"))
+    together = body.unionAll(back).repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "part")
+
+    middle = vocabulary.middle
 
     def lay_out(batches):
-        head = sent.value
+        held = None
+
+        def block():
+            first, ats, sizes, codes = held
+            kept = pieces()
+            at = np.concatenate(ats)
+            size = np.concatenate(sizes).astype(np.int64)
+            flat = np.concatenate(codes).astype("<u4")
+            starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            starts[at], lengths[at] = np.cumsum(size) - size, size
+            ids, counts = first["ids"].values, first["counts"].values
+            places = _opened(first["places"].as_py())
+            ends = np.concatenate(([0], np.cumsum(counts.to_numpy(zero_copy_only=False).astype(np.int64))))
+            reach = np.concatenate(([0], np.cumsum(lengths[places])))
+            for a, b in split_bytes((4 * np.diff(reach[ends])).tolist(), LAY_BYTES):
+                here, edge = places[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+                tokens, begin = _spread(flat, starts, lengths, here)
+                raw, start = _spread(kept.raw, kept.starts, kept.sizes, tokens)
+                begin = begin[edge]
+                yield _laid(ids.slice(a, b - a), tokens, begin, raw, start[begin])
+
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, counts, codes, pieces = (batch.column(c)[r].values for c in (0, 1, 3, 4))
-                places = np.frombuffer(batch.column(2)[r].as_buffer(), "<i4")
-                ends = np.concatenate(([0], np.cumsum(counts.to_numpy(zero_copy_only=False))))
-                all_codes = np.concatenate((codes.flatten().to_numpy(zero_copy_only=False).astype("<u4"), head.codes))
-                offsets = np.concatenate(([0], np.cumsum(pc.list_value_length(codes).to_numpy(zero_copy_only=False).astype(np.int64))))
-                offsets = np.concatenate((offsets, offsets[-1] + head.code_ends[1:]))
-                lengths = np.concatenate(([0], np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64))))
-                all_raw = np.concatenate((np.frombuffer(b"".join(pieces.to_pylist()), np.uint8), head.raw))
-                lengths = np.concatenate((lengths, lengths[-1] + head.raw_ends[1:]))
-                reach = np.concatenate(([0], np.cumsum(np.diff(lengths)[places])))
-                for a, b in split_bytes(np.diff(reach[ends]).tolist(), LAY_BYTES):
-                    here, edge = places[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
-                    tokens, begin = _spread(all_codes, offsets, here)
-                    raw, start = _spread(all_raw, lengths, here)
-                    yield _laid(ids.slice(a, b - a), tokens, begin[edge], raw, start[edge])
+                row = {name: batch.column(name)[r] for name in batch.schema.names}
+                if row["part"].as_py() == 0:
+                    if held:
+                        yield from block()
+                    sizes, codes = (row[name].values.to_numpy(zero_copy_only=False) for name in ("sizes", "codes"))
+                    held = row, [np.arange(len(sizes))], [sizes], [codes]
+                else:
+                    held[1].append(len(held[1][0]) + _places(row["at"].as_py()))
+                    held[2].append(row["word_sizes"].values.to_numpy(zero_copy_only=False).astype(np.int64) + 128)
+                    held[3].append(row["word_codes"].values.to_numpy(zero_copy_only=False).astype(np.int64) + middle)
+        if held:
+            yield from block()
 
     def _laid(ids, tokens, begin, raw, start):
         pairs = lambda x: zip(x[:-1], x[1:], strict=True)
@@ -297,4 +406,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, columns: li
         }
         return pa.RecordBatch.from_arrays([ids, *(made[c]() for c in columns)], names=[id_col, *columns])
 
-    return coded.mapInArrow(lay_out, ", ".join([f"`{id_col}` long", *(f"{c} {_SPARK[c]}" for c in columns)]))
+    return together.mapInArrow(lay_out, ", ".join([f"`{id_col}` long", *(f"{c} {_SPARK[c]}" for c in columns)]))
