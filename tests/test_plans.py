@@ -1,6 +1,7 @@
 """What the physical plans must and must not contain."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from agroclime.operators import eda, explore
 from agroclime.operators.questions import question_terms
@@ -47,6 +48,22 @@ def test_hits_are_cut_before_the_shuffle(spark, stored):
     assert text.count("WindowGroupLimit") == 2 and text.rindex("WindowGroupLimit") > shuffle
 
 
+def test_only_rows_that_can_win_are_paired_with_their_question(spark):
+    """A question's bar leaves its best rows, or all it has, and keeps the rest from being sorted for it."""
+    ready = spark.range(20_000).selectExpr(
+        "'S' as state", "'D' as district", "if(id < 19990, 'big', 'small') as crop", "if(id < 19990, 1999, 2000) as year", "cast(conv(substr(sha1(cast(id as string)), 1, 8), 16, 10) as double) / 4294967296D as score",
+    ).withColumn("level", b._nearness(F.col("score")))
+    asked = b._asked(ready).select("crop", F.explode("asked").alias("a")).select("crop", "a.*").collect()
+    assert len(asked) == 2 * len(b.FAMILIES)
+    rows = ready.select("crop", "level", "score").collect()
+    for a in asked:
+        family_rows = [r for r in rows if r.crop == a.crop]
+        passed = [r.score for r in family_rows if r.level <= a.bar]
+        assert len(passed) >= min(b.HITS_PER_QUESTION, len(family_rows)) and len(passed) < 400
+        best = sorted((r.score for r in family_rows), reverse=True)[:b.HITS_PER_QUESTION]
+        assert a.crop == "small" or sorted(passed, reverse=True)[:b.HITS_PER_QUESTION] == best
+
+
 def test_one_shuffle_serves_the_data_point_chain(spark, stored):
     hits = b.as_table(b.hits(stored), "hits")
     terms = b.as_table(question_terms(b.questions(stored)), "terms")
