@@ -33,16 +33,17 @@ def keyed_documents(documents: DataFrame) -> DataFrame:
     """Documents with ``occurrence``, from 0 among those of one id in order of content, and ``key``.
 
     The numbers follow from the content alone, so every run gives the same ones. Equal documents are counted before
-    the shuffle, so that many copies of one take no more than a row there.
+    the shuffle, so that many copies of one take no more than a row there. Metadata moves once, as the text that it is
+    ordered by, and is read from it again.
     """
     content = F.struct("text", F.to_json("metadata", {"ignoreNullFields": "false"}).alias("metadata"))
-    alike = documents.groupBy("id", content.alias("content")).agg(
-        F.count("*").alias("copies"), F.first("metadata").alias("metadata"))
+    alike = documents.groupBy("id", content.alias("content")).agg(F.count("*").alias("copies"))
     before = Window.partitionBy("id").orderBy("content").rowsBetween(Window.unboundedPreceding, -1)
     placed = alike.withColumn("before", F.coalesce(F.sum("copies").over(before), F.lit(0)))
     each = placed.select("*", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("copies") - 1)).alias("occurrence"))
     key = F.sha1(F.to_json(F.struct("id", "occurrence", "content"), {"ignoreNullFields": "false"}))
-    return each.select("id", "content.text", "metadata", "occurrence", key.alias("key"))
+    metadata = F.from_json("content.metadata", documents.schema["metadata"].dataType).alias("metadata")
+    return each.select("id", "content.text", metadata, "occurrence", key.alias("key"))
 
 
 def _config(spark: SparkSession, root: str):
@@ -74,16 +75,16 @@ def update_store(documents: DataFrame, root: str, encoder, model_name: str, dim:
     if batch in done:
         turns = growing.read(spark, f"{root}/vectors", STORED, batch).agg(F.max("turn")).first()[0]
         turn = turns if turns is not None else turn
-    corpus = as_table(keyed_documents(documents), "corpus")
+    if batch in done and growing.commits(spark, f"{root}/removed", batch):
+        return done[batch].n_rows  # a repeated job has nothing left to do
+    corpus = as_table(keyed_documents(documents).drop("occurrence"), "corpus")
     if batch not in done:
-        known = _stored(spark, root).select("key")
-        fresh = as_table(corpus.join(known, "key", "left_anti"), "fresh")
+        fresh = corpus.join(_stored(spark, root).select("key"), "key", "left_anti") if done else corpus
         coded = embed(fresh, "text", encoder).select("key", F.lit(turn).alias("turn"), *[f.name for f in VECTOR.fields])
-        ready = as_table(coded.to(STORED), "coded")
-        wrong = ready.where(F.col("embedding").isNull() | (F.size("embedding") != dim)).count()
-        if wrong:
-            raise StoreMismatch(f"{wrong} vectors of {model_name} are not {dim} wide")
-        growing.append(ready, f"{root}/vectors", batch)
+        try:
+            growing.append(coded.to(STORED), f"{root}/vectors", batch, wrong=F.col("embedding").isNull() | (F.size("embedding") != dim))
+        except growing.WrongRows as error:
+            raise StoreMismatch(f"{error.many} vectors of {model_name} are not {dim} wide") from error
     gone = _stored(spark, root).where(F.col("turn") < turn).join(corpus.select("key"), "key", "left_anti")
     growing.append(gone.select("key", F.lit(turn).alias("turn")).to(REMOVED), f"{root}/removed", batch)
     return growing.commits(spark, f"{root}/vectors", batch)[0].n_rows

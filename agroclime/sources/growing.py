@@ -15,7 +15,7 @@ import re
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,14 @@ class BrokenTable(ValueError):
     """The files of a table are not those that its manifests name."""
 
 
+class WrongRows(ValueError):
+    """A batch holds rows that its table refuses; ``many`` says how many."""
+
+    def __init__(self, many: int):
+        super().__init__(f"{many} rows are refused")
+        self.many = many
+
+
 def commits(spark: SparkSession, root: str, batch: str | None = None) -> list[Row]:
     """The manifests of all batches, or of one. Should two jobs have committed one batch at once, the first folder by name counts."""
     folder = f"{root}/commits"
@@ -45,10 +53,11 @@ def commits(spark: SparkSession, root: str, batch: str | None = None) -> list[Ro
     return sorted(by.values(), key=lambda r: r.batch)
 
 
-def append(rows: DataFrame, root: str, batch: str, time_col: str | None = None) -> bool:
+def append(rows: DataFrame, root: str, batch: str, time_col: str | None = None, wrong: Column | None = None) -> bool:
     """Adds ``rows`` as ``batch``, once: False if that batch was there already, whatever it holds.
 
-    ``time_col``, a text column that sorts by time, lets ``newest`` find the last batches.
+    ``time_col``, a text column that sorts by time, lets ``newest`` find the last batches. Should any row be ``wrong``,
+    which the writing job counts too, the batch is not committed: WrongRows.
     """
     if not re.fullmatch(r"[A-Za-z0-9._=-]+", batch):
         raise ValueError(f"batch names are letters, digits and ._=-: {batch!r}")
@@ -58,9 +67,12 @@ def append(rows: DataFrame, root: str, batch: str, time_col: str | None = None)
     folder = f"{batch}-{uuid.uuid4().hex}"
     time = F.col(time_col) if time_col else F.lit(None).cast("string")
     seen = Observation()
-    rows.observe(seen, F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last")).write.parquet(f"{root}/data/{folder}")
+    rows.observe(seen, F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"),
+                 F.count_if(F.lit(False) if wrong is None else wrong).alias("wrong")).write.parquet(f"{root}/data/{folder}")
     parts = sorted(path.rsplit("/", 1)[1] for path in spark.read.schema(rows.schema).parquet(f"{root}/data/{folder}").inputFiles())
     count = seen.get
+    if count["wrong"]:
+        raise WrongRows(count["wrong"])
     manifest = spark.createDataFrame([(batch, folder, parts, count["n"], count.get("first"), count.get("last"))], MANIFEST)
     try:
         manifest.coalesce(1).write.mode("error").json(f"{root}/commits/{batch}")

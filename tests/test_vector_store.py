@@ -72,6 +72,18 @@ def test_two_steps_equal_one(spark, tmp_path):
         assert np.allclose(vector, expected(text), atol=1e-6)
 
 
+def test_an_update_writes_its_corpus_and_its_vectors_once(spark, tmp_path, monkeypatch):
+    """No further copy of documents or vectors is stored on the way, and a repeated job stores nothing at all."""
+    encode, _ = counting(spark, tmp_path)
+    root, stored, kept = str(tmp_path / "s"), [], vs.as_table
+    monkeypatch.setattr(vs, "as_table", lambda df, name: stored.append((name, df.columns)) or kept(df, name))
+    for batch in ("1", "1"):
+        assert vs.update_store(docs(spark, A, A, B), root, encode, "m", 16, batch) == 3
+    assert stored == [("corpus", ["id", "text", "metadata", "key"])]
+    assert vs.update_store(docs(spark, A, B, C), root, encode, "m", 16, "2") == 1
+    assert len(stored) == 2 and vs.load_store(spark, root, "m", 16).count() == 3
+
+
 def test_documents_leave_and_come_back(spark, tmp_path):
     encode, _ = counting(spark, tmp_path)
     root = str(tmp_path / "s")
