@@ -154,3 +154,15 @@ def test_attach_documents(spark):
     hits = spark.createDataFrame([(1, 1, "a")], "question_id int, rank int, id string")
     docs = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
     assert [r.text for r in v.attach_documents(hits, docs).collect()] == ["x"]
+
+
+def test_vectors_are_shown_by_column_not_by_component(spark):
+    """Millionths with halves away from zero as SQL rounds them, made a batch at a time; empty and null vectors too."""
+    from agroclime.plans.catalog import _shown
+
+    rows = [(1, [0.5, -0.25, 0.0, -0.0]), (2, [1.5 / (1 << 20), -0.0000005, 1e-9, -1.0]), (3, []), (4, None), (5, [0.1, 0.3333333, 2.5 / (1 << 7), 123.456])]
+    df = spark.createDataFrame(rows, "k int, embedding array<float>").coalesce(1)
+    shown = df.select("k", _shown().alias("s"))
+    assert "ArrowEvalPython" in shown._jdf.queryExecution().executedPlan().toString()
+    plainly = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")
+    assert shown.collect() == df.select("k", plainly.alias("s")).collect()
