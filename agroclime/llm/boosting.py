@@ -12,13 +12,14 @@ class BoostedTrees:
         self.trees, self.depth, self.rate, self.l2, self.least = trees, depth, rate, l2, least
         self.start, self.forest = 0.0, []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
+        w = np.ones(len(y)) if weight is None else weight
+        share = float(np.clip((w * y).sum() / w.sum(), 1e-3, 1 - 1e-3))
         self.start = float(np.log(share / (1 - share)))
         score = np.full(len(y), self.start)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score))
-            tree = self._grow(x, y - p, p * (1 - p), np.arange(len(y)), self.depth)
+            tree = self._grow(x, w * (y - p), w * p * (1 - p), np.arange(len(y)), self.depth)
             self.forest.append(tree)
             score += self._value(tree, x)
         return self

@@ -5,9 +5,10 @@ addresses in other notations, written-out mail addresses, and long tokens that m
 format and the words around it; a threshold per kind, calibrated on layouts that the trees have not seen, selects.
 Base spans always stay.
 
-The trees learn from items planted into real text: ``carriers`` are pieces of at most ``CARRIERS`` documents, and every
-kind has positive layouts and look-alikes in three sets, for training, calibration and tests (``LAYOUTS``). No labels
-are needed.
+The trees learn from items planted into real text, one place in every document (``contexts``), and every kind has
+positive layouts and look-alikes in three sets, for training, calibration and tests (``LAYOUTS``). No labels are needed.
+Of the text before an item the trees read which kinds of words it holds; so Spark counts those readings over all
+documents, and an example's weight is the share of the documents that read so.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import bisect
 import functools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from agroclime.llm.boosting import BoostedTrees
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 PRECISION = 0.98
-CARRIERS, CARRIER_CHARS = 300, 240  # documents whose text surrounds planted items, and characters of each
+REACH = 40  # characters before a span that its features read
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -150,7 +152,7 @@ def _entropy(span: str) -> float:
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
-    span, left, right = text[start:end], text[max(0, start - 40) : start], text[end : end + 12]
+    span, left, right = text[start:end], text[max(0, start - REACH) : start], text[end : end + 12]
     digits = _DIGITS.sub("", span)
     groups = [len(g) for g in _DIGITS.split(span) if g]
     hexes = sum(c in "0123456789abcdefABCDEF" for c in span)
@@ -226,57 +228,165 @@ LAYOUTS = {
 }
 
 
-def training_examples(part: str = "train", seed: int = 7, each: int = 60, carriers: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, label and kind of planted spans of one set of layouts, in pieces of the carriers or, without any, in made-up words."""
-    make = _Maker(seed)
-    r, x, y, kinds = make.r, [], [], []
+def _lead(hint: str) -> str:
+    """A hint as it stands before an item: one that ends in a sign stands right before it."""
+    return hint + " " if hint and hint[-1].isalnum() else hint
+
+
+#: Characters of a document that the features of a planted item read before its hint: one number for each length of hint.
+ROOMS = sorted({REACH - len(_lead(h)) for kinds in LAYOUTS.values() for _, near, _, far in kinds.values() for h in (*near, *far)}, reverse=True)
+_AFTER = (" ", ", ", ".", "\" ", "!! ", "\n")
+Contexts = tuple[tuple[int, int, int], ...]
+
+
+_RUNS = re.compile(r"\w+")
+
+
+@functools.lru_cache(1 << 16)
+def _kinds(run: str) -> int:
+    """Which kinds of words a run of letters, digits and underscores holds, as bits from 1 on: no pattern needs more than a run."""
+    return sum(2 << i for i, p in enumerate(_WORDS.values()) if p.search(run))
+
+
+def readings(tail: str) -> list[int]:
+    """For each of ``ROOMS``, which kinds of words the features read in so many characters at the end, as bits.
+
+    Bit 0 is a sign of assignment at the end, in the largest room alone: it is that of an item without a hint.
+    """
+    runs, out = [(m.start(), m.end(), m[0]) for m in _RUNS.finditer(tail)], []
+    for room in ROOMS:
+        start, read = max(0, len(tail) - room), 0
+        for a, b, run in runs:
+            if b > start:
+                read |= _kinds(run if a >= start else run[start - a :])
+        out.append(read)
+    out[0] |= tail.rstrip(" \"'")[-1:] in "=:"
+    return out
+
+
+def _tails(docs: DataFrame, text_col: str) -> DataFrame:
+    """(tail, h): of each text the characters before the begin of a word picked by its CRC-32, and its hash."""
+    text = F.col(text_col).cast("string")
+    upto = F.substring(text, F.lit(1), (F.crc32(text.cast("binary")) % (F.length(text) + 1)).cast("int"))
+    left = F.substring(upto, F.lit(1), F.length(upto) - F.length(F.substring_index(upto, " ", -1)))
+    return docs.filter(text.isNotNull()).select(F.right(left, F.lit(REACH)).alias("tail"), F.xxhash64(text).alias("h"))
+
+
+def _counts(tails) -> Contexts:
+    seen: Counter = Counter()
+    for tail in tails:
+        seen.update(zip(ROOMS, readings(tail), strict=True))
+    return tuple(sorted((*key, n) for key, n in seen.items()))
+
+
+def contexts(docs: DataFrame, text_col: str = "text") -> Contexts:
+    """(room, reading, documents) of every document with text, before one word of it.
+
+    Counted in the tasks; at most 256 readings of each room come back. Repeated rows count each; a null text counts
+    nothing.
+    """
+    def read(batches):
+        rows = _counts(tail for batch in batches for tail in batch.column(0).to_pylist())
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["room", "reading", "n"])
+
+    counted = _tails(docs, text_col).select("tail").mapInArrow(read, "room long, reading long, n long")
+    return tuple(sorted(tuple(r) for r in counted.groupBy("room", "reading").agg(F.sum("n").alias("n")).collect()))
+
+
+def sample_carriers(docs: DataFrame, text_col: str = "text") -> tuple[str, ...]:
+    """For tests on small tables: what stands before the picked word of at most 300 documents. No query calls it."""
+    return tuple(r.tail for r in _tails(docs, text_col).orderBy("h", "tail").limit(300).collect())
+
+
+def planted(make: _Maker, kind: int, layout: str, hint: str, read: int) -> list[float]:
+    """Features of a new item of the layout after a hint, where the document before them reads ``read``."""
+    lead, span = _lead(hint), make(layout)
+    x = features(lead + span + make.r.choice(_AFTER), kind, len(lead), len(lead) + len(span))
+    first = len(x) - 1 - len(_WORDS)
+    if not hint:
+        x[first] = float(read & 1)
+    for i in range(1, 1 + len(_WORDS)):
+        x[first + i] = max(x[first + i], float(read >> i & 1))
+    return x
+
+
+def _by_room(found: Contexts | tuple[str, ...]) -> dict[int, list[tuple[int, int]]]:
+    """(reading, documents) of each room; without documents, words of no kind. Texts stand for their contexts."""
+    if found and isinstance(found[0], str):
+        found = _counts(found)
+    return {room: [(c, n) for r, c, n in found if r == room] or [(0, 1)] for room in ROOMS}
+
+
+def _layouts(part: str):
     for kind, name in enumerate(KINDS):
         good, near, bad, far = LAYOUTS[part][name]
         for label, layouts, hints in ((1, good, near), (0, bad, far)):
             for layout in layouts:
-                for _ in range(each):
-                    carrier = r.choice(carriers) if carriers else make("w w w w w w w w")
-                    at = r.randrange(len(carrier) + 1)
-                    at = carrier.rfind(" ", 0, at) + 1
-                    hint, span = r.choice(hints), make(layout)
-                    # A hint that ends in a sign stands right before the item.
-                    gap = "" if not hint or not hint[-1].isalnum() else " "
-                    left = carrier[:at] + hint + gap
-                    text = left + span + r.choice([" ", ", ", ".", "\" ", "!! ", "\n"]) + carrier[at:]
-                    x.append(features(text, kind, len(left), len(left) + len(span)))
-                    y.append(label)
-                    kinds.append(kind)
+                yield kind, label, layout, hints
+
+
+def training_examples(part: str = "train", seed: int = 7, each: int = 60, found: Contexts | tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, label and kind of ``each`` planted spans of every layout of one set, in contexts drawn by their counts."""
+    make, by_room = _Maker(seed), _by_room(found)
+    x, y, kinds = [], [], []
+    for kind, label, layout, hints in _layouts(part):
+        for _ in range(each):
+            hint = make.r.choice(hints)
+            reads, n = zip(*by_room[REACH - len(_lead(hint))], strict=True)
+            x.append(planted(make, kind, layout, hint, make.r.choices(reads, n)[0]))
+            y.append(label)
+            kinds.append(kind)
     return np.array(x), np.array(y, float), np.array(kinds)
 
 
+def weighted_examples(part: str, seed: int, each: int, found: Contexts | tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, label, kind and weight of planted spans: every layout after every hint in every context.
+
+    A layout weighs ``each``, split evenly over its hints and by the documents' counts over the contexts. A context of
+    larger weight gets so many more items.
+    """
+    make, by_room = _Maker(seed), _by_room(found)
+    x, y, kinds, weights = [], [], [], []
+    for kind, label, layout, hints in _layouts(part):
+        for hint in hints:
+            room = by_room[REACH - len(_lead(hint))]
+            total = sum(n for _, n in room)
+            for read, n in room:
+                weight = each * n / total / len(hints)
+                items = max(1, round(weight))
+                x += [planted(make, kind, layout, hint, read) for _ in range(items)]
+                y += [label] * items
+                kinds += [kind] * items
+                weights += [weight / items] * items
+    return np.array(x), np.array(y, float), np.array(kinds), np.array(weights)
+
+
 @functools.lru_cache(8)
-def model(carriers: tuple[str, ...] = (), precision: float = PRECISION) -> tuple[BoostedTrees, tuple[float, ...]]:
+def model(found: Contexts | tuple[str, ...] = (), precision: float = PRECISION) -> tuple[BoostedTrees, tuple[float, ...]]:
     """Trees and one threshold per kind: the least score at which examples of the calibration layouts reach ``precision``."""
-    x, y, _ = training_examples("train", 7, 60, carriers)
-    trees = BoostedTrees(trees=80, depth=4).fit(x, y)
-    vx, vy, vk = training_examples("calibrate", 8, 60, carriers)
+    x, y, _, w = weighted_examples("train", 7, 60, found)
+    trees = BoostedTrees(trees=80, depth=4).fit(x, y, w)
+    vx, vy, vk, vw = weighted_examples("calibrate", 8, 60, found)
     scores, cuts = trees.predict(vx), []
     for kind in range(len(KINDS)):
-        s, t = scores[vk == kind], vy[vk == kind]
+        s, t, w = scores[vk == kind], vy[vk == kind], vw[vk == kind]
         order = np.argsort(-s, kind="stable")
-        good = np.cumsum(t[order]) >= precision * np.arange(1, len(order) + 1)
+        good = np.cumsum((w * t)[order]) >= precision * np.cumsum(w[order])
         cuts.append(float(max(s[order][np.flatnonzero(good)[-1]], 0.5)) if good.any() and t.any() else 2.0)
     return trees, tuple(cuts)
 
 
-def sample_carriers(docs: DataFrame, text_col: str = "text") -> tuple[str, ...]:
-    """Pieces of at most CARRIERS documents, those with the smallest text hashes, to surround planted items in training."""
-    text = F.col(text_col).cast("string")
-    piece = docs.filter(F.length(text) > 20).select(F.xxhash64(text).alias("h"), F.substring(text, 1, CARRIER_CHARS).alias("t"))
-    return tuple(r.t for r in piece.orderBy("h", "t").limit(CARRIERS).collect())
+def added_spans(text: str, base: list[tuple[int, int, int]], found: Contexts | tuple[str, ...] = ()) -> list[tuple[int, int, int]]:
+    """The spans that the model of these contexts selects."""
+    return selected(text, base, *model(found))
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], carriers: tuple[str, ...] = ()) -> list[tuple[int, int, int]]:
+def selected(text: str, base: list[tuple[int, int, int]], trees: BoostedTrees, cuts: tuple[float, ...]) -> list[tuple[int, int, int]]:
     """Selected candidates: best score first, of equal scores the first by kind and place, none overlapping another."""
     found = candidates(text, base)
     if not found:
         return []
-    trees, cuts = model(carriers)
     scores = np.concatenate([trees.predict(np.array([features(text, *c) for c in found[a : a + 4096]])) for a in range(0, len(found), 4096)])
     chosen: list[tuple[int, int, int]] = []
     taken: list[tuple[int, int]] = []  # in order of place
@@ -319,7 +429,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reda
     base spans are of the first four. A null or empty text has none (and stays null when redacted). Texts of any length
     are read whole. Rows that repeat each give a row; other columns are not read.
     """
-    carriers = docs.sparkSession.sparkContext.broadcast(sample_carriers(docs, text_col))  # CARRIERS x CARRIER_CHARS at most
+    fitted = docs.sparkSession.sparkContext.broadcast(model(contexts(docs, text_col)))  # 80 trees of depth 4
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     names = [id_col, *(f"n_{k}" for k in BASE_KINDS), "base", "spans", *(["redacted"] if redacted else [])]
     kinds = [pa.int64()] * 5 + [pa.string()] * (3 if redacted else 2)
@@ -331,7 +441,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reda
                 whole = raw.as_py()
                 text = whole or ""
                 base = base_spans(text)
-                spans = sorted([*base, *added_spans(text, base, carriers.value)])
+                spans = sorted([*base, *selected(text, base, *fitted.value)])
                 counts = [sum(k == n for k, _, _ in base) for n in range(len(BASE_KINDS))]
                 rows.append((doc_id, *counts, span_text(base), span_text(spans), *([redact(text, spans) if spans else whole] if redacted else [])))
             if rows:
@@ -344,7 +454,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reda
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The rows with all spans of the text replaced, and ``length_col`` (if given) set to the new length of changed texts."""
     names = docs.columns
-    carriers = docs.sparkSession.sparkContext.broadcast(sample_carriers(docs, text_col))
+    fitted = docs.sparkSession.sparkContext.broadcast(model(contexts(docs, text_col)))  # 80 trees of depth 4
 
     def run(batches):
         for batch in batches:
@@ -355,7 +465,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
             for i, text in enumerate(texts):
                 if text:
                     base = base_spans(text)
-                    spans = [*base, *added_spans(text, base, carriers.value)]
+                    spans = [*base, *selected(text, base, *fitted.value)]
                     if spans:
                         texts[i] = redact(text, spans)
                         if length_col:

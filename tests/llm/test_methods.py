@@ -298,6 +298,25 @@ def test_boosting_selects_on_layouts_it_has_not_seen(docs):
         assert said[real].mean() >= recall and real[said].mean() >= 0.95, name
 
 
+def test_every_document_counts_in_training(spark, docs):
+    """Contexts come from all documents, repeated ones each, and give the features that the text itself gives."""
+    table = docs.filter("text is not null").select("text").union(docs.filter("text is not null").select("text"))
+    more = table.union(spark.range(500).selectExpr("concat('on page ', id, ' the server of ', id, ' gave an address as') as text"))
+    found = pii.contexts(more.repartition(7))
+    assert {room: sum(n for r, _, n in found if r == room) for room in pii.ROOMS} == dict.fromkeys(pii.ROOMS, more.count())
+    assert found == pii.contexts(more.coalesce(1))
+    texts = ["", "call the server ", "at the ", "latent heat of the mobile host = ", "my telephone card is in order, e-mail me: ", "the quick brown fox has a very long way to go home ", "no \"", "x" * 50 + " "]
+    for text in texts:
+        for kind, _, layout, hints in pii._layouts("train"):
+            for hint in hints:
+                lead, made = pii._lead(hint), pii._Maker(3)
+                span = made(layout)
+                whole = text + lead + span + made.r.choice(pii._AFTER)
+                if not text or text.endswith(" "):
+                    read = pii.readings(text[-pii.REACH:])[pii.ROOMS.index(pii.REACH - len(lead))]
+                    assert pii.planted(pii._Maker(3), kind, layout, hint, read) == pii.features(whole, kind, len(text + lead), len(text + lead + span)), (text, hint)
+
+
 def test_added_spans_on_real_documents(spark):
     """The trees add spans on the test tables, and every added secret is an assigned token; plain long numbers stay."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
