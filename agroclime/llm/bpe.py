@@ -3,7 +3,8 @@
 A task packs its documents into blocks: one row with the block's distinct words and, per document, which words it
 is made of. Distinct words are dealt into buckets by hash, and a bucket's distinct words are folded once for all
 blocks, in the JVM against a literal rank map. Codes go back to the blocks in packed rows, one per bucket and block,
-and a last step lays them out as documents. No table of words is gathered on the driver or sent to all tasks.
+and a last step lays them out as documents. Blocks are stored dealt by their number, so that they stay where they are
+when their codes come. No table of words is gathered on the driver or sent to all tasks.
 Decoding concatenates the binary pieces of the ids.
 
 Bytes are kept as one character each (ISO-8859-1), so that string functions work on them. A fold costs the square of
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agroclime.llm import textvec as tv
-from agroclime.llm.store import split_bytes, stored
+from agroclime.llm.store import split_bytes, stored_by
 
 BLOCK_BYTES = 8 << 20
 LAY_BYTES = 2 << 20
@@ -109,26 +110,28 @@ class _Merges:
         return F.zip_with(F.slice(tokens, F.lit(1), n - 1), F.slice(tokens, F.lit(2), n), lambda a, b: F.when(b.isNotNull(), self.rank(F.concat(a, b))))
 
     def _merge(self, state: Column) -> Column:
-        """Merge the lowest pair at its first place; only the two pairs beside it get new ranks."""
-        tokens, ranks = state["tokens"], state["ranks"]
+        """Merge the lowest pair at its first place; only the two pairs beside it get new ranks.
 
-        def at(p: Column) -> Column:
-            merged = F.concat(F.get(tokens, p - 1), F.get(tokens, p))
-            n = F.size(tokens)
-            none = F.array().cast("array<int>")
+        What a ``_let`` returns is copied, so that only the last one holds the whole state.
+        """
+        tokens, ranks = state["tokens"], state["ranks"]
+        n, none = F.size(tokens), F.array().cast("array<int>")
 
-            def rebuilt(m: Column) -> Column:
-                before = F.when(p > 1, F.array(self.rank(F.concat(F.get(tokens, p - 2), m)))).otherwise(none)
-                after = F.when(p + 1 < n, F.array(self.rank(F.concat(m, F.get(tokens, p + 1))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(tokens, F.lit(1), p - 1), F.array(m), F.slice(tokens, p + 2, n)).alias("tokens"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, n)).alias("ranks"),
-                )
+        def met(p: Column) -> Column:
+            return F.struct(p.alias("place"), F.concat(F.get(tokens, p - 1), F.get(tokens, p)).alias("merged"))
 
-            return _let(merged, rebuilt)
+        def rebuilt(x: Column) -> Column:
+            p, m = x["place"], x["merged"]
+            before = F.when(p > 1, F.array(self.rank(F.concat(F.get(tokens, p - 2), m)))).otherwise(none)
+            after = F.when(p + 1 < n, F.array(self.rank(F.concat(m, F.get(tokens, p + 1))))).otherwise(none)
+            left = F.transform(tokens, lambda t, i: F.when(i == p, F.lit(None)).when(i == p - 1, m).otherwise(t))
+            return F.struct(
+                F.filter(left, lambda t: t.isNotNull()).alias("tokens"),
+                F.flatten(F.array(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(ranks, p + 2, n))).alias("ranks"),
+            )
 
         place = F.array_position(ranks, F.array_min(ranks)).cast("int")
-        return F.when(F.array_min(ranks).isNull(), state).otherwise(_let(place, at))
+        return F.when(F.array_min(ranks).isNull(), state).otherwise(_let(_let(place, met), rebuilt))
 
     def encode_word(self, word: Column) -> Column:
         """Ids of one word (array<int>)."""
@@ -341,59 +344,36 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, columns: li
             _Pieces.kept = _Pieces(shared.value)
         return _Pieces.kept
 
-    blocks = stored(words.mapInArrow(lambda batches: _blocks(batches, lambda w: pieces().direct(w)), _BODY), "blocks")
-    n_blocks, n_words = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    blocks = stored_by(words.mapInArrow(lambda batches: _blocks(batches, lambda w: pieces().direct(w)), _BODY), "blocks", "block")
+    n_words = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(1, -(-n_words // BUCKET_WORDS))
     dealt = blocks.select("block", "word_sizes", "word_data").mapInArrow(lambda batches: _dealt(batches, buckets), "bucket int, block long, at binary, word_sizes binary, word_data binary")
     met = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
     gathered = met.mapInArrow(_gathered, "words array<string>, blocks array<long>, at array<binary>, index array<array<int>>")
     coded = gathered.select(F.inline(_returned(F.col("words"), vocabulary)))
-    nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    columns_back = nothing("word_sizes", "array<tinyint>"), nothing("word_codes", f"array<{vocabulary.kind}>")
-    body = blocks.select("block", F.lit(0).alias("part"), "ids", "counts", "places", "sizes", "codes", nothing("at", "binary"), *columns_back)
-    back = coded.select(
-        "block", F.lit(1).alias("part"), nothing("ids", "array<long>"), nothing("counts", "array<int>"), nothing("places", "binary"),
-        nothing("sizes", "array<int>"), nothing("codes", "array<int>"), "at", F.col("sizes").alias("word_sizes"), F.col("codes").alias("word_codes"))
-    together = body.unionAll(back).repartition(max(1, n_blocks), "block").sortWithinPartitions("block", "part")
 
     middle = vocabulary.middle
 
-    def lay_out(batches):
-        held = None
-
-        def block():
-            first, ats, sizes, codes = held
-            kept = pieces()
-            at = np.concatenate(ats)
-            size = np.concatenate(sizes).astype(np.int64)
-            flat = np.concatenate(codes).astype("<u4")
-            starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            starts[at], lengths[at] = np.cumsum(size) - size, size
-            ids, counts = first["ids"].values, first["counts"].values
-            places = _opened(first["places"].as_py())
-            ends = np.concatenate(([0], np.cumsum(counts.to_numpy(zero_copy_only=False).astype(np.int64))))
-            reach = np.concatenate(([0], np.cumsum(lengths[places])))
-            for a, b in split_bytes((4 * np.diff(reach[ends])).tolist(), LAY_BYTES):
-                here, edge = places[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
-                tokens, begin = _spread(flat, starts, lengths, here)
-                raw, start = _spread(kept.raw, kept.starts, kept.sizes, tokens)
-                begin = begin[edge]
-                yield _laid(ids.slice(a, b - a), tokens, begin, raw, start[begin])
-
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {name: batch.column(name)[r] for name in batch.schema.names}
-                if row["part"].as_py() == 0:
-                    if held:
-                        yield from block()
-                    sizes, codes = (row[name].values.to_numpy(zero_copy_only=False) for name in ("sizes", "codes"))
-                    held = row, [np.arange(len(sizes))], [sizes], [codes]
-                else:
-                    held[1].append(len(held[1][0]) + _places(row["at"].as_py()))
-                    held[2].append(row["word_sizes"].values.to_numpy(zero_copy_only=False).astype(np.int64) + 128)
-                    held[3].append(row["word_codes"].values.to_numpy(zero_copy_only=False).astype(np.int64) + middle)
-        if held:
-            yield from block()
+    def lay_out(body: pa.Table, back: pa.Table) -> pa.Table:
+        kept = pieces()
+        whole = lambda table, name: table.column(name).combine_chunks()
+        ids, counts, known, codes = (whole(body, name).flatten() for name in ("ids", "counts", "sizes", "codes"))
+        places = _opened(whole(body, "places")[0].as_py())
+        at = np.concatenate([np.arange(len(known)), *(len(known) + _places(x) for x in whole(back, "at").to_pylist())])
+        size = np.concatenate([known.to_numpy(zero_copy_only=False), whole(back, "sizes").flatten().to_numpy(zero_copy_only=False).astype(np.int64) + 128])
+        flat = np.concatenate([codes.to_numpy(zero_copy_only=False), whole(back, "codes").flatten().to_numpy(zero_copy_only=False).astype(np.int64) + middle]).astype("<u4")
+        starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        starts[at], lengths[at] = np.cumsum(size) - size, size
+        ends = np.concatenate(([0], np.cumsum(counts.to_numpy(zero_copy_only=False).astype(np.int64))))
+        reach = np.concatenate(([0], np.cumsum(lengths[places])))
+        laid = []
+        for a, b in split_bytes((4 * np.diff(reach[ends])).tolist(), LAY_BYTES):
+            here, edge = places[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+            tokens, begin = _spread(flat, starts, lengths, here)
+            raw, start = _spread(kept.raw, kept.starts, kept.sizes, tokens)
+            begin = begin[edge]
+            laid.append(_laid(ids.slice(a, b - a), tokens, begin, raw, start[begin]))
+        return pa.Table.from_batches(laid)
 
     def _laid(ids, tokens, begin, raw, start):
         pairs = lambda x: zip(x[:-1], x[1:], strict=True)
@@ -406,4 +386,5 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, columns: li
         }
         return pa.RecordBatch.from_arrays([ids, *(made[c]() for c in columns)], names=[id_col, *columns])
 
-    return together.mapInArrow(lay_out, ", ".join([f"`{id_col}` long", *(f"{c} {_SPARK[c]}" for c in columns)]))
+    body = blocks.select("block", "ids", "counts", "places", "sizes", "codes")
+    return body.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lay_out, ", ".join([f"`{id_col}` long", *(f"{c} {_SPARK[c]}" for c in columns)]))

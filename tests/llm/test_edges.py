@@ -57,6 +57,20 @@ def test_bpe_equals_tiktoken(docs, none):
     assert bpe.encode_documents(none, RANKS, public_tokenizers.PATTERN, ["ids"]).count() == 0
 
 
+def test_bpe_blocks_stay_where_they_are(spark):
+    """The stored blocks are not moved again when their codes come back; no table name is left behind."""
+    texts = [words(seed, 300) for seed in range(24)] + [None, "", "the the", "日本語 " * 50]
+    df = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[4])], "doc_id long, text string").repartition(7)
+    tables = {t.name for t in spark.catalog.listTables()}
+    got = bpe.encode_documents(df, RANKS, public_tokenizers.PATTERN, ["ids"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1 and "Bucketed: true" in plan
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r.doc_id, r.ids) for r in got.collect()), key=key) == sorted(((r.doc_id, codec.encode_ordinary(r.text or "")) for r in df.collect()), key=key)
+
+
 def test_repeats(docs, none):
     rows = {r.doc_id: r for r in repeats.remove_repeats(docs, texts=True).collect() if r.doc_id}
     assert rows[1].n_bytes == 0 and rows[1].kept_sha256 == hashlib.sha256(b"").hexdigest()
