@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,19 +80,27 @@ def model_encoder(open_model: Callable[[], Callable[[list[str]], np.ndarray]], b
 
     The model returns a matrix with one row per text; rows are scaled to length 1. A null text is read as empty.
     """
-    from pyspark.ml.functions import predict_batch_udf
-
-    def opened():
-        model = open_model()
-
-        def predict(texts: np.ndarray) -> np.ndarray:
-            coded = np.asarray(model(texts.tolist()), dtype=np.float64)
-            norms = np.sqrt((coded ** 2).sum(axis=1, keepdims=True))
-            return np.divide(coded, norms, out=np.zeros_like(coded), where=norms > 0).astype(np.float32)
-
-        return predict
-
-    run = predict_batch_udf(opened, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    from pyspark.ml.model_cache import ModelCache
+
+    key = uuid.uuid4()
+
+    def units(model, texts: list[str]) -> np.ndarray:
+        coded = np.asarray(model(texts), dtype=np.float64)
+        if len(coded) != len(texts):
+            raise ValueError(f"the model gave {len(coded)} rows for {len(texts)} texts")
+        norms = np.sqrt((coded ** 2).sum(axis=1, keepdims=True))
+        return np.divide(coded, norms, out=np.zeros_like(coded), where=norms > 0).astype(np.float32)
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = ModelCache.get(key)
+        if model is None:
+            model = open_model()
+            ModelCache.add(key, model)
+        for texts in batches:
+            parts = [units(model, texts.slice(i, batch).to_pylist()) for i in range(0, len(texts), batch)]
+            matrix = np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel()))
 
     def encode(df: DataFrame, text_col: str, out: str) -> DataFrame:
         return df.withColumn(out, run(F.coalesce(F.col(text_col), F.lit(""))))
@@ -99,6 +108,10 @@ def model_encoder(open_model: Callable[[], Callable[[list[str]], np.ndarray]], b
     return encode
 
 
+# Small letters and digits stay, capitals become small, any other byte ends a word.
+_WORD_BYTES = bytes(b if chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
 class HashModel:
     """A batch model in one file: words hashed by MD5 into weighted, signed buckets.
 
@@ -118,22 +131,23 @@ class HashModel:
         """A model file: bucket b weighs 1 + b % 7."""
         return json.dumps({"weights": [1 + b % 7 for b in range(dim)]})
 
-    def _place(self, word: bytes) -> tuple[int, int]:
+    def _place(self, word: bytes) -> int:
+        """Twice the word's bucket, plus one for a positive sign."""
         place = self.known.get(word)
         if place is None:
             digest = hashlib.md5(word).hexdigest()
-            place = int(digest[:8], 16) % len(self.weights), 1 if digest[8] < "8" else -1
+            place = 2 * (int(digest[:8], 16) % len(self.weights)) + (digest[8] < "8")
             if len(self.known) < self.CACHE:
                 self.known[word] = place
         return place
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.weights)))
-        for row, text in zip(out, texts, strict=True):
-            for word in re.findall(rb"[0-9a-z]+", text.encode().lower()):
-                at, sign = self._place(word)
-                row[at] += sign
-        return out * self.weights
+        words = [text.encode().translate(_WORD_BYTES).split() for text in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        places = np.fromiter(map(self._place, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        width = 2 * len(self.weights)
+        counts = np.bincount(np.repeat(np.arange(len(words)) * width, sizes) + places, minlength=len(words) * width).reshape(len(words), len(self.weights), 2)
+        return (counts[:, :, 1] - counts[:, :, 0]).astype(np.float64) * self.weights
 
 
 def write_model(spark: SparkSession, path: str, content: str) -> str:

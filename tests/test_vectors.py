@@ -1,8 +1,12 @@
 """Exact top-k against brute force, and the encoders (golden G14)."""
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from agroclime.operators import vectors as v
 from agroclime.operators.corpus import build_documents
@@ -135,6 +139,40 @@ def test_model_encoder(spark):
     assert np.allclose(got[1], np.array([3, 1]) / np.sqrt(10)) and np.allclose(got[2], [0, 1])
 
 
+def test_hash_model_sums_a_batch_at_once(spark):
+    """The bytes of a word-by-word sum; texts and vectors pass between Spark and the model as Arrow arrays."""
+    texts = [f"In {1990 + i % 30}, the District D{i % 900} of État {i % 25} reported {i * 7919 % 100_003} tonnes; yield {i % 50}.{i % 97:02d}\n-- recorded" for i in range(4096)]
+    texts += ["", "...", "é", "A" * 5000, "z Z\x00z"]
+    model, known = v.HashModel(v.HashModel.content(64)), {}
+
+    def placed(word):
+        if word not in known:
+            digest = hashlib.md5(word).hexdigest()
+            known[word] = int(digest[:8], 16) % 64, 1 if digest[8] < "8" else -1
+        return known[word]
+
+    def summed(texts):
+        out = np.zeros((len(texts), 64))
+        for row, text in zip(out, texts, strict=True):
+            for word in re.findall(rb"[0-9a-z]+", text.encode().lower()):
+                at, sign = placed(word)
+                row[at] += sign
+        return out * model.weights
+
+    got = np.concatenate([model(texts[i : i + 256]) for i in range(0, len(texts), 256)])
+    assert got.tobytes() == summed(texts).tobytes() and model([]).shape == (0, 64)
+
+    df = spark.createDataFrame([(t,) for t in texts[:300]], "text string")
+    coded = v.embed(df, "text", v.model_encoder(lambda: v.HashModel(v.HashModel.content(64))))
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in coded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_model_with_too_few_rows_is_an_error(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(5)], "text string").coalesce(1)
+    with pytest.raises(Exception, match="4 rows for 5 texts"):
+        v.embed(df, "text", v.model_encoder(lambda: lambda texts: np.ones((len(texts) - 1, 2)))).collect()
+
+
 def test_retrieve_is_brute_force(spark):
     rows = [(s, d, y, c, float(i), 1.0, 2.0) for i, (s, d, y, c) in enumerate(
         (s, d, y, c) for s in ("Kerala", "Punjab") for d in ("D1", "D2") for y in (2001, 2002) for c in ("Rice", "Wheat"))]
