@@ -95,3 +95,70 @@ def test_vectors_are_neither_exploded_nor_joined(spark, tmp_path, small_cells):
     index = vi.write_index(vectors, str(tmp_path / "index"), payload=("tag",))
     plan = vi.pruned_topk(questions, index, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "explode" not in plan.lower()
+
+
+@pytest.fixture
+def small_blocks(monkeypatch, small_cells):
+    for name, value in {"BLOCK_ROWS": 8, "BLOCKS": 3, "BLOCK": 15, "CHUNK": 12, "TILE": 64, "PAIRS": 7}.items():
+        monkeypatch.setattr(vi, name, value)
+
+
+@pytest.fixture
+def stored_rows(monkeypatch):
+    """How many rows each stored step has."""
+    seen, store = {}, vi.as_table
+
+    def counting(df, name, *rest):
+        table = store(df, name, *rest)
+        seen[name] = table.count()
+        return table
+
+    monkeypatch.setattr(vi, "as_table", counting)
+    return seen
+
+
+def test_questions_are_not_written_once_per_cell(spark, tmp_path, small_cells, stored_rows):
+    """Vectors without clusters: no cell is left out, and still no step has the questions times the cells."""
+    rng = np.random.default_rng(2)
+    vecs, asked = (np.float32(rng.normal(size=(n, 16))) for n in (1500, 600))
+    vectors, questions = tables(spark, vecs, asked)
+    index = vi.write_index(vectors, str(tmp_path / "index"))
+    rows = vi.pruned_topk(questions, index, 5).collect()
+    assert {(r.question_id, r["rank"]): r.id for r in rows} == expected(vecs, asked, 5)
+    said = vi.prune_report(questions, index, 5).agg(F.sum("cells_scored"), F.count("*")).first()
+    assert len(index.cells) > 50 and said[0] > 0.9 * 600 * len(index.cells) and said[1] == 600
+    assert max(stored_rows.values()) <= 600 * 5 + 1500, stored_rows
+
+
+@pytest.mark.parametrize("case", ["plain", "copies", "alike", "long"])
+def test_many_blocks_are_brute_force(spark, tmp_path, small_blocks, stored_rows, case):
+    """Several blocks, chunks of a cell and tiles; copies; scores closer than single precision tells apart; lengths beyond it."""
+    vecs, asked = clustered(900, 6, 5, 2.0, seed=4, copies=500 * (case == "copies"))
+    if case == "alike":
+        vecs = np.float32(vecs[0] + 3e-7 * np.random.default_rng(5).normal(size=vecs.shape))
+    if case == "long":
+        vecs, asked = vecs * np.float32(1e17), asked * np.float32(1e19)
+    vectors, questions = tables(spark, vecs, asked)
+    index = vi.write_index(vectors, str(tmp_path / "index"))
+    rows = vi.pruned_topk(questions, index, 4).collect()
+    assert {(r.question_id, r["rank"]): r.id for r in rows} == expected(vecs, asked, 4)
+    assert stored_rows["blocks"] == 40
+
+
+def test_null_and_repeated_question_ids(spark, tmp_path, small_cells):
+    """A question without an id is searched like any other; questions that share one have their hits ranked together."""
+    rng = np.random.default_rng(6)
+    vecs, asked = (np.float32(rng.normal(size=(n, 12))) for n in (700, 4))
+    vectors, _ = tables(spark, vecs, asked)
+    index = vi.write_index(vectors, str(tmp_path / "index"))
+    questions = spark.createDataFrame([(i, [float(x) for x in q]) for i, q in zip([None, 1, 2, 2], asked, strict=True)], ASKED)
+    exact = np.round(np.float64(asked) @ np.float64(vecs).T, 9)
+    want = {(i, r + 1): s for i, scores in ((None, exact[0]), (1, exact[1]), (2, exact[2:].ravel())) for r, s in enumerate(sorted(scores, reverse=True)[:6])}
+    got = {(r.question_id, r["rank"]): r.similarity_score for r in vi.pruned_topk(questions, index, 6).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+    single = {r.question_id: r for r in vi.prune_report(questions.withColumn("question_id", F.monotonically_increasing_id()), index, 6).collect()}
+    said = {r.question_id: r for r in vi.prune_report(questions, index, 6).collect()}
+    scored = sorted(r.vectors_scored for r in single.values())
+    assert set(said) == {None, 1, 2} and all(len(index.cells) >= r.cells_scored and r.vectors == 700 for r in said.values())
+    assert scored[0] <= said[2].vectors_scored <= 700
