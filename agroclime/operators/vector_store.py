@@ -1,8 +1,8 @@
 """The vector store as a table that grows: only documents that are new are embedded, and loading checks what is there.
 
 A document is known by a key, the digest of its id, its content and its occurrence: ids repeat by design, and so may
-whole documents. An update compares the corpus with the store by key, embeds the difference and appends it as one
-batch; documents that left the corpus are marked removed. The folder's config names model, width and index kind.
+whole documents. An update compares the corpus with the store by key, stores the difference, embeds it and appends it as
+one batch; documents that left the corpus are marked removed. The folder's config names model, width and index kind.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from agroclime.operators.vectors import INDEX_TYPE, embed
 from agroclime.sources import growing
 from agroclime.sources.schemas import VECTOR
-from agroclime.sources.scratch import as_table
+from agroclime.sources.scratch import as_table, release
 
 STORED = T.StructType([T.StructField("key", T.StringType()), T.StructField("turn", T.IntegerType()), *VECTOR.fields])
 REMOVED = T.StructType([T.StructField("key", T.StringType()), T.StructField("turn", T.IntegerType())])
@@ -32,18 +32,45 @@ class StoreMismatch(ValueError):
 def keyed_documents(documents: DataFrame) -> DataFrame:
     """Documents with ``occurrence``, from 0 among those of one id in order of content, and ``key``.
 
-    The numbers follow from the content alone, so every run gives the same ones. Equal documents are counted before
-    the shuffle, so that many copies of one take no more than a row there. Metadata moves once, as the text that it is
-    ordered by, and is read from it again.
+    The numbers follow from the content alone, so every run gives the same ones. A document moves once, by its id;
+    equal ones are counted there and numbered as one row. Metadata moves as the text that it is ordered by, and is read
+    from it again.
     """
+    kind = documents.schema["metadata"].dataType
+    return _numbered(_contents(documents).repartition("id")).select("id", "content.text", _metadata(kind), "occurrence", "key")
+
+
+def _contents(documents: DataFrame) -> DataFrame:
     content = F.struct("text", F.to_json("metadata", {"ignoreNullFields": "false"}).alias("metadata"))
-    alike = documents.groupBy("id", content.alias("content")).agg(F.count("*").alias("copies"))
+    return documents.select("id", content.alias("content"), F.lit(None).cast("string").alias("stored"))
+
+
+def _metadata(kind: T.DataType):
+    return F.from_json("content.metadata", kind).alias("metadata")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows (id, content, stored) that lie by id, with ``occurrence`` and ``key``; a row with a ``stored`` key keeps that and is not counted."""
+    alike = rows.groupBy("id", "content", "stored").agg(F.count("*").alias("copies"))
     before = Window.partitionBy("id").orderBy("content").rowsBetween(Window.unboundedPreceding, -1)
-    placed = alike.withColumn("before", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    counted = F.when(F.col("stored").isNull(), F.col("copies"))
+    placed = alike.withColumn("before", F.coalesce(F.sum(counted).over(before), F.lit(0)))
     each = placed.select("*", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("copies") - 1)).alias("occurrence"))
     key = F.sha1(F.to_json(F.struct("id", "occurrence", "content"), {"ignoreNullFields": "false"}))
-    metadata = F.from_json("content.metadata", documents.schema["metadata"].dataType).alias("metadata")
-    return each.select("id", "content.text", metadata, "occurrence", key.alias("key"))
+    return each.withColumn("key", F.coalesce("stored", key))
+
+
+def _changes(documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """Documents whose key is not among the ``stored`` (id, key), and keys that no document has, as ``gone``.
+
+    Documents and stored keys move in one shuffle by id, and a key's rows are looked at where its id's rows lie.
+    """
+    kind, contents = documents.schema["metadata"].dataType, _contents(documents)
+    there = stored.select(F.col("id").cast(documents.schema["id"].dataType), F.lit(None).cast(contents.schema["content"].dataType).alias("content"), F.col("key").alias("stored"))
+    met = Window.partitionBy("id", "key")
+    sides = _numbered(contents.unionByName(there).repartition("id")).select(
+        "*", F.count("stored").over(met).alias("kept"), F.count("*").over(met).alias("rows"))
+    return sides.where("kept in (0, rows)").select("id", "content.text", _metadata(kind), "key", (F.col("kept") > 0).alias("gone"))
 
 
 def _config(spark: SparkSession, root: str):
@@ -51,12 +78,15 @@ def _config(spark: SparkSession, root: str):
 
 
 def _stored(spark: SparkSession, root: str) -> DataFrame:
-    """Rows that no later turn removed."""
+    """Rows that no later turn removed. Rows of the last turn that removed any, and of later ones, are not compared."""
     rows = growing.read(spark, f"{root}/vectors", STORED)
     if not growing.count(spark, f"{root}/removed"):
         return rows
-    gone = growing.read(spark, f"{root}/removed", REMOVED).select(F.col("key").alias("__key"), F.col("turn").alias("__turn"))
-    return rows.join(gone, (F.col("key") == F.col("__key")) & (F.col("__turn") > F.col("turn")), "left_anti")
+    removed = growing.read(spark, f"{root}/removed", REMOVED)
+    last = removed.agg(F.max("turn")).first()[0]
+    gone = removed.select(F.col("key").alias("__key"), F.col("turn").alias("__turn"))
+    older = rows.where(F.col("turn") < last).join(gone, (F.col("key") == F.col("__key")) & (F.col("__turn") > F.col("turn")), "left_anti")
+    return older.unionByName(rows.where(F.col("turn") >= last))
 
 
 def update_store(documents: DataFrame, root: str, encoder, model_name: str, dim: int, batch: str) -> int:
@@ -77,16 +107,18 @@ def update_store(documents: DataFrame, root: str, encoder, model_name: str, dim:
         turn = turns if turns is not None else turn
     if batch in done and growing.commits(spark, f"{root}/removed", batch):
         return done[batch].n_rows  # a repeated job has nothing left to do
-    corpus = as_table(keyed_documents(documents).drop("occurrence"), "corpus")
+    known = _stored(spark, root).where(F.col("turn") < turn).select("id", "key") if done else None
+    changed = as_table(keyed_documents(documents).drop("occurrence") if known is None else _changes(documents, known), "corpus")
     if batch not in done:
-        fresh = corpus.join(_stored(spark, root).select("key"), "key", "left_anti") if done else corpus
+        fresh = changed if known is None else changed.where("not gone").drop("gone")
         coded = embed(fresh, "text", encoder).select("key", F.lit(turn).alias("turn"), *[f.name for f in VECTOR.fields])
         try:
             growing.append(coded.to(STORED), f"{root}/vectors", batch, wrong=F.col("embedding").isNull() | (F.size("embedding") != dim))
         except growing.WrongRows as error:
             raise StoreMismatch(f"{error.many} vectors of {model_name} are not {dim} wide") from error
-    gone = _stored(spark, root).where(F.col("turn") < turn).join(corpus.select("key"), "key", "left_anti")
+    gone = changed.where("false") if known is None else changed.where("gone")
     growing.append(gone.select("key", F.lit(turn).alias("turn")).to(REMOVED), f"{root}/removed", batch)
+    release(spark)
     return growing.commits(spark, f"{root}/vectors", batch)[0].n_rows
 
 

@@ -68,7 +68,7 @@ def append(rows: DataFrame, root: str, batch: str, time_col: str | None = None,
     time = F.col(time_col) if time_col else F.lit(None).cast("string")
     seen = Observation()
     rows.observe(seen, F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.max(time).alias("last"),
-                 F.count_if(F.lit(False) if wrong is None else wrong).alias("wrong")).write.parquet(f"{root}/data/{folder}")
+                 F.count_if(F.lit(False) if wrong is None else wrong).alias("wrong")).write.option("compression", "zstd").parquet(f"{root}/data/{folder}")
     parts = sorted(path.rsplit("/", 1)[1] for path in spark.read.schema(rows.schema).parquet(f"{root}/data/{folder}").inputFiles())
     count = seen.get
     if count["wrong"]:

@@ -84,6 +84,24 @@ def test_an_update_writes_its_corpus_and_its_vectors_once(spark, tmp_path, monke
     assert len(stored) == 2 and vs.load_store(spark, root, "m", 16).count() == 3
 
 
+def test_a_document_moves_once_and_an_update_stores_what_changed(spark, tmp_path, monkeypatch):
+    """Numbering takes one shuffle; known documents are not stored again, and a repeated or broken store gives the same."""
+    plan = vs.keyed_documents(docs(spark, A, A, B))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    encode, seen = counting(spark, tmp_path)
+    root, kept, stored = str(tmp_path / "s"), vs.as_table, []
+    monkeypatch.setattr(vs, "as_table", lambda df, name: stored.append(kept(df, name)) or stored[-1])
+    vs.update_store(docs(spark, A, A, B), root, encode, "m", 16, "1")
+    vs.update_store(docs(spark, A, A_AGAIN, A, C), root, encode, "m", 16, "2")
+    assert sorted((r.id is not None, r.text is not None, r.gone) for r in stored[1].collect()) == [(True, False, True), (True, True, False), (True, True, False)]
+    whole = str(tmp_path / "whole")
+    vs.update_store(docs(spark, A, A_AGAIN, A, C), whole, encode, "m", 16, "all")
+    assert rows(vs.load_store(spark, root, "m", 16)) == rows(vs.load_store(spark, whole, "m", 16))
+    assert seen == [3, 2, 4]
+    plan = vs.load_store(spark, root, "m", 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "turn" in plan and "Union" in plan  # the rows of the last turn are not compared with the removed keys
+
+
 def test_documents_leave_and_come_back(spark, tmp_path):
     encode, _ = counting(spark, tmp_path)
     root = str(tmp_path / "s")
