@@ -33,6 +33,7 @@ TRAIN_DOCS = 200        # documents per language the model learns from, those wi
 TRAIN_CHARS = 20_000    # of a longer document so many characters from its first letter on are learned from (all are predicted, whole)
 STEPS = 30
 SPLICED = 0.25          # words of spliced chains, as a share of the documents' words
+SORT_BYTES = 1 << 20    # texts that the corpus stage labels at once: its workers stand beside executors that later stages have filled
 FLOOR = 0.4             # of the evidence that 99 % of the training documents reach: less is no learned language
 _BLOCK = 32
 _LETTER = re.compile(r"[^\W\d_]")
@@ -46,6 +47,7 @@ class Model:
     lexicon_weights: np.ndarray  # (labels, labels): row = whose lexicon the word is in
     transitions: np.ndarray
     floor: float = 0.0          # least evidence of a text in one of the languages
+    sure: float = np.inf        # a score that 99 % of the training documents reach
 
 
 @dataclass
@@ -245,10 +247,10 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS) -> Model:
             s += g**2
             value += rate * g / np.sqrt(s)
     model.weights = model.weights.astype(np.float32)
-    own, _, letters, lead = led_words(model, pa.array(texts, pa.string()))
-    shown, n = evidence(own, letters, lead, len(texts))
+    _, score, _, _, shown, n = labelled(model, pa.array(texts, pa.string()))
     if (n > 0).any():
         model.floor = FLOOR * float(np.quantile(shown[n > 0], 0.01))
+        model.sure = float(np.quantile(score[n > 0], 0.01))
     return model
 
 
@@ -298,12 +300,19 @@ def with_letters(texts: pa.Array) -> np.ndarray:
 
 def label_texts(model: Model | None, texts: pa.Array, unknown: str = "und") -> tuple[np.ndarray, ...]:
     """Language, score, number of words and of switches of each text."""
+    return labelled(model, texts, unknown)[:4]
+
+
+def labelled(model: Model | None, texts: pa.Array, unknown: str = "und") -> tuple[np.ndarray, ...]:
+    """The same, and each text's evidence and number of words with letters (without a model, both are 0)."""
     has_letter = with_letters(texts)
     n = len(texts)
     langs, score, switches = np.full(n, unknown, object), np.zeros(n), np.zeros(n, np.int64)
-    words, gamma, letters = label_words(model, texts) if model is not None else (tv.words_of(texts), None, None)
+    words, gamma, letters, lead = led_words(model, texts) if model is not None else (tv.words_of(texts), None, None, None)
     counts = np.diff(words.first).astype(np.int64)
-    if gamma is not None and has_letter.any():
+    if gamma is None:
+        return langs, score, counts, switches, np.zeros(n), np.zeros(n)
+    if has_letter.any():
         doc = np.repeat(np.arange(n), counts)
         votes = np.stack([np.bincount(doc, gamma[:, y] * letters, n) for y in range(len(model.labels))], axis=1)
         best, weight = votes.argmax(axis=1), votes.sum(axis=1)
@@ -312,7 +321,7 @@ def label_texts(model: Model | None, texts: pa.Array, unknown: str = "und") -> t
         score[ok] = np.clip(votes[ok, best[ok]] / weight[ok], 0, 1)
         top, owner = gamma.argmax(axis=1)[letters], doc[letters]
         switches = np.bincount(owner[1:][(top[1:] != top[:-1]) & (owner[1:] == owner[:-1])], minlength=n)
-    return langs, score, counts, switches.astype(np.int64)
+    return langs, score, counts, switches.astype(np.int64), *evidence(words, letters, lead, n)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", unknown: str = "und") -> DataFrame:
@@ -337,30 +346,28 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """The rows, all columns, whose text is in a language that the model learned; rows stay where they are.
 
-    A text goes if it has no letter, or if its evidence is under the model's floor: script, noise or a language that no
-    feature speaks for. Without a model, or with a single language, texts with letters stay. Where ``lang_col`` is null
-    the predicted language is filled in.
+    Every text is labelled as by ``predict``. A text goes if it has no letter, or if its evidence is under the model's
+    floor: script, noise or a language that no feature speaks for. ``lang_col`` is the language identified: the one that
+    a row says gives way to the predicted one where it is null, or another with a score that 99 % of the training
+    documents reach. Without a model, or with a single language, texts with letters stay; without one, ``lang_col`` too.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in tv.sub_batches(batches, text_col):
-            texts = batch.column(batch.schema.get_field_index(text_col))
+        for batch in tv.sub_batches(batches, text_col, SORT_BYTES):
+            texts, model = batch.column(batch.schema.get_field_index(text_col)), sent.value
             keep = with_letters(texts)
-            if sent.value is not None:
-                words, gamma, letters, lead = led_words(sent.value, texts)
-                shown, held = evidence(words, letters, lead, len(texts))
-                keep &= (held > 0) & ((shown >= sent.value.floor) | (len(sent.value.labels) < 2))
+            if model is not None:
+                langs, score, _, _, shown, held = labelled(model, texts)
+                keep &= (held > 0) & ((shown >= model.floor) | (len(model.labels) < 2))
                 if lang_col is not None:
                     at = batch.schema.get_field_index(lang_col)
-                    doc = np.repeat(np.arange(len(texts)), np.diff(words.first))
-                    votes = np.stack([np.bincount(doc, gamma[:, y] * letters, len(texts)) for y in range(len(sent.value.labels))], axis=1)
-                    said = pa.array(np.array(sent.value.labels, object)[votes.argmax(axis=1)], pa.string())
-                    batch = batch.set_column(at, batch.schema.field(at), _filled(batch.column(at), said))
+                    batch = batch.set_column(at, batch.schema.field(at), _identified(batch.column(at), langs, score >= model.sure))
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _filled(column: pa.Array, said: pa.Array) -> pa.Array:
-    return pc.if_else(pc.is_null(column), said.cast(column.type), column)
+def _identified(said: pa.Array, langs: np.ndarray, sure: np.ndarray) -> pa.Array:
+    """The predicted languages where nothing is said or the prediction is sure, else what is said."""
+    return pc.if_else(pc.or_(pc.is_null(said), pa.array(sure)), pa.array(langs, pa.string()).cast(said.type), said)

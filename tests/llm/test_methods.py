@@ -395,6 +395,23 @@ def test_text_in_no_learned_language_is_rejected(spark, docs):
     assert np.mean([a == b for a, b in said]) > 0.95
 
 
+def test_every_kept_text_is_identified_whatever_its_row_says(spark):
+    """A language that a row has wrong is corrected where the marginals are sure; the rest stays, as do the rows."""
+    r = random.Random(9)
+    tongues = {"aa": ["".join(r.choice("abcdef") for _ in range(r.randint(2, 7))) for _ in range(60)], "zz": ["".join(r.choice("stuvwx") for _ in range(r.randint(2, 7))) for _ in range(60)]}
+    rows = [(i, " ".join(r.choice(tongues[lang]) for _ in range(50)), lang) for i, lang in enumerate(["aa", "zz"] * 40)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(plain, "doc_id", "text", "lang")
+    scores = {x.doc_id: x.score for x in langid.predict(plain, model).collect()}
+    says = {i: {"aa": "zz", "zz": "aa"}[lang] if i % 4 < 2 else lang for i, _, lang in rows}
+    wrong = spark.createDataFrame([(i, text, says[i]) for i, text, _ in rows], plain.schema)
+    kept = {x.doc_id: x.lang for x in langid.keep_identified(wrong, model, lang_col="lang").collect()}
+    assert 0 < model.sure <= 1
+    assert kept == {i: lang if scores[i] >= model.sure else says[i] for i, _, lang in rows}
+    assert sum(kept[i] == lang for i, _, lang in rows) >= 0.9 * len(rows)
+    assert {x.doc_id: x.lang for x in langid.keep_identified(wrong, None, lang_col="lang").collect()} == says
+
+
 def test_warc_records_cut_by_splits_or_shuffled(spark):
     """However the chunk rows lie in files and tasks, the records read are the same."""
     r = random.Random(4)
